@@ -159,34 +159,91 @@ def crawl_candidates(frontier: DataFrame, warmups: DataFrame) -> DataFrame:
 
 # --- replay -------------------------------------------------------------------------
 
+# A top list this long holds every bucket with more than a thousandth of all requests.
+_HOT_BUCKETS = 1_000
+_FACTS = ("record_url", "status", "generated_at", "markdown_blank", "markdown_length", "stored")
+
+
+def _micros(time: Column) -> Column:
+    return F.unix_micros(time.cast("timestamp"))
+
 
 def route_requests_asof(
     requests: DataFrame,
     history: DataFrame,
     window_hours: float | int | str = 168,
     bucket_seconds: int = 60,
-    hot_share: float = 0.001,
+    rows_per_task: int = 1_000_000,
 ) -> DataFrame:
     """Decision per request with the record as stored at the request's own time.
 
-    A plain as-of window per key would put a hot page into one task.  Instead, time is
-    cut into buckets.  A narrow table of keys and buckets carries the last earlier
-    record into every bucket with requests, and the as-of window runs per key and
-    bucket.  Buckets with more than ``hot_share`` of all requests are also salted: at
-    most ``1 / hot_share`` exist, so their list is small enough to broadcast, and the
-    history of such a bucket is repeated per salt.
+    An as-of window per key would put a hot page into one task.  Instead, time is cut
+    into buckets: a narrow table of keys and buckets carries the last earlier record
+    into every bucket with requests, and the as-of window runs per key and bucket.
+    The requests of buckets above ``rows_per_task`` are also salted, with their few
+    records repeated per salt; the list of such buckets is a top list of fixed length,
+    so it may be broadcast.
     """
-    seconds = F.lit(bucket_seconds * 1_000_000)
+    width = bucket_seconds * 1_000_000
+
+    def bucketed(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("bucket", F.floor(F.col("at") / width).cast("bigint"))
 
-    def bucket(time: Column) -> Column:
-        return F.floor(F.unix_micros(time.cast("timestamp")) / seconds).cast("bigint")
+    wanted = bucketed(
+        agent_page_requests(requests).withColumn("at", _micros(F.col("ts")))
+    )
+    facts = record_facts(history)
+    versions = bucketed(
+        facts.select("key", _micros(F.col("generated_at")).alias("at"), F.struct(*_FACTS).alias("facts"))
+        .groupBy("key", "at")
+        .agg(F.max("facts").alias("facts"))
+    )
 
-    wanted = agent_page_requests(requests).withColumn("bucket", bucket(F.col("ts")))
-    facts = F.struct("record_url", "status", "generated_at", "markdown_blank", "markdown_length", "stored")
-    order = ["seq"] if "seq" in history.columns else ["record_url", "status"]
-    versions = (
-        record_facts(history).withColumn("seq", F.col("seq") if "seq" in history.columns else F.lit(0))
-        if "seq" not in history.columns
-        else record_facts(history.drop("seq")).withColumn("seq", F.lit(0))
+    request_buckets = wanted.groupBy("key", "bucket").agg(F.count("*").alias("requests"))
+    last_versions = versions.groupBy("key", "bucket").agg(
+        F.max_by(F.struct("at", "facts"), "at").alias("last")
+    )
+    earlier = Window.partitionBy("key").orderBy("bucket", F.col("requests").desc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    # Requests of a bucket sort before its own last version, which they must not see here.
+    carried = (
+        request_buckets.unionByName(last_versions, allowMissingColumns=True)
+        .withColumn("before", F.last("last", ignorenulls=True).over(earlier))
+        .filter(F.col("requests").isNotNull() & F.col("before").isNotNull())
+        .select("key", "bucket", "before.at", "before.facts")
+    )
+
+    hot = F.broadcast(
+        request_buckets.filter(F.col("requests") > rows_per_task)
+        .orderBy(F.col("requests").desc())
+        .limit(_HOT_BUCKETS)
+        .select("key", "bucket", F.ceil(F.col("requests") / rows_per_task).cast("int").alias("salts"))
+    )
+    salts = F.coalesce("salts", F.lit(1))
+    probes = wanted.join(hot, ["key", "bucket"], "left").select(
+        "key",
+        "bucket",
+        F.pmod(F.xxhash64("request_id"), salts).cast("int").alias("salt"),
+        "at",
+        F.lit(1).alias("side"),
+        F.struct(*_LOG_FIELDS, "page").alias("request"),
+    )
+    records = (
+        versions.select("key", "bucket", "at", "facts")
+        .unionByName(carried)
+        .join(hot, ["key", "bucket"], "left")
+        .select("key", "bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "at", F.lit(0).alias("side"), "facts")
+    )
+    as_of = (
+        Window.partitionBy("key", "bucket", "salt")
+        .orderBy("at", "side")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    seen = (
+        probes.unionByName(records, allowMissingColumns=True)
+        .withColumn("facts", F.last("facts", ignorenulls=True).over(as_of))
+        .filter(F.col("side") == 1)
+        .select("key", "request.*", "facts.*")
     )
-    raise NotImplementedError
+    return _decide(seen, F.col("ts"), window_hours).unionByName(_passed_through(requests))

@@ -1,0 +1,2 @@
+"""DuckDB SQL for the registered queries."""
+CHECKS = {}
