@@ -25,12 +25,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def scrub(text: Column) -> Column:
     """Replace reserved marker characters with U+FFFD."""
-    return let(
-        text,
-        lambda t: F.when(
-            F.rlike(t, F.lit(f"[{_RESERVED}]")), F.translate(t, _RESERVED, "\ufffd" * len(_RESERVED))
-        ).otherwise(t),
-    )
+    return F.when(
+        F.rlike(text, F.lit(f"[{_RESERVED}]")), F.translate(text, _RESERVED, "\ufffd" * len(_RESERVED))
+    ).otherwise(text)
 
 
 def rewrite(text: Column, pattern: str, template: str, fn: Callable[[Column], Column]) -> Column:

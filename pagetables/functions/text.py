@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .exprs import MARK, error, let, rewrite
+from .exprs import error, let, rewrite
 
 # White space and line ends as the web platform defines them.
 _BLANKS = r"\t\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
@@ -73,7 +73,16 @@ _XML_ENTITIES = (
     ("(?i)&quot;", '"'),
     ("&#39;", "'"),
 )
-_LAST_CODE_POINT = 0x10FFFF
+# Code points that exist, and those without a usable character
+# (surrogates and the reserved markers), in decimal and hexadecimal digits.
+_EXISTING = {
+    10: r"\A0*(?:[0-9]{1,6}|10[0-9]{5}|110[0-9]{4}|111[0-3][0-9]{3}|11140[0-9]{2}|111410[0-9]|111411[01])\z",
+    16: r"(?i)\A0*(?:[0-9a-f]{1,5}|10[0-9a-f]{4})\z",
+}
+_UNUSABLE = {
+    10: r"\A0*(?:5529[6-9]|55[3-9][0-9]{2}|56[0-9]{3}|57[0-2][0-9]{2}|573[0-3][0-9]|5734[0-3]|6497[678])\z",
+    16: r"(?i)\A0*(?:d[89a-f][0-9a-f]{2}|fdd[012])\z",
+}
 
 
 def _replace_all(text: Column, table: tuple[tuple[str, str], ...]) -> Column:
@@ -83,26 +92,20 @@ def _replace_all(text: Column, table: tuple[tuple[str, str], ...]) -> Column:
 
 
 def _character(digits: Column, base: int) -> Column:
-    """Character for a code point written in ``base``; out of range is an error."""
+    """Character for a code point written in ``base``; one that does not exist is an error."""
     significant = F.regexp_replace(digits, "^0+(?=.)", "")
-
-    def decode(n: Column) -> Column:
-        # Surrogates have no UTF-8 form, and the marker characters are reserved.
-        unusable = n.between(0xD800, 0xDFFF) | n.between(ord(MARK), ord(MARK) + 2)
-        code = F.when(unusable, F.lit(0xFFFD)).otherwise(n)
-        return F.when(
-            n <= _LAST_CODE_POINT, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        ).otherwise(error(F.concat(F.lit("Invalid code point "), n.cast("string"))))
-
     if base == 10:
-        number = F.when(F.length(significant) <= 18, significant.cast("bigint"))
+        hexadecimal, decimal = F.conv(digits, 10, 16), significant
     else:
-        number = F.when(F.length(significant) <= 15, F.conv(significant, 16, 10).cast("bigint"))
-    return let(
-        number,
-        lambda n: F.when(n.isNotNull(), decode(n)).otherwise(
-            error(F.concat(F.lit("Invalid code point "), significant))
-        ),
+        hexadecimal = significant
+        decimal = F.when(F.length(significant) <= 15, F.conv(significant, 16, 10)).otherwise(significant)
+    return (
+        F.when(F.rlike(digits, F.lit(_UNUSABLE[base])), "\ufffd")
+        .when(
+            F.rlike(digits, F.lit(_EXISTING[base])),
+            F.decode(F.unhex(F.lpad(hexadecimal, 8, "0")), "UTF-32"),
+        )
+        .otherwise(error(F.concat(F.lit("Invalid code point "), decimal)))
     )
 
 
@@ -113,14 +116,12 @@ def _numeric_entities(text: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Decode the supported entities; ``&amp;`` goes first, so it may uncover others."""
-
-    def named_then_numeric(t: Column) -> Column:
-        return let(
-            _replace_all(t, _TEXT_ENTITIES),
-            lambda named: F.when(F.contains(named, F.lit("&#")), _numeric_entities(named)).otherwise(named),
-        )
-
-    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), named_then_numeric(t)).otherwise(t))
+    return let(
+        text,
+        lambda t: F.when(
+            F.contains(t, F.lit("&")), _numeric_entities(_replace_all(t, _TEXT_ENTITIES))
+        ).otherwise(t),
+    )
 
 
 def decode_xml(text: Column) -> Column:

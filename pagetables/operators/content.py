@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.cache import by_name
 from ..functions.exprs import let, scrub
 from ..functions.text import NOT_WORD_AHEAD, element
 from ..functions.urls import page_url, url_host
@@ -52,6 +53,7 @@ def _inside(html: Column, region: str, pattern: str, group: int) -> Column:
     )
 
 
+@by_name
 def main_content(cleaned: Column) -> Column:
     """``struct<region, html>``: main, article, role=main, body or all of a cleaned page."""
     return let(
@@ -66,10 +68,12 @@ def main_content(cleaned: Column) -> Column:
     )
 
 
+@by_name
 def clean_page(html: Column) -> Column:
     return remove_non_content(scrub(html))
 
 
+@by_name
 def page_content(html: Column) -> Column:
     """``struct<region, html>`` with everything removed that is not rendered."""
     return let(
@@ -85,7 +89,7 @@ def content_profile(pages: DataFrame) -> DataFrame:
     measured = pages.select(
         url_host(page_url("url")).alias("host"),
         F.length("html").cast("bigint").alias("raw"),
-        page_content(F.col("html")).alias("content"),
+        page_content("html").alias("content"),
     ).select("host", "content.region", "raw", F.length("content.html").cast("bigint").alias("kept"))
     return (
         measured.groupBy("host", "region")

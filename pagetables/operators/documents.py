@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.cache import by_name
 from ..functions.exprs import first_error, let, settle
 from ..functions.text import trim_end, trim_space
 from ..functions.urls import page_url, url_text
@@ -34,6 +35,7 @@ def _time(value: datetime | str | Column) -> Column:
     return value if isinstance(value, Column) else F.lit(value).cast("timestamp")
 
 
+@by_name
 def first_paragraph(markdown: Column) -> Column:
     """First line that is text: no heading, list item or table row."""
     lines = F.transform(F.split(markdown, "\n"), trim_space)
@@ -48,7 +50,7 @@ def with_document(pages: DataFrame, generated_at: Column) -> DataFrame:
         "description",
         let(
             F.col("meta_description"),
-            lambda text: F.when(text != "", text).otherwise(first_paragraph(F.col("body"))),
+            lambda text: F.when(text != "", text).otherwise(first_paragraph("body")),
         ),
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.cache import by_name
 from ..functions.exprs import first_error, let, matches, rewrite, settle
 from ..functions.text import NOT_WORD_AHEAD, NOT_WORD_BEHIND, SPACE, attribute, element, inline_text
 from ..functions.urls import parse_url, url_text
@@ -16,6 +17,7 @@ _META = rf"(?i)<meta{NOT_WORD_AHEAD}([^>]*)>"
 _CANONICAL_WORD = rf"(?:\A|[{SPACE}])canonical(?:[{SPACE}]|\z)"
 
 
+@by_name
 def canonical_href(cleaned: Column) -> Column:
     """href of the first canonical link, NULL if there is none."""
     links = F.filter(
@@ -25,10 +27,12 @@ def canonical_href(cleaned: Column) -> Column:
     return let(F.get(links, 0), lambda attrs: attribute(attrs, "href"))
 
 
+@by_name
 def title_text(cleaned: Column) -> Column:
     return inline_text(F.regexp_extract(cleaned, element("title"), 1))
 
 
+@by_name
 def meta_description(cleaned: Column) -> Column:
     """Content of the first description tag, even if it is empty."""
     tags = F.filter(
@@ -38,6 +42,7 @@ def meta_description(cleaned: Column) -> Column:
     return let(F.get(tags, 0), lambda attrs: inline_text(F.coalesce(attribute(attrs, "content"), F.lit(""))))
 
 
+@by_name
 def title_from_url(url: Column) -> Column:
     """Last path segment with word starts in upper case, else the host."""
     segments = F.filter(F.split(url.path, "/"), lambda segment: segment != "")
@@ -51,23 +56,28 @@ def title_from_url(url: Column) -> Column:
 
 def with_metadata(pages: DataFrame) -> DataFrame:
     """Add cleaned HTML, parsed canonical URL, title, description and first error."""
-    cleaned = pages.withColumn("cleaned", clean_page(F.col("html")))
-    located = cleaned.withColumn(
-        "canonical", parse_url(F.coalesce(canonical_href(F.col("cleaned")), F.col("url")))
-    ).withColumn("page_title", title_text(F.col("cleaned")))
-    described = located.withColumn(
-        "meta_description", F.coalesce(meta_description(F.col("cleaned")), F.lit(""))
+    described = (
+        pages.withColumn("cleaned", clean_page("html"))
+        .withColumns(
+            {
+                "canonical_href": F.coalesce(canonical_href("cleaned"), F.col("url")),
+                "page_title": title_text("cleaned"),
+                "meta_description": F.coalesce(meta_description("cleaned"), F.lit("")),
+            }
+        )
+        .withColumn("canonical", parse_url("canonical_href"))
     )
-    return described.withColumn(
-        "metadata_error",
-        F.coalesce(
-            F.when(F.col("canonical").isNull(), INVALID_URL),
-            first_error(F.col("page_title")),
-            first_error(F.col("meta_description")),
-        ),
-    ).withColumn(
-        "title",
-        F.when(F.col("page_title") != "", F.col("page_title")).otherwise(title_from_url(F.col("canonical"))),
+    return described.withColumns(
+        {
+            "metadata_error": F.coalesce(
+                F.when(F.col("canonical").isNull(), INVALID_URL),
+                first_error(F.col("page_title")),
+                first_error(F.col("meta_description")),
+            ),
+            "title": F.when(F.col("page_title") != "", F.col("page_title")).otherwise(
+                title_from_url("canonical")
+            ),
+        }
     )
 
 

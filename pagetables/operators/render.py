@@ -244,7 +244,7 @@ def with_markdown(prepared: DataFrame) -> DataFrame:
     computed twice and the plan grows linearly.
     """
     pages = prepared.withColumns(
-        {"_text": main_content(F.col("cleaned"))["html"], "_error": F.lit(None).cast("string")}
+        {"_text": main_content("cleaned")["html"], "_error": F.lit(None).cast("string")}
     )
     for step in _BEFORE_ANCHORS:
         pages = _advance(pages, _text_step(step))

@@ -60,43 +60,49 @@ def _number_text(number: Column) -> Column:
 
 
 def _scalar(value: Column) -> Column:
-    """Clean text of a string, number or boolean, else empty."""
+    """Text of a string, number or boolean, else empty; not cleaned yet."""
 
     def text(v: Column) -> Column:
         kind = _kind(v)
         return (
-            F.when(kind == '"', inline_text(F.try_variant_get(v, "$", "string")))
-            .when(kind.isin("t", "f"), F.try_variant_get(v, "$", "string"))
+            F.when(kind.isin('"', "t", "f"), F.try_variant_get(v, "$", "string"))
             .when(F.rlike(kind, F.lit("[-0-9]")), _number_text(F.try_variant_get(v, "$", "double")))
         )
 
     return let(value, lambda v: F.coalesce(text(v), F.lit("")))
 
 
-def _scalar_member(node: Column, name: str) -> Column:
-    return _scalar(_member(node, f"$.{name}"))
-
-
-def _either(first: Column, second: Column) -> Column:
-    return let(first, lambda text: F.when(text != "", text).otherwise(second))
+def _texts(*values: Column) -> Column:
+    """Clean texts of scalar values."""
+    return F.transform(F.transform(F.array(*values), _scalar), inline_text)
 
 
 def _text_list(value: Column) -> Column:
-    """Texts of an array of scalars or named objects; one string counts as a list."""
-
-    def item_text(item: Column) -> Column:
-        return F.when(_is_object(item), _either(_scalar_member(item, "name"), _scalar_member(item, "url"))).otherwise(
-            _scalar(item)
+    """Clean texts of an array of scalars or named objects; one string counts as a list."""
+
+    def candidates(item: Column) -> Column:
+        named = F.array(_member(item, "$.name"), _member(item, "$.url"))
+        return F.when(_is_object(item), named).otherwise(F.array(item))
+
+    def texts(v: Column) -> Column:
+        items = _items(v)
+        read = F.transform(
+            F.coalesce(items, F.array(v)),
+            lambda item: F.get(
+                F.filter(
+                    F.transform(F.transform(candidates(item), _scalar), inline_text),
+                    lambda text: (text != "") | items.isNull(),
+                ),
+                0,
+            ),
+        )
+        # A lone value counts if it is a string, even a blank one.
+        wanted = items.isNotNull() | (_kind(v) == '"')
+        return F.when(wanted, F.filter(read, lambda text: text.isNotNull())).otherwise(
+            F.array().cast("array<string>")
         )
 
-    return let(
-        value,
-        lambda v: F.coalesce(
-            F.filter(F.transform(_items(v), item_text), lambda text: text != ""),
-            F.when(_kind(v) == '"', F.array(_scalar(v))),
-            F.array().cast("array<string>"),
-        ),
-    )
+    return let(value, texts)
 
 
 # --- nodes ----------------------------------------------------------------------
@@ -181,50 +187,70 @@ def _entity_type(node: Column) -> Column:
 
 
 def _read_entity(node: Column) -> Column:
-    """Fields of a node with URLs as written; ``urls`` holds them all."""
+    """Fields of a node with URLs as written, NULL for other nodes."""
 
-    def offer(value: Column) -> Column:
-        return (
-            F.when(_kind(value) == '"', F.try_variant_get(value, "$", "string"))
-            .when(_is_object(value), _scalar_member(value, "url"))
-            .otherwise("")
-        )
+    def link(value: Column, *names: str) -> Column:
+        """A string as it is, or the first non-blank member of an object."""
 
-    def crumb(item: Column) -> Column:
-        target = let(
-            _member(item, "$.item"),
-            lambda value: F.when(_kind(value) == '"', F.try_variant_get(value, "$", "string"))
-            .when(
-                _is_object(value),
-                _either(_scalar_member(value, "url"), _scalar(_member(value, '$["@id"]'))),
+        def read(v: Column) -> Column:
+            members = F.filter(
+                _texts(*[_member(v, f'$["{name}"]') for name in names]), lambda text: text != ""
+            )
+            return (
+                F.when(_kind(v) == '"', F.try_variant_get(v, "$", "string"))
+                .when(_is_object(v), F.coalesce(F.get(members, 0), F.lit("")))
+                .otherwise("")
             )
-            .otherwise(""),
+
+        return let(value, read)
+
+    def crumb(item: Column) -> Column:
+        return F.struct(
+            _texts(_member(item, "$.name"))[0].alias("name"),
+            link(_member(item, "$.item"), "url", "@id").alias("url"),
         )
-        return F.struct(_scalar_member(item, "name").alias("name"), target.alias("url"))
 
     def fields(kind: Column) -> Column:
         named = kind != "BreadcrumbList"
         application = kind == "SoftwareApplication"
-        no_texts = F.array().cast("array<string>")
+        texts = _texts(
+            *[_member(node, f"$.{name}") for name in ("name", "url", "description", "applicationCategory", "operatingSystem")]
+        )
+        listed = F.when(kind == "Organization", _member(node, "$.sameAs")).when(
+            application, _member(node, "$.featureList")
+        )
         return F.struct(
             kind.alias("entity"),
-            F.when(named, _scalar_member(node, "name")).otherwise("").alias("name"),
-            F.when(named, _scalar_member(node, "url")).otherwise("").alias("url"),
-            F.when(named, _scalar_member(node, "description")).otherwise("").alias("description"),
-            F.when(application, _scalar_member(node, "applicationCategory")).otherwise("").alias("category"),
-            F.when(application, _scalar_member(node, "operatingSystem")).otherwise("").alias("operating_system"),
-            F.when(kind == "Organization", _text_list(_member(node, "$.sameAs")))
-            .when(application, _text_list(_member(node, "$.featureList")))
-            .otherwise(no_texts)
-            .alias("listed"),
-            F.when(application, let(_member(node, "$.offers"), offer)).otherwise("").alias("offer_url"),
+            texts.alias("texts"),
+            F.coalesce(_text_list(listed), F.array().cast("array<string>")).alias("listed"),
+            F.when(application, link(_member(node, "$.offers"), "url")).otherwise("").alias("offer_url"),
             F.when(
                 kind == "BreadcrumbList",
                 F.transform(F.filter(_items(node, "$.itemListElement"), _is_object), crumb),
             ).alias("crumbs"),
+            named.alias("named"),
+            application.alias("application"),
+        )
+
+    def plain(entity: Column) -> Column:
+        def text(i: int, wanted: Column) -> Column:
+            return F.when(wanted, entity.texts[i]).otherwise("")
+
+        return F.struct(
+            entity.entity.alias("entity"),
+            text(0, entity.named).alias("name"),
+            text(1, entity.named).alias("url"),
+            text(2, entity.named).alias("description"),
+            text(3, entity.application).alias("category"),
+            text(4, entity.application).alias("operating_system"),
+            entity.listed.alias("listed"),
+            entity.offer_url.alias("offer_url"),
+            entity.crumbs.alias("crumbs"),
         )
 
-    return let(_entity_type(node), lambda kind: F.when(kind.isNotNull(), fields(kind)))
+    return let(
+        _entity_type(node), lambda kind: F.when(kind.isNotNull(), let(fields(kind), plain))
+    )
 
 
 @cache

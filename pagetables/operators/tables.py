@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import let, matches
@@ -31,12 +33,15 @@ def table_rows(table: Column) -> Column:
     return let(filled, pad)
 
 
+@cache
+def _tables() -> Column:
+    """Tables with at least one row."""
+    found = matches(page_content("html").html, TABLE, "$1")
+    return F.filter(F.transform(found, table_rows), lambda rows: F.size(rows) > 0)
+
+
 def html_tables(pages: DataFrame) -> DataFrame:
     """One row per table row of the main content; row 0 is the header."""
-    tables = F.filter(
-        F.transform(matches(page_content(F.col("html")).html, TABLE, "$1"), table_rows),
-        lambda rows: F.size(rows) > 0,
-    )
-    return pages.select("page_id", F.posexplode(tables).alias("table_no", "rows")).select(
+    return pages.select("page_id", F.posexplode(_tables()).alias("table_no", "rows")).select(
         "page_id", "table_no", F.posexplode("rows").alias("row_no", "cells")
     )

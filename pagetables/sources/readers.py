@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas
 from ..operators.sitemap import fetched_sitemaps
@@ -12,7 +11,7 @@ from ..operators.traffic import normalize_requests
 
 
 def _read(
-    spark: SparkSession, path: str, schema: StructType, file_format: str, streaming: bool
+    spark: SparkSession, path: str, schema: T.StructType, file_format: str, streaming: bool
 ) -> DataFrame:
     reader = spark.readStream if streaming else spark.read
     return reader.schema(schema).format(file_format).load(path)
@@ -52,7 +51,7 @@ def read_resources(spark: SparkSession, path: str) -> DataFrame:
 
     Later batches win; inside one batch, the later time.
     """
-    log = spark.read.schema(schemas.RESOURCES.add("batch_id", "long")).parquet(path)
+    log = spark.read.schema(T.StructType([*schemas.RESOURCES, T.StructField("batch_id", T.LongType())])).parquet(path)
     return latest_resources(log, "batch_id", "generated_at").drop("batch_id")
 
 
