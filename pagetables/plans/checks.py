@@ -382,3 +382,171 @@ _check(
     "resources",
 )
 _check("clear_resources", "SELECT key, status FROM resources WHERE NOT starts_with(key, 'page:https:')", "resources")
+
+# --- Markdown ---------------------------------------------------------------------------------
+
+_NL = "chr(10)"
+
+
+def replace_each(text: str, pattern: str, variable: str, result: str) -> str:
+    """``text`` with every match, bound to ``variable``, replaced by ``result``."""
+    return (
+        f"array_to_string(list_transform(list_zip(string_split_regex({text}, '{pattern}'), "
+        f"list_transform(regexp_extract_all({text}, '{pattern}'), lambda {variable}: {result})), "
+        "lambda z: z[1] || coalesce(z[2], '')), '')"
+    )
+
+
+def trim_all(text: str) -> str:
+    return f"regexp_replace({text}, '^{_SPACES}+|{_SPACES}+$', '', 'g')"
+
+
+def inner(match: str, tag: str) -> str:
+    return rf"regexp_extract({match}, '(?is)^<{tag}\b[^>]*>(.*)</{tag}>$', 1)"
+
+
+def normalized(text: str) -> str:
+    lines = f"list_transform(string_split({decode(strip(text))}, {_NL}), lambda line: {trim_all('line')})"
+    return trim_all(rf"regexp_replace(array_to_string({lines}, {_NL}), '\n{{3,}}', {_NL} || {_NL}, 'g')")
+
+
+def blocks(name: str, source: str, text: str) -> str:
+    """CTEs from headings to normalized text; the last is ``name``."""
+    headings = "|".join(rf"<h{n}\b[^>]*>.*?</h{n}>" for n in range(1, 7))
+    heading = (
+        rf"{_NL} || repeat('#', CAST(m[3] AS INTEGER)) || ' ' || "
+        rf"{inline(inner('m', 'h[1-6]'))} || {_NL} || {_NL}"
+    )
+    item = f"{_NL} || '- ' || {inline(inner('m', 'li'))} || {_NL}"
+    paragraph = f"{_NL} || {inline(inner('m', 'p'))} || {_NL} || {_NL}"
+    broken = rf"regexp_replace(paragraphs, '<br\s*/?>', {_NL}, 'gi')"
+    broken = rf"regexp_replace({broken}, '</(div|section|article|main|ul|ol|tr)>', {_NL}, 'gi')"
+    broken = rf"regexp_replace({broken}, '<(div|section|article|main|ul|ol|tbody|thead|tr)\b[^>]*>', {_NL}, 'gi')"
+    item_pattern, paragraph_pattern = r"(?is)<li\b[^>]*>.*?</li>", r"(?is)<p\b[^>]*>.*?</p>"
+    return f"""
+{name}_1 AS (SELECT *, {replace_each(text, '(?is)' + headings, 'm', heading)} AS headed FROM {source}),
+{name}_2 AS (SELECT *, {replace_each('headed', item_pattern, 'm', item)} AS items FROM {name}_1),
+{name}_3 AS (SELECT *, {replace_each('items', paragraph_pattern, 'm', paragraph)} AS paragraphs FROM {name}_2),
+{name} AS (SELECT * EXCLUDE (headed, items, paragraphs), {normalized(broken)} AS rendered FROM {name}_3)"""
+
+
+def _table_text(match: str) -> str:
+    cells = f"list_transform(regexp_extract_all(r, '(?is)<th\\b[^>]*>.*?</th>|<td\\b[^>]*>.*?</td>'), lambda c: {inline('c')})"
+    rows = (
+        f"list_filter(list_transform(regexp_extract_all({match}, '(?is)<tr\\b[^>]*>(.*?)</tr>', 1), "
+        f"lambda r: {cells}), lambda r: len(r) > 0)"
+    )
+    width = f"list_max(list_transform({rows}, lambda r: len(r)))"
+    lines = (
+        f"list_transform({rows}, lambda r, i: '| ' || array_to_string(list_concat(r, "
+        f"list_transform(range({width} - len(r)), lambda k: '')), ' | ') || ' |' || CASE WHEN i = 1 THEN "
+        f"{_NL} || '| ' || array_to_string(list_transform(range({width}), lambda k: '---'), ' | ') || ' |' ELSE '' END)"
+    )
+    return (
+        f"CASE WHEN len({rows}) = 0 THEN {_NL} ELSE {_NL} || array_to_string({lines}, {_NL}) || {_NL} || {_NL} END"
+    )
+
+
+_ANCHOR = r"(?is)<a\b[^>]*>.*?</a>"
+_BARE = r"regexp_replace(regexp_replace(line, '^#+\s*', ''), '^-\s*', '')"
+
+# Links in the data are site-relative, so the site of the canonical URL completes them.
+MARKDOWN = f"""
+tabled AS (
+  SELECT *, regexp_extract(canonical_url, '^([a-z]+://[^/]*)', 1) AS site,
+    {replace_each('content', '(?is)<table\\b[^>]*>.*?</table>', 't', _table_text('t'))} AS with_tables FROM metadata),
+anchor_lists AS (SELECT page_id, site, regexp_extract_all(with_tables, '{_ANCHOR}') AS found FROM tabled),
+anchors AS (
+  SELECT page_id, n, regexp_extract(m, '(?is)^<a\\b([^>]*)>', 1) AS attrs, regexp_extract(m, '(?is)^<a\\b[^>]*>(.*)</a>$', 1) AS label, site
+  FROM (SELECT page_id, site, unnest(found) AS m, generate_subscripts(found, 1) AS n FROM anchor_lists)),
+{blocks('labels', 'anchors', 'label')},
+chosen AS (
+  SELECT *, {attr('attrs', 'href')} AS href, coalesce(
+      list_filter(list_transform(string_split(rendered, {_NL}), lambda line: {trim_all(_BARE)}),
+        lambda line: length(line) <= 80 AND regexp_matches(line, '(?i)^(Explore|Learn|Read|View|Open|Start|Try|Sign up|Get started)\\b'))[-1],
+      {inline("coalesce(" + attr('attrs', 'aria-label') + ", 'Open page')")}) AS link_label FROM labels),
+written AS (
+  SELECT page_id, n, CASE
+      WHEN NOT regexp_matches(label, '(?i)<(h[1-6]|p|div|section|article|main|ul|ol|li|table)\\b') THEN
+        CASE WHEN coalesce(href, '') = '' OR {inline('label')} = '' THEN {inline('label')}
+          ELSE '[' || {inline('label')} || '](' || site || {escape_path('href')} || ')' END
+      ELSE {_NL} || {trim_all(f"array_to_string(list_filter(string_split(rendered, {_NL}), lambda line: {inline(_BARE)} <> link_label), {_NL})")}
+        || CASE WHEN coalesce(href, '') = '' THEN '' ELSE {_NL} || {_NL} || '[' || link_label || '](' || site || {escape_path('href')} || ')' END || {_NL}
+      END AS text FROM chosen),
+anchored AS (
+  SELECT t.*, array_to_string(list_transform(list_zip(string_split_regex(with_tables, '{_ANCHOR}'), coalesce(w.texts, [])),
+    lambda z: z[1] || coalesce(z[2], '')), '') AS with_anchors
+  FROM tabled t LEFT JOIN (SELECT page_id, list(text ORDER BY n) AS texts FROM written GROUP BY 1) w USING (page_id)),
+{blocks('bodies', 'anchored', 'with_anchors')}"""
+CHECKS["render_markdown"] = with_steps(
+    "SELECT page_id, rendered AS markdown, CAST(NULL AS VARCHAR) AS error FROM bodies",
+    "pages_enriched",
+    METADATA,
+    MARKDOWN,
+)
+
+
+def document(structured: str) -> str:
+    line = trim_all("line")
+    return f"""
+described AS (
+  SELECT *, CASE WHEN meta_description <> '' THEN meta_description ELSE coalesce(list_filter(
+      list_transform(string_split(rendered, {_NL}), lambda line: {line}),
+      lambda line: line <> '' AND NOT regexp_matches(line, '^(#|- |\\|)'))[1], '') END AS description,
+    {structured} AS structured FROM bodies),
+written_documents AS (
+  SELECT *, regexp_replace('# ' || title || {_NL} || {_NL} || 'Canonical URL: ' || canonical_url || {_NL} ||
+    'Last generated: {_GENERATED}' || {_NL} || 'Source: public HTML' || {_NL} || {_NL} || '## Description' || {_NL} ||
+    CASE WHEN description <> '' THEN description ELSE 'No description found.' END || {_NL} ||
+    CASE WHEN structured <> '' THEN {_NL} || '## Structured Data' || {_NL} || structured || {_NL} ELSE '' END || {_NL} ||
+    '## Content' || {_NL} || CASE WHEN rendered <> '' THEN rendered ELSE 'No extractable content found.' END, '{_SPACES}+$', '') || {_NL} AS document
+  FROM described)"""
+
+
+CHECKS["build_documents"] = with_steps(
+    """SELECT page_id, canonical_url, title, description, document AS markdown, CAST(NULL AS VARCHAR) AS error
+FROM written_documents""",
+    "pages_enriched",
+    METADATA,
+    ENTITIES,
+    SECTIONS,
+    MARKDOWN,
+    document("coalesce((SELECT structured FROM sections s WHERE s.page_id = bodies.page_id), '')"),
+)
+
+# The records of the responses: documents of the pages, which have no structured data.
+RECORDS = f"""
+records AS (
+  SELECT r.seq, {key('r.url')} AS key, {page('r.url')} AS url, coalesce(r.fetch_error,
+      CASE WHEN r.http_status NOT BETWEEN 200 AND 299 THEN 'http-' || r.http_status
+        WHEN NOT contains(lower(r.content_type), 'text/html') THEN 'unsupported-content-type'
+        WHEN r.html = '' THEN 'extractMarkdown requires an HTML string' END) AS reason, d.document
+  FROM responses r JOIN written_documents d ON d.page_id = r.seq),
+crawled AS (
+  SELECT seq, key, url, CASE WHEN reason IS NULL THEN 'ready' ELSE 'failed' END AS status,
+    '{_GENERATED}' AS generated_at, CASE WHEN reason IS NULL THEN document END AS markdown, reason FROM records)"""
+
+
+def _crawled(select: str) -> str:
+    steps = ", ".join((contents("pages"), METADATA, MARKDOWN, document("''"), RECORDS))
+    return f"{with_views('', 'responses')}, {steps} {select}"
+
+
+CHECKS["crawl_pages"] = _crawled("SELECT * FROM crawled")
+CHECKS["crawl_status_report"] = _crawled(
+    "SELECT regexp_extract(url, '://([^/]*)', 1) AS host, status, reason, count(*) AS records FROM crawled GROUP BY ALL"
+)
+_STORED = """SELECT key, url, status, generated_at, markdown, reason
+FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM crawled) WHERE n = 1"""
+CHECKS["stream_crawl"] = _crawled(_STORED)
+CHECKS["stream_crawl_queue"] = _crawled(_STORED)
+CHECKS["scheduled_crawl"] = _crawled(_STORED)
+
+# --- streams: the result of the batch operator ---------------------------------------------------
+
+CHECKS["stream_route"] = CHECKS["route_requests"]
+CHECKS["stream_warmup_queue"] = _on_requests(f"SELECT key FROM ({_MISSES})", "resources")
+CHECKS["stream_traffic_mix"] = _on_requests(
+    f"""SELECT strftime(date_trunc('hour', ts), '{_ISO}') AS hour, type, count(*) AS requests
+FROM labelled GROUP BY 1, 2"""
+)
