@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
@@ -35,3 +35,13 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.gettempdir() + "/pagetables"
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Redistribute the rows of a scan with far fewer splits than there are cores.
+
+    For small inputs in few files.  An input with many splits is returned as it is, so
+    that large pages never go through a shuffle.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() * 4 <= cores else frame

@@ -25,9 +25,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def scrub(text: Column) -> Column:
     """Replace reserved marker characters with U+FFFD."""
-    return F.when(
-        F.rlike(text, F.lit(f"[{_RESERVED}]")), F.translate(text, _RESERVED, "\ufffd" * len(_RESERVED))
-    ).otherwise(text)
+    found = F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(SEP)) | F.contains(text, F.lit(ERROR_MARK))
+    return F.when(found, F.translate(text, _RESERVED, "\ufffd" * len(_RESERVED))).otherwise(text)
 
 
 def rewrite(text: Column, pattern: str, template: str, fn: Callable[[Column], Column]) -> Column:

@@ -10,16 +10,21 @@ from pyspark.sql import Column, functions as F
 
 from .exprs import error, let, rewrite
 
-# White space and line ends as the web platform defines them.
-_BLANKS = r"\t\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+# White space and line ends as the web platform defines them.  In the
+# patterns the rare ones stand behind a range test, so that two tests decide most
+# characters.
+_RARE_SPACES = r"[\u1680-\uFEFF&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]"
+_BLANKS = r"\t\x0B\f\r \xA0" + _RARE_SPACES
 SPACE = r"\n" + _BLANKS
+_SPACE_CHARACTERS = "\n\t\v\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+# Runs that are not already one plain blank.
+_UNEVEN_SPACE = rf"(?: (?=[{SPACE}])|[{SPACE}&&[^ ]])[{SPACE}]*"
 LINE_ENDS = r"\n\r\u2028\u2029"
 NOT_WORD_AHEAD = r"(?![A-Za-z0-9_])"
 NOT_WORD_BEHIND = r"(?<![A-Za-z0-9_])"
 
-_OUTER_SPACE = rf"\A[{SPACE}]+|(?<![{SPACE}])[{SPACE}]++\z"
-_TRAILING_SPACE = rf"(?<![{SPACE}])[{SPACE}]++\z"
-
 
 def open_tag(name: str) -> str:
     """Pattern of an opening tag; ``name`` is a regex fragment."""
@@ -32,11 +37,11 @@ def element(name: str) -> str:
 
 
 def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, _OUTER_SPACE, "")
+    return F.btrim(text, F.lit(_SPACE_CHARACTERS))
 
 
 def trim_end(text: Column) -> Column:
-    return F.regexp_replace(text, _TRAILING_SPACE, "")
+    return F.rtrim(text, F.lit(_SPACE_CHARACTERS))
 
 
 def is_blank(text: Column) -> Column:
@@ -103,7 +108,8 @@ def _character(digits: Column, base: int) -> Column:
         F.when(F.rlike(digits, F.lit(_UNUSABLE[base])), "\ufffd")
         .when(
             F.rlike(digits, F.lit(_EXISTING[base])),
-            F.decode(F.unhex(F.lpad(hexadecimal, 8, "0")), "UTF-32"),
+            # The byte order mark in front is dropped, not one that the entity names.
+            F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(hexadecimal, 8, "0"))), "UTF-32"),
         )
         .otherwise(error(F.concat(F.lit("Invalid code point "), decimal)))
     )
@@ -130,7 +136,7 @@ def decode_xml(text: Column) -> Column:
 
 def inline_text(text: Column) -> Column:
     """One line of text: no tags, entities decoded, white space collapsed."""
-    return F.trim(F.regexp_replace(decode_entities(strip_tags(text)), f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(decode_entities(strip_tags(text)), _UNEVEN_SPACE, " "))
 
 
 def squeeze_blank_lines(text: Column) -> Column:
@@ -139,6 +145,5 @@ def squeeze_blank_lines(text: Column) -> Column:
 
 def normalize_markdown(text: Column) -> Column:
     """Decode, trim every line, allow one blank line in a row, trim the whole."""
-    text = F.regexp_replace(decode_entities(text), rf"\n[{_BLANKS}]+", "\n")
-    text = F.regexp_replace(text, rf"(?<![{SPACE}])[{_BLANKS}]++(?=\n)", "")
-    return squeeze_blank_lines(text)
+    lines = F.transform(F.split(decode_entities(text), "\n"), trim_space)
+    return squeeze_blank_lines(F.array_join(lines, "\n"))

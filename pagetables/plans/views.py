@@ -10,6 +10,8 @@ from string import Template
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..config import spread
+
 TABLES = ("pages", "events")
 
 VIEWS = {
@@ -108,7 +110,7 @@ def with_views(select: str, *names: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, **tables: DataFrame) -> DataFrame:

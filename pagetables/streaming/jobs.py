@@ -13,6 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..config import spread
 from ..operators.documents import crawl_pages
 from ..operators.routing import agent_page_requests, route_requests
 from ..operators.sitemap import crawl_frontier
@@ -87,7 +88,7 @@ def stream_crawl(
 
     def crawl(batch: DataFrame, batch_id: int) -> None:
         time = F.current_timestamp() if generated_at is None else generated_at
-        write_resources(crawl_pages(batch, time), path, batch_id)
+        write_resources(crawl_pages(spread(batch), time), path, batch_id)
 
     return _start(responses, checkpoint, crawl, available_now)
 
