@@ -56,7 +56,7 @@ def _number_text(number: Column) -> Column:
     )
     exponent = F.regexp_replace(F.regexp_replace(number.cast("string"), r"\.0E", "E"), "E(?=[0-9])", "e+")
     size = F.abs(number)
-    return F.when(size == 0, "0").when(size.between(1e-6, 1e21), plain).otherwise(F.lower(exponent))
+    return F.when(size == 0, "0").when((size >= 1e-6) & (size < 1e21), plain).otherwise(F.lower(exponent))
 
 
 def _scalar(value: Column) -> Column:
