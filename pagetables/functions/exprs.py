@@ -35,16 +35,34 @@ def rewrite(text: Column, pattern: str, template: str, fn: Callable[[Column], Co
     ``template`` (``$1`` groups allowed) is what ``fn`` receives for every match.
     The text is scanned by the pattern once; odd pieces of the split are matches.
     """
-    pieces = F.split(F.regexp_replace(text, pattern, MARK + template + MARK), MARK)
     return F.array_join(
-        F.transform(pieces, lambda piece, i: F.when(i % 2 == 1, fn(piece)).otherwise(piece)), ""
+        F.transform(
+            pieces(text, pattern, template), lambda piece, i: F.when(i % 2 == 1, fn(piece)).otherwise(piece)
+        ),
+        "",
     )
 
 
 def matches(text: Column, pattern: str, template: str) -> Column:
     """Array with ``template`` expanded for every match of ``pattern``, in order."""
-    pieces = F.split(F.regexp_replace(text, pattern, MARK + template + MARK), MARK)
-    return F.filter(pieces, lambda piece, i: i % 2 == 1)
+    return F.filter(pieces(text, pattern, template), lambda piece, i: i % 2 == 1)
+
+
+def pieces(text: Column, pattern: str, template: str) -> Column:
+    """Text between matches at even places, ``template`` per match at odd ones."""
+    return F.split(F.regexp_replace(text, pattern, MARK + template + MARK), MARK)
+
+
+def up_to_last(text: Column, close: str, fn: Callable[[Column], Column]) -> Column:
+    """Apply ``fn`` to the text up to the last ``close`` only.
+
+    For patterns that end with ``close``: no match can begin behind the last one, where
+    every opening tag would be followed to the end of the text in vain.
+    """
+    return let(
+        F.regexp_extract(text, rf"(?is)\A.*{close}", 0),
+        lambda head: F.concat(fn(head), F.substr(text, F.length(head) + 1)),
+    )
 
 
 def error(message: Column) -> Column:

@@ -11,7 +11,18 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exprs import MARK, SEP, after_sep, before_sep, error, first_error, let, rewrite, settle
+from ..functions.exprs import (
+    SEP,
+    after_sep,
+    before_sep,
+    error,
+    first_error,
+    let,
+    pieces,
+    rewrite,
+    settle,
+    up_to_last,
+)
 from ..functions.text import (
     NOT_WORD_AHEAD,
     SPACE,
@@ -88,14 +99,19 @@ def _break_lines(text: Column) -> Column:
     return F.regexp_replace(text, f"(?i)<(?:{_OPENING_BLOCKS}){NOT_WORD_AHEAD}[^>]*>", "\n")
 
 
+def _rewrite_elements(text: Column, tag: str, fn: Callable[[Column], Column]) -> Column:
+    """Rewrite elements whose end tag is often left out."""
+    return up_to_last(text, f"</{tag}>", lambda head: rewrite(head, element(tag), "$1", fn))
+
+
 # The rewriting steps around the anchors, in order.
 _BEFORE_ANCHORS: tuple[Callable[[Column], Column], ...] = (
     lambda text: rewrite(strip_boilerplate(text), TABLE, "$1", table_markdown),
 )
 _AFTER_ANCHORS: tuple[Callable[[Column], Column], ...] = (
     lambda text: rewrite(text, _HEADING, "$1$2", _heading),
-    lambda text: rewrite(text, element("li"), "$1", _lines_around("\n- ", "\n")),
-    lambda text: rewrite(text, element("p"), "$1", _lines_around("\n", "\n\n")),
+    lambda text: _rewrite_elements(text, "li", _lines_around("\n- ", "\n")),
+    lambda text: _rewrite_elements(text, "p", _lines_around("\n", "\n\n")),
     lambda text: normalize_markdown(strip_tags(_break_lines(text))),
 )
 
@@ -201,13 +217,14 @@ def _write_anchors() -> Column:
             F.lit("\n"),
         )
 
-    def write(anchor: Column, i: Column) -> Column:
-        url = F.coalesce(url_text(F.get(F.col("_urls"), i)), error(F.lit(INVALID_URL)))
-        return F.when(anchor.block, block(anchor, url, F.get(F.col("_labels"), i))).otherwise(
-            inline(anchor, url)
-        )
+    def write(zipped: Column) -> Column:
+        anchor = zipped["_anchors"]
+        url = F.coalesce(url_text(zipped["_urls"]), error(F.lit(INVALID_URL)))
+        return F.when(anchor.block, block(anchor, url, zipped["_labels"])).otherwise(inline(anchor, url))
 
-    return F.transform(F.col("_anchors"), write)
+    # Zipped and not looked up by place: a column used once inside a lambda may be
+    # computed anew for every element.
+    return F.transform(F.arrays_zip("_anchors", "_urls", "_labels"), write)
 
 
 def _with_anchors(pages: DataFrame) -> DataFrame:
@@ -215,9 +232,14 @@ def _with_anchors(pages: DataFrame) -> DataFrame:
 
     A label cannot hold another complete anchor, so labels need no anchor step.
     """
-    marked = F.regexp_replace("_text", _ANCHOR, f"{MARK}$1{SEP}$2{MARK}")
     listed = (
-        pages.withColumn("_pieces", F.split(marked, MARK))
+        pages.withColumn("_head", F.regexp_extract("_text", r"(?is)\A.*</a>", 0))
+        .withColumns(
+            {
+                "_pieces": pieces(F.col("_head"), _ANCHOR, f"$1{SEP}$2"),
+                "_tail": F.substr("_text", F.length("_head") + 1),
+            }
+        )
         .withColumn("_anchors", _read_anchors())
         .withColumns(
             {"_hrefs": F.transform("_anchors", lambda a: a.href), "_labels": _label_texts()}
@@ -227,14 +249,11 @@ def _with_anchors(pages: DataFrame) -> DataFrame:
     for step in _BEFORE_ANCHORS + _AFTER_ANCHORS:
         listed = listed.withColumn("_labels", _label_step(step))
     written = listed.withColumn("_labels", _choose_labels()).withColumn("_written", _write_anchors())
-    text = F.array_join(
-        F.transform(
-            "_pieces",
-            lambda piece, i: F.when(i % 2 == 1, F.get(F.col("_written"), (i / 2).cast("int"))).otherwise(piece),
-        ),
-        "",
+    between = F.filter("_pieces", lambda piece, i: i % 2 == 0)
+    text = F.zip_with(between, "_written", lambda before, anchor: F.concat(before, F.coalesce(anchor, F.lit(""))))
+    return _advance(written, F.concat(F.array_join(text, ""), F.col("_tail"))).drop(
+        "_head", "_tail", "_pieces", "_anchors", "_hrefs", "_urls", "_labels", "_written"
     )
-    return _advance(written, text).drop("_pieces", "_anchors", "_hrefs", "_urls", "_labels", "_written")
 
 
 def with_markdown(prepared: DataFrame) -> DataFrame:

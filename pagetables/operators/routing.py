@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.exprs import settle
 from ..functions.urls import page_url
 from ..rules import AI_AGENT
 from .store import is_servable, markdown_is_blank
@@ -20,10 +21,10 @@ _LOG_FIELDS = ("request_id", "ts", "method", "type", "name")
 def _labelled(requests: DataFrame) -> DataFrame:
     """Requests with class, page URL and whether they need a record."""
     classified = classify_traffic(requests).withColumn("page", page_url("url"))
-    needs_record = F.coalesce(
-        is_page_request(F.col("method"), "url") & (F.col("type") == AI_AGENT), F.lit(False)
+    needs_record = is_page_request(F.col("method"), F.col("page")) & (F.col("type") == AI_AGENT)
+    return settle(
+        classified, *_LOG_FIELDS, "page", F.coalesce(needs_record, F.lit(False)).alias("lookup")
     )
-    return classified.select(*_LOG_FIELDS, "page", needs_record.alias("lookup"))
 
 
 def agent_page_requests(requests: DataFrame) -> DataFrame:

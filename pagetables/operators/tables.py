@@ -17,12 +17,13 @@ _CELL = rf"(?is)<(th|td){NOT_WORD_AHEAD}[^>]*>(.*?)</\1>"
 def table_rows(table: Column) -> Column:
     """``array<array<string>>`` of one table, padded to its widest row."""
 
+    # Nothing behind the last end tag can match, see `up_to_last`.
     def cells(row: Column) -> Column:
-        return F.transform(matches(row, _CELL, "$2"), inline_text)
+        head = F.regexp_extract(row, r"(?is)\A.*</t[hd]>", 0)
+        return F.transform(matches(head, _CELL, "$2"), inline_text)
 
-    filled = F.filter(
-        F.transform(matches(table, element("tr"), "$1"), cells), lambda row: F.size(row) > 0
-    )
+    rows = F.regexp_extract(table, r"(?is)\A.*</tr>", 0)
+    filled = F.filter(F.transform(matches(rows, element("tr"), "$1"), cells), lambda row: F.size(row) > 0)
 
     def pad(rows: Column) -> Column:
         width = F.array_max(F.transform(rows, F.size))

@@ -57,14 +57,13 @@ def _first_match(user_agent: Column, rules: Iterable[BotRule], otherwise: Column
     return otherwise if branches is None else branches.otherwise(otherwise)
 
 
-def traffic_class(user_agent: Column, accept: Column, rules: Iterable[BotRule] = ()) -> Column:
-    """``struct<type, name>`` of the first rule that matches.
+def traffic_class(agent: Column, accept: Column, rules: Iterable[BotRule] = ()) -> Column:
+    """``struct<type, name>`` of the first rule that matches a trimmed user agent.
 
     Custom AI rules, default AI rules, custom search rules, default search rules,
     generic bot words, browser signs, unknown.  One CASE expression, no shuffle;
     user agents without any known bot word skip the default rules in one test.
     """
-    agent = trim_space(F.coalesce(user_agent, F.lit("")))
     ordered = sorted(rules, key=lambda rule: rule.priority)
     unknown = [rule.traffic for rule in ordered if rule.traffic not in (AI_AGENT, SEARCH_CRAWLER)]
     if unknown:
@@ -90,8 +89,10 @@ def traffic_class(user_agent: Column, accept: Column, rules: Iterable[BotRule] =
 
 def classify_traffic(requests: DataFrame, rules: Iterable[BotRule] = ()) -> DataFrame:
     """Add ``type`` and ``name`` to every request."""
-    labelled = requests.withColumn("_class", traffic_class(F.col("user_agent"), F.col("accept"), rules))
-    return labelled.select("*", "_class.type", "_class.name").drop("_class")
+    labelled = requests.withColumn(
+        "_agent", trim_space(F.coalesce("user_agent", F.lit("")))
+    ).withColumn("_class", traffic_class(F.col("_agent"), F.col("accept"), rules))
+    return labelled.select("*", "_class.type", "_class.name").drop("_agent", "_class")
 
 
 def read_rules(rules: DataFrame) -> list[BotRule]:
@@ -107,13 +108,13 @@ def classify_with_rules(requests: DataFrame, rules: DataFrame | Iterable[BotRule
     return classify_traffic(requests, read_rules(rules) if isinstance(rules, DataFrame) else list(rules))
 
 
-def is_page_request(method: Column, url: Column | str) -> Column:
-    """GET or HEAD (exactly) of a path that is not an asset."""
-    return method.isin("GET", "HEAD") & ~F.rlike(url_path(page_url(url)), F.lit(ASSET_PATTERN))
+def is_page_request(method: Column, page: Column) -> Column:
+    """GET or HEAD (exactly) of a page URL, made by `page_url`, that is not an asset."""
+    return method.isin("GET", "HEAD") & ~F.rlike(url_path(page), F.lit(ASSET_PATTERN))
 
 
 def page_requests(requests: DataFrame) -> DataFrame:
-    return requests.filter(is_page_request(F.col("method"), "url"))
+    return requests.filter(is_page_request(F.col("method"), page_url("url")))
 
 
 def normalize_requests(log: DataFrame, origin: str | None = None) -> DataFrame:
