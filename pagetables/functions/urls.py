@@ -7,11 +7,9 @@ already in short form are not supported and count as invalid.
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import Column, functions as F
 
-from .cache import by_name
+from .cache import by_name, once
 from .exprs import let
 
 # Special schemes and their default ports, and characters that stay
@@ -357,7 +355,7 @@ def resolve_url(href: Column, base: Column) -> Column:
     )
 
 
-@cache
+@once
 def resolve_urls(hrefs: str, base: str) -> Column:
     """`resolve_url` over an array column, by column names."""
     return F.transform(F.col(hrefs), lambda href: resolve_url(href, F.col(base)))

@@ -112,10 +112,15 @@ def fetch_failure(responses: DataFrame) -> Column:
 
 
 def crawl_pages(responses: DataFrame, generated_at: datetime | str | Column) -> DataFrame:
-    """`ready` or `failed` resource row per response.  See `dead_letters` for the rest."""
-    kept = [name for name in ("seq",) if name in responses.columns]
+    """`ready` or `failed` resource row per response.  See `dead_letters` for the rest.
+
+    ``seq`` orders the writes of one time: it is taken from the responses, or is the
+    time of the fetch.
+    """
+    order = [name for name in ("seq", "fetched_at") if name in responses.columns][:1]
+    kept = ["seq"] if order else []
     gated = responses.select(
-        *kept,
+        *[F.col(name).alias("seq") for name in order],
         _time(generated_at).alias("generated_at"),
         page_url("url").alias("record_url"),
         "url",

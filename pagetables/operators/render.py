@@ -7,10 +7,9 @@ anchors go through the same steps as an array column.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.cache import once
 from ..functions.exprs import (
     SEP,
     after_sep,
@@ -116,12 +115,12 @@ _AFTER_ANCHORS: tuple[Callable[[Column], Column], ...] = (
 )
 
 
-@cache
+@once
 def _text_step(step: Callable[[Column], Column]) -> Column:
     return step(F.col("_text"))
 
 
-@cache
+@once
 def _label_step(step: Callable[[Column], Column]) -> Column:
     """A step over the labels of block anchors.  The error of a text is taken before
     the next step, which may drop it."""
@@ -141,7 +140,7 @@ def _advance(pages: DataFrame, text: Column) -> DataFrame:
     )
 
 
-@cache
+@once
 def _read_anchors() -> Column:
     def read(piece: Column) -> Column:
         return let(
@@ -157,7 +156,7 @@ def _read_anchors() -> Column:
     return F.transform(F.filter(F.col("_pieces"), lambda piece, i: i % 2 == 1), read)
 
 
-@cache
+@once
 def _label_texts() -> Column:
     """Labels to render: those of block anchors."""
     return F.transform(
@@ -168,7 +167,7 @@ def _label_texts() -> Column:
     )
 
 
-@cache
+@once
 def _choose_labels() -> Column:
     """Link label of every block anchor: its last call-to-action line, else the
     accessible name, else a fixed text."""
@@ -194,7 +193,7 @@ def _choose_labels() -> Column:
     )
 
 
-@cache
+@once
 def _write_anchors() -> Column:
     """Markdown of every anchor."""
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.cache import once
 from ..functions.exprs import SEP, after_sep, before_sep, let, matches, scrub, settle
 from ..functions.text import NOT_WORD_AHEAD, attribute, inline_text, trim_space
 from ..functions.urls import resolve_urls, url_text
@@ -112,7 +111,7 @@ def _pending(value: Column) -> Column:
     return F.struct(F.lit(False).alias("done"), value.alias("value"))
 
 
-@cache
+@once
 def _parse_scripts() -> Column:
     """Parsed JSON of every JSON-LD script, with a bound on its nesting."""
 
@@ -132,7 +131,7 @@ def _parse_scripts() -> Column:
     return F.when(F.rlike("html", F.lit("(?i)ld\\+json")), F.transform(scripts, parse))
 
 
-@cache
+@once
 def _visit_nodes() -> Column:
     """``array<variant>`` of all nodes in visit order.
 
@@ -253,12 +252,12 @@ def _read_entity(node: Column) -> Column:
     )
 
 
-@cache
+@once
 def _read_entities() -> Column:
     return F.filter(F.transform(F.col("_nodes"), _read_entity), lambda entity: entity.isNotNull())
 
 
-@cache
+@once
 def _written_urls() -> Column:
     """All URLs of the entities, distinct."""
     organization_links = F.filter(F.col("_read"), lambda entity: entity.entity == "Organization")
@@ -277,7 +276,7 @@ def _written_urls() -> Column:
     )
 
 
-@cache
+@once
 def _absolute_entities() -> Column:
     """Entities with absolute URLs; one that is not valid stays as written."""
     no_texts = F.array().cast("array<string>")
@@ -388,7 +387,7 @@ def entity_section(entity: Column) -> Column:
     )
 
 
-@cache
+@once
 def _sections() -> Column:
     """All sections, without empty ones and exact repeats, first one kept."""
     sections = F.filter(F.transform(F.col("entities"), entity_section), lambda section: section != "")

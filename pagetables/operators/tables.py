@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.cache import once
 from ..functions.exprs import let, matches
 from ..functions.text import NOT_WORD_AHEAD, element, inline_text
 from .content import page_content
@@ -34,7 +33,7 @@ def table_rows(table: Column) -> Column:
     return let(filled, pad)
 
 
-@cache
+@once
 def _tables() -> Column:
     """Tables with at least one row."""
     found = matches(page_content("html").html, TABLE, "$1")

@@ -25,7 +25,7 @@ def _fields(records: DataFrame) -> DataFrame:
 
 def write_resources(records: DataFrame, path: str, batch_id: int = 0) -> None:
     """Write one batch, last write per key."""
-    last = latest_resources(_fields(records))
+    last = _fields(latest_resources(records))
     last.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 

@@ -20,6 +20,8 @@ from ..operators.sitemap import crawl_frontier
 from ..operators.traffic import classify_traffic
 from ..sources.writers import write_resources
 
+_SALTS = 64
+
 TableReader = Callable[[SparkSession], DataFrame]
 
 
@@ -65,11 +67,17 @@ def stream_warmup_queue(
     lateness: str = "1 hour",
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Missed pages, once per watermark interval.  State holds keys of that interval only."""
+    """Missed pages, once per watermark interval.  State holds keys of that interval only.
+
+    Repeats are first dropped per key and salt, so a hot page is spread over tasks and
+    sends one row per salt to the second step.
+    """
     missed = (
         agent_page_requests(requests.withWatermark("ts", lateness))
         .filter(F.col("method") == "GET")
         .join(resources.select("key"), "key", "left_anti")
+        .withColumn("salt", F.pmod(F.xxhash64("request_id"), F.lit(_SALTS)))
+        .dropDuplicatesWithinWatermark(["key", "salt"])
         .dropDuplicatesWithinWatermark(["key"])
         .select("key", F.col("page").alias("url"), F.col("ts").alias("requested_at"))
     )

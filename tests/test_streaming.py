@@ -66,3 +66,15 @@ def test_records_written_between_batches_are_seen(spark):
         known.pop(0) if i == 0 else None
     decisions = {row.request_id: row.decision for row in spark.read.parquet(path).collect()}
     assert decisions == {0: "origin_warm", 1: "serve_markdown"}
+
+
+def test_last_fetch_of_a_batch_wins(spark):
+    landed, table, checkpoint = (work_folder(spark, name) for name in ("landed", "table", "checkpoint"))
+    rows = [
+        ("https://e.com/a", 200, "text/html", "<main>new</main>", "2024-01-03 00:00:00", None),
+        ("https://e.com/a?x", 404, "text/html", "", "2024-01-02 00:00:00", None),
+    ]
+    fields = RESPONSE.replace("fetched_at timestamp", "fetched_at string")
+    spark.createDataFrame(rows, fields).withColumn("fetched_at", F.col("fetched_at").cast("timestamp")).write.parquet(landed)
+    jobs.stream_crawl(read_responses(spark, landed, streaming=True), table, checkpoint, TIME).awaitTermination()
+    assert [row.status for row in read_resources(spark, table).collect()] == ["ready"]
