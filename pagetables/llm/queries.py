@@ -7,17 +7,65 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagetables.llm.common import load
+from pagetables.llm.decontaminate import contamination
+from pagetables.llm.mixing import mixed
+from pagetables.llm.quality_model import quality_scores
+from pagetables.llm.simhash_groups import near_groups
 from pagetables.llm.suffix_dedup import remove_repeats
+from pagetables.llm.warc import capture_histories
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(load(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(load(spark, sf_dir, "documents"))
+
+
+def op5_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_histories(load(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.drop("items")
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(load(spark, sf_dir, "documents")).drop("source", "shard")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_simhash_groups": op4_simhash_groups,
+    "op5_warc_histories": op5_warc_histories,
+    "op6_decontamination": op6_decontamination,
+    "op9_source_mix": op9_source_mix,
 }
 
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op5_warc_histories": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS payload FROM pages
+        ), d AS (
+            SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+                   sha256(payload) AS payload_digest FROM p
+        ), f AS (
+            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+        FROM f
+    """,
+}

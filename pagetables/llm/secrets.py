@@ -1,0 +1,292 @@
+"""Secret scans: formats learnt as probabilistic automata from labelled credentials.
+
+Learning merges states of a prefix tree.  The tree of a kind's labelled credentials counts
+how often each state is left by each class of characters and how often it ends.  States are
+taken breadth first; a state is merged into the first earlier one whose counts agree within
+the Hoeffding bound, and so do those of their successors.  What remains is a probabilistic
+automaton of the format.
+
+Labels are the base rules' own matches in the corpus, ``SAMPLE`` of each kind at most, and
+generated examples of public formats, so that an automaton exists without any match.
+
+Every candidate (a run of token characters with a digit) is scored by every automaton: the
+mean log likelihood of a character in the format against that in words of running text.
+A candidate above ``MARGIN`` is a span of that format, unless a base span overlaps it.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pagetables.llm.common import pick
+
+#: The kinds of the base rules in order, their patterns and least lengths.
+KINDS = ("assign", "access", "hex")
+_ASSIGN = re.compile(
+    r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+)
+_ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+_HEX = re.compile(r"[0-9a-f]{16,}")
+_WORTH = re.compile(r"passw|secret|token|api_?key")
+LEAST = {"assign": 12, "access": 18, "hex": 16}
+
+#: Labelled matches of a kind that are learnt from at most.
+SAMPLE = 2000
+#: Generated examples of each public format.
+EXAMPLES = 300
+#: Confidence of the test that keeps states apart.
+ALPHA = 0.05
+#: Nats by which a character must be likelier in the format than in words.
+MARGIN = 1.0
+#: Characters of a candidate at least, and that the automata read at most.
+SHORTEST = 16
+SEED = 2
+
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{16,}")
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_DIGITS = "0123456789"
+
+
+def _public_formats() -> dict[str, list[str]]:
+    """Examples of widely documented credential formats, the same ones in every run."""
+    rng = random.Random(SEED)
+    upper, mixed = _LETTERS.upper() + _DIGITS, _LETTERS + _LETTERS.upper() + _DIGITS
+    some = lambda chars, n: "".join(rng.choices(chars, k=n))
+    return {
+        "access": ["AKIA" + some(upper, 16) for _ in range(EXAMPLES)],
+        "hex": [some("0123456789abcdef", rng.choice((32, 40, 64))) for _ in range(EXAMPLES)],
+        "forge": ["gh" + rng.choice("pousr") + "_" + some(mixed, 36) for _ in range(EXAMPLES)],
+        "chat": ["xox" + rng.choice("bap") + "-" + some(_DIGITS, 12) + "-" + some(mixed, 24) for _ in range(EXAMPLES)],
+        "cloud": ["AIza" + some(mixed + "-_", 35) for _ in range(EXAMPLES)],
+        "pay": ["sk_live_" + some(mixed, 24) for _ in range(EXAMPLES)],
+        "signed": ["eyJ" + some(mixed, 33) + ".eyJ" + some(mixed, 60) + "." + some(mixed + "-_", 43) for _ in range(EXAMPLES)],
+    }
+
+
+#: Fixed beginnings that stay letter by letter; any other character counts as its class.
+_LITERAL = ("AKIA", "gh", "xox", "AIza", "sk_live_", "eyJ")
+
+
+def symbols(text: str) -> list[str]:
+    """The characters as the automata read them: hexadecimal, other letters, digits, signs."""
+    head = next((x for x in _LITERAL if text.startswith(x)), "")
+    out = list(head)
+    for c in text[len(head) :]:
+        if c in _DIGITS:
+            out.append("9")
+        elif "a" <= c <= "f":
+            out.append("f")
+        elif c.islower():
+            out.append("z")
+        elif c.isupper():
+            out.append("Z")
+        else:
+            out.append("_" if c not in "-." else c)
+    return out
+
+
+#: How many characters each class stands for: a class's probability is shared among them.
+_SIZE = {"9": 10, "f": 6, "z": 20, "Z": 26, "_": 4}
+
+
+@dataclass
+class State:
+    ends: int = 0
+    out: Counter = field(default_factory=Counter)
+    to: dict[str, int] = field(default_factory=dict)
+
+    @property
+    def seen(self) -> int:
+        return self.ends + sum(self.out.values())
+
+
+class Automaton:
+    """Probabilistic automaton by state merging over a prefix tree."""
+
+    def __init__(self, examples: list[str], alpha: float = ALPHA) -> None:
+        self.states = [State()]
+        self.alpha = alpha
+        for text in examples:
+            at = 0
+            for s in symbols(text):
+                state = self.states[at]
+                state.out[s] += 1
+                if s not in state.to:
+                    state.to[s] = len(self.states)
+                    self.states.append(State())
+                at = state.to[s]
+            self.states[at].ends += 1
+        self._merge_states()
+        self._finish()
+
+    def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
+        if not n1 or not n2:
+            return False
+        bound = math.sqrt(0.5 * math.log(2 / self.alpha)) * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
+        return abs(f1 / n1 - f2 / n2) > bound
+
+    def _compatible(self, a: int, b: int) -> bool:
+        open_, seen = [(a, b)], set()
+        while open_:
+            a, b = pair = open_.pop()
+            if a == b or pair in seen:
+                continue
+            seen.add(pair)
+            x, y = self.states[a], self.states[b]
+            n, m = x.seen, y.seen
+            if self._differ(x.ends, n, y.ends, m):
+                return False
+            for s in x.out.keys() | y.out.keys():
+                if self._differ(x.out[s], n, y.out[s], m):
+                    return False
+                if s in x.to and s in y.to:
+                    open_.append((x.to[s], y.to[s]))
+        return True
+
+    def _fold(self, a: int, b: int) -> None:
+        """The tree below b is added to the states from a."""
+        open_ = [(a, b)]
+        while open_:
+            a, b = open_.pop()
+            x, y = self.states[a], self.states[b]
+            x.ends += y.ends
+            for s, n in y.out.items():
+                x.out[s] += n
+                if s in x.to:
+                    open_.append((x.to[s], y.to[s]))
+                else:
+                    x.to[s] = y.to[s]
+
+    def _merge_states(self) -> None:
+        kept, queue = [0], [(0, s) for s in sorted(self.states[0].to)]
+        while queue:
+            parent, s = queue.pop(0)
+            at = self.states[parent].to[s]
+            if at in kept:
+                continue
+            same = next((k for k in kept if self._compatible(k, at)), None)
+            if same is None:
+                kept.append(at)
+            else:
+                self.states[parent].to[s] = same
+                self._fold(same, at)
+            done = set(kept)
+            queue = [(k, c) for k in kept for c in sorted(self.states[k].to) if self.states[k].to[c] not in done]
+
+    def _finish(self) -> None:
+        """Tables of the reachable states: log probability of a character, next state, end."""
+        order, place = [0], {0: 0}
+        for at in order:
+            for s in sorted(self.states[at].to):
+                if (to := self.states[at].to[s]) not in place:
+                    place[to] = len(order)
+                    order.append(to)
+        self.step, self.end = [], []
+        for at in order:
+            state = self.states[at]
+            total = state.seen + 1
+            self.step.append(
+                {s: (math.log(n / total / _SIZE.get(s, 1)), place[state.to[s]]) for s, n in state.out.items()}
+            )
+            self.end.append(math.log(max(state.ends, 0.5) / total))
+        del self.states
+
+    def score(self, read: list[str]) -> float | None:
+        """Mean log likelihood of a character, the end included; None outside the format."""
+        at, total = 0, 0.0
+        for s in read:
+            step = self.step[at].get(s)
+            if step is None:
+                return None
+            total += step[0]
+            at = step[1]
+        return (total + self.end[at]) / (len(read) + 1)
+
+
+@dataclass
+class SecretModel:
+    automata: dict[str, Automaton]
+    words: dict[str, float]
+    margin: float = MARGIN
+
+    def best(self, candidate: str) -> tuple[str, float] | None:
+        """The format whose likelihood exceeds that of words by the most."""
+        read = symbols(candidate)
+        plain = sum(self.words.get(c, -9.0) for c in candidate.lower()) / len(candidate)
+        scored = ((a.score(read), kind) for kind, a in self.automata.items())
+        score, kind = max(((s, k) for s, k in scored if s is not None), default=(None, None))
+        return (kind, score - plain) if score is not None and score - plain > self.margin else None
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind's place, end) of the base rules' matches, in order."""
+    found = []
+    if _WORTH.search(text.lower()):
+        found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[1]) >= LEAST["assign"]]
+    if "AKIA" in text:
+        found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
+    found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+    return sorted(found)
+
+
+def all_spans(text: str, model: SecretModel) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
+    """Base spans, and all spans, each as (start, kind, end)."""
+    base = base_spans(text)
+    taken = [(a, b) for a, _, b in base]
+    more = []
+    for m in _CANDIDATE.finditer(text):
+        a, b = m.span()
+        if any(x < b and a < y for x, y in taken):
+            continue
+        if best := model.best(m[0]):
+            more.append((a, best[0], b))
+    named = [(a, KINDS[k], b) for a, k, b in base]
+    rank = {kind: i for i, kind in enumerate(KINDS)}
+    return named, sorted(named + more, key=lambda s: (s[0], rank.get(s[1], len(KINDS)), s[1], s[2]))
+
+
+def _word_model(texts: list[str]) -> dict[str, float]:
+    """Log share of each character among the letters and digits of running text."""
+    counts = Counter("".join(re.findall(r"[a-z0-9]+", " ".join(texts).lower())))
+    for c in _LETTERS + _DIGITS:
+        counts[c] += 1
+    total = sum(counts.values())
+    return {c: math.log(n / total) for c, n in counts.items()}
+
+
+def learn(docs: DataFrame, sample: int = SAMPLE, margin: float = MARGIN) -> SecretModel:
+    """Automata of all formats from the corpus's labelled matches and the public examples."""
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch["text"].to_pylist():
+                for a, kind, b in base_spans(text or ""):
+                    value = _ASSIGN.match(text, a, b)[1] if kind == 0 else text[a:b]
+                    out.append((KINDS[kind], value[:256]))
+            kinds, values = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"]
+            )
+
+    texts = pick(docs, text="string")
+    found = texts.mapInArrow(labelled, "kind string, value string").distinct()
+    formats = _public_formats()
+    for kind in KINDS:
+        rows = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
+        formats[kind] = [r["value"] for r in rows] + formats.get(kind, [])
+    return SecretModel({k: Automaton(v) for k, v in formats.items() if v}, _word_model([]), margin)
+
+
+def _joined(spans: list[tuple[int, str, int]]) -> str:
+    return ",".join(f"{kind}:{a}:{b}" for a, kind, b in spans)
