@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,19 +159,18 @@ def _scan(docs: DataFrame, key: str, short: list[int] | None, slots) -> DataFram
             wanted = lambda h: bits[(h % np.uint64(SLOTS)).astype(np.int64)]
         for batch in batches:
             data, offsets = utf8(batch["text"])
-            raw, at = data.tobytes(), offsets.tolist()
             n, hits = zip(*_fingerprints(data, offsets, short, wanted), strict=True) if batch.num_rows else ((), ())
-            rid = [xxhash.xxh3_64_intdigest(raw[a:b]) - (1 << 63) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch[key],
-                    pa.array(rid, pa.int64()),
+                    batch["rid"],
                     pa.array(n, pa.int64()),
                     pa.array([[dict(zip(_FIELDS, h, strict=True)) for h in x] for x in hits], _HIT_TYPE),
                 ],
                 [key, "rid", "n_words", "hits"],
             )
 
+    docs = docs.withColumn("rid", F.xxhash64("text"))
     return docs.mapInArrow(scan, f"{key} bigint, rid bigint, n_words bigint, hits array<{_HIT}>")
 
 
@@ -183,7 +181,7 @@ def _bit_map(items: DataFrame) -> np.ndarray:
         items.select(F.conv(F.hex("hash"), 16, 10).cast("decimal(20,0)").alias("slot"))
         .select(slot.cast("int").alias("slot"))
         .groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.col("slot").bitwiseAND(63))).alias("bits"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
     )
     out = np.zeros(SLOTS // 64, np.int64)
     for r in words.toLocalIterator():
@@ -291,4 +289,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(",", listed_items), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         listed_items.alias("items"),
+        "rid",
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, that share no window with an item."""
+    bad = contamination(docs, benchmark).where("contaminated").select(
+        F.col("doc_id").alias("bad_id"), F.col("rid").alias("bad_rid")
+    )
+    same = docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_rid"])
+    return docs.join(bad, same, "left_anti")

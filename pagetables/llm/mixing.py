@@ -116,7 +116,7 @@ def mixed(
     """
     rows = pick(docs, doc_id="bigint", source="string", text="string")
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = settled(rows.select("doc_id", "source", words.alias("size")), "sizes")
+    rows = settled(rows.select("doc_id", "source", words.alias("size"), F.xxhash64("text").alias("rid")), "sizes")
     sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
     everything = F.sum("target").over(W.partitionBy("all"))
     sources = apportion(
@@ -156,7 +156,7 @@ def mixed(
     )
     before = F.coalesce(
         F.sum("size").over(
-            W.partitionBy("source", "shard").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+            W.partitionBy("source", "shard").orderBy("order", "doc_id", "size", "rid").rowsBetween(W.unboundedPreceding, -1)
         ),
         F.lit(0),
     )
@@ -175,4 +175,18 @@ def mixed(
         (rounds * F.col("size") + part).cast("bigint").alias("taken"),
         "source",
         "shard",
+        "rid",
     )
+
+
+def take_mix(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with all columns and ``size``, ``target`` and ``taken``.
+
+    Rows of one id and text are one document here: it comes once, with what all of them take.
+    """
+    mix = mixed(docs, **how).groupBy(F.col("doc_id").alias("mix_id"), F.col("rid").alias("mix_rid")).agg(
+        F.sum("size").alias("size"), F.first("target").alias("target"), F.sum("taken").alias("taken")
+    )
+    keyed = docs.withColumn("mix_text", F.xxhash64(docs["text"])).dropDuplicates(["doc_id", "mix_text"])
+    same = keyed["doc_id"].eqNullSafe(mix["mix_id"]) & (keyed["mix_text"] == mix["mix_rid"])
+    return keyed.join(mix.where("taken > 0"), same).drop("mix_id", "mix_rid", "mix_text")

@@ -232,27 +232,43 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityM
     return fit([r["text"] for r in rows], [r["quality"] for r in rows])
 
 
+def _scores(model: QualityModel, texts: list[str | None], memory: dict[str, int]) -> np.ndarray:
+    if model.vectors is None:
+        return np.full(len(texts), model.constant)
+    return model.score(model.pooled([t or "" for t in texts], memory))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` (probability of label 1) and ``predicted`` of every row.
 
     Null and empty texts score as the text without words.  Labels without an id or outside
     0 and 1 are not learnt from; an id with both labels counts as 0.  With fewer than 20
     labelled texts or only one label, every score is the smoothed share of label 1.  A
-    null id has ``held_out`` as the empty text has.  Repeated rows are all returned.
+    null id has ``held_out`` as the empty text has.  Repeated rows are all returned; other
+    columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, sample))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, int] = {}
         for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            if model.value.vectors is None:
-                scores = np.full(len(texts), model.value.constant)
-            else:
-                scores = model.value.score(model.value.pooled(texts, memory))
+            scores = _scores(model.value, batch["text"].to_pylist(), memory)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     scored = pick(docs, doc_id="bigint", text="string").mapInArrow(score, "doc_id bigint, score double")
     return scored.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose score reaches the threshold."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, sample))
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory: dict[str, int] = {}
+        for batch in batches:
+            scores = _scores(model.value, batch["text"].to_pylist(), memory)
+            yield batch.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(good, docs.schema)

@@ -24,11 +24,12 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetables.llm.common import pick
+from pagetables.llm.common import pick, settled, utf8
 
 #: The kinds of the base rules in order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex")
@@ -41,15 +42,15 @@ _WORTH = re.compile(r"passw|secret|token|api_?key")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 #: Labelled matches of a kind that are learnt from at most.
-SAMPLE = 2000
+SAMPLE = 1000
 #: Generated examples of each public format.
 EXAMPLES = 300
 #: Confidence of the test that keeps states apart.
 ALPHA = 0.05
 #: Nats by which a character must be likelier in the format than in words.
-MARGIN = 1.0
-#: Characters of a candidate at least, and that the automata read at most.
-SHORTEST = 16
+MARGIN = 0.5
+#: Characters of a labelled match that are learnt from.
+LONGEST = 256
 SEED = 2
 
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{16,}")
@@ -255,38 +256,100 @@ def all_spans(text: str, model: SecretModel) -> tuple[list[tuple[int, str, int]]
     return named, sorted(named + more, key=lambda s: (s[0], rank.get(s[1], len(KINDS)), s[1], s[2]))
 
 
-def _word_model(texts: list[str]) -> dict[str, float]:
-    """Log share of each character among the letters and digits of running text."""
-    counts = Counter("".join(re.findall(r"[a-z0-9]+", " ".join(texts).lower())))
-    for c in _LETTERS + _DIGITS:
-        counts[c] += 1
-    total = sum(counts.values())
-    return {c: math.log(n / total) for c, n in counts.items()}
+def _word_model(counts: dict[str, int]) -> dict[str, float]:
+    """Log share of each letter and digit in the corpus."""
+    smooth = {c: counts.get(c, 0) + 1 for c in _LETTERS + _DIGITS}
+    total = sum(smooth.values())
+    return {c: math.log(n / total) for c, n in smooth.items()}
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, margin: float = MARGIN) -> SecretModel:
-    """Automata of all formats from the corpus's labelled matches and the public examples."""
+    """Automata of all formats from the corpus's labelled matches and the public examples.
+
+    Letters and digits are counted over all texts; of each kind's different matches those
+    with the least hash are learnt from, ``sample`` at most.
+    """
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = np.zeros(256, np.int64)
         for batch in batches:
+            letters += np.bincount(utf8(batch["text"])[0], minlength=256)
             out = []
             for text in batch["text"].to_pylist():
                 for a, kind, b in base_spans(text or ""):
                     value = _ASSIGN.match(text, a, b)[1] if kind == 0 else text[a:b]
-                    out.append((KINDS[kind], value[:256]))
-            kinds, values = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"]
-            )
+                    out.append((KINDS[kind], value[:LONGEST], 1))
+            yield _labels(out)
+        yield _labels([("letter", chr(c).lower(), int(letters[c])) for c in range(128) if letters[c]])
 
-    texts = pick(docs, text="string")
-    found = texts.mapInArrow(labelled, "kind string, value string").distinct()
+    rows = pick(docs, text="string").mapInArrow(labelled, "kind string, value string, n bigint")
+    found = settled(rows.groupBy("kind", "value").agg(F.sum("n").alias("n")), "labelled")
     formats = _public_formats()
     for kind in KINDS:
         rows = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
         formats[kind] = [r["value"] for r in rows] + formats.get(kind, [])
-    return SecretModel({k: Automaton(v) for k, v in formats.items() if v}, _word_model([]), margin)
+    letters = {r["value"]: r["n"] for r in found.where("kind = 'letter'").collect()}  # 128 at most
+    return SecretModel({k: Automaton(v) for k, v in formats.items() if v}, _word_model(letters), margin)
+
+
+def _labels(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+    types = (pa.string(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["kind", "value", "n"])
 
 
 def _joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, kind, b in spans)
+
+
+def find_secrets(docs: DataFrame, model: SecretModel | None = None) -> DataFrame:
+    """``doc_id``, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256`` and ``spans`` of every row.
+
+    ``spans`` lists all spans as kind:start:end in code points, end exclusive, by start, then
+    kind.  Null and empty texts have none.  Every row is returned, repeated ones too; other
+    columns are ignored.  The model is learnt from ``docs`` unless it is given.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model or learn(docs))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: list[list[int]] = [[], [], []]
+            digests, joined = [], []
+            for text in batch["text"].to_pylist():
+                base, spans = all_spans(text or "", held.value)
+                for kind, column in zip(KINDS, counts, strict=True):
+                    column.append(sum(k == kind for _, k, _ in base))
+                digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
+                joined.append(_joined(spans))
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(joined, pa.string())],
+                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+            )
+
+    return pick(docs, doc_id="bigint", text="string").mapInArrow(
+        scan, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
+    )
+
+
+def redacted(text: str, spans: list[tuple[int, str, int]]) -> str:
+    """The text with every span, overlapping ones together, replaced by a mark."""
+    out, at = [], 0
+    for a, kind, b in spans:
+        if a >= at:
+            out += [text[at:a], f"[{kind} secret]"]
+        at = max(at, b)
+    return "".join(out) + text[at:] if spans else text
+
+
+def redact(docs: DataFrame, model: SecretModel | None = None) -> DataFrame:
+    """``docs`` with all secrets in ``text`` replaced, ``n_chars`` counted anew; rows and columns stay."""
+    held = docs.sparkSession.sparkContext.broadcast(model or learn(docs))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t if t is None else redacted(t, all_spans(t, held.value)[1]) for t in batch["text"].to_pylist()]
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    out = docs.mapInArrow(clean, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
