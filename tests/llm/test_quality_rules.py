@@ -1,0 +1,82 @@
+import random
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from pagetables.llm.quality_rules import GROWTH, document_measures, fences, judged, sketches
+from tests.llm.data import DOCS, awkward, awkward_rows, empty, prose
+
+
+def plain(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    counts = Counter(zip(words, words[1:], words[2:], strict=False))
+    hit = {j for i in range(len(words) - 2) if counts[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit)
+
+
+def some_rows():
+    rng = random.Random(2)
+    rows = []
+    for i in range(200):
+        text = prose(rng, rng.randrange(30, 120))
+        if i % 10 == 3:
+            text = "*** ".join(text.split())
+        if i % 10 == 4:
+            text = " ".join(text.split()[:4]) + "\n" + (text + "\n") * 2
+        if i % 10 == 5:
+            text += "\n line\n line\n \n \nline\x0b\nline\x0b"
+        if i % 10 == 6:
+            text = "a b c a b c a b"
+        rows.append((i, text, rng.choice(("en", "de", None)), rng.choice(("s", None)), 1))
+    return rows
+
+
+def test_measures_equal_the_plain_ones(spark):
+    for rows, frame in ((some_rows(), None), (awkward_rows(), awkward(spark))):
+        frame = spark.createDataFrame(rows, DOCS) if frame is None else frame
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+        found = sorted(((r["doc_id"], *(r[n] for n in names)) for r in judged(frame).collect()), key=str)
+        assert found == sorted(((d, *plain(t)) for d, t, *_ in rows), key=str)
+
+
+def test_base_rule_and_fences(spark):
+    rows = some_rows()
+    found = {r["doc_id"]: r for r in judged(spark.createDataFrame(rows, DOCS)).collect()}
+    for d, text, *_ in rows:
+        n, _, symbols, _, repeat = plain(text)
+        r = found[d]
+        assert r["base_failed"] == (n < 50 or 100 * repeat > 50 * n)
+        assert not (r["kept"] and r["base_failed"])
+        if d % 10 in (0, 1, 2, 7, 8, 9) and n >= 50:
+            assert r["kept"], r
+        if d % 10 == 3 and n >= 50:
+            assert not r["kept"] and r["outside"] == ["symbol_share"]
+
+
+def test_sketches_merge_and_are_near_the_quartiles(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join("x" * rng.randrange(1, 12) for _ in range(60)), "en", "s", 1) for i in range(501)]
+    frame = document_measures(spark.createDataFrame(rows, DOCS)).cache()
+    whole = sketches(frame)
+    keys = ["lang", "source", "measure", "bucket"]
+    parts = sketches(frame.where("doc_id % 3 = 0")).union(sketches(frame.where("doc_id % 3 <> 0")))
+    merged = parts.groupBy(*keys).agg(F.sum("n").alias("n"))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, merged.collect()))
+    lengths = sorted(r["word_chars"] / r["n_words"] for r in frame.collect())
+    low, high = lengths[125], lengths[375]
+    limit = fences(whole).first()
+    spread = 3 * (high - low)
+    assert abs(limit["word_length_to"] - (high + max(spread, 6))) < 8 * (GROWTH - 1) * high
+    assert abs(limit["word_length_from"] - (low - max(spread, 2.5))) < 8 * (GROWTH - 1) * high
+
+
+def test_awkward_rows(spark):
+    assert len(judged(awkward(spark)).collect()) == 12
+    assert judged(empty(spark)).collect() == []
