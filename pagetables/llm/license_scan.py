@@ -9,7 +9,7 @@ bands of one hash such a window is retrieved with probability 1 - (2/3)^48 > 1 -
 
 Only windows with a shingle of some template are hashed: any other shares no least hash
 with a template, so this leaves out nothing.  Retrieved templates are verified by the exact
-share of their shingles in the words around the window.
+share of their shingles in a stretch of their own length around the window.
 """
 
 from __future__ import annotations
@@ -162,8 +162,13 @@ def license_matches(docs: DataFrame, templates: DataFrame | None = None, contain
         .select("doc_id", "rid", "near", "license")
         .distinct()
     )
-    verified = retrieved.join(known.select("license", "wanted"), "license")
-    share = F.size(F.array_intersect("wanted", "near")) / F.size("wanted")
+    verified = retrieved.join(known.select("license", "length", "wanted"), "license")
+    # The most shingles that lie in as many places in a row as the template has words.
+    shares = F.transform(
+        F.sequence(F.lit(1), F.size("near")),
+        lambda i: F.size(F.array_intersect("wanted", F.slice("near", i, F.col("length")))) / F.size("wanted"),
+    )
+    share = F.array_max(shares)
     return (
         verified.select("doc_id", "rid", "license", share.alias("containment"))
         .where(F.col("containment") >= contained)

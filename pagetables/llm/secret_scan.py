@@ -2,15 +2,16 @@
 
 Learning merges states of a prefix tree.  The tree of a kind's labelled credentials counts
 how often each state is left by each class of characters and how often it ends.  States are
-taken breadth first; a state is merged into the first earlier one whose counts agree within
-the Hoeffding bound, and so do those of their successors.  What remains is a probabilistic
+taken breadth first; a state is merged into the nearest of the earlier ones whose counts agree
+within the Hoeffding bound, as do those of their successors.  What remains is a probabilistic
 automaton of the format.
 
 Labels are the base rules' own matches in the corpus, ``SAMPLE`` of each kind at most, and
 generated examples of public formats, so that an automaton exists without any match.
 
 Every candidate (a run of token characters with a digit) is scored by every automaton: the
-mean log likelihood of a character in the format against that in words of running text.
+mean log likelihood of a character in the format against that in running text, where the
+class of a character depends on the one before.
 A candidate above ``MARGIN`` is a span of that format, unless a base span overlaps it.
 """
 
@@ -98,6 +99,11 @@ def symbols(text: str) -> list[str]:
 
 #: How many characters each class stands for: a class's probability is shared among them.
 _SIZE = {"9": 10, "f": 6, "z": 20, "Z": 26, "_": 4}
+#: The same classes, then the two signs that stand alone, then all else, by byte.
+_CLASS_SIZE = np.array([10, 6, 20, 26, 4, 1, 1, 1])
+_CLASS_OF = np.full(256, 7, np.uint8)
+for _i, _some in enumerate((_DIGITS, "abcdef", "ghijklmnopqrstuvwxyz", _LETTERS.upper(), "_+/=", "-", ".")):
+    _CLASS_OF[[ord(_c) for _c in _some]] = _i
 
 
 @dataclass
@@ -154,6 +160,13 @@ class Automaton:
                     open_.append((x.to[s], y.to[s]))
         return True
 
+    def _distance(self, a: int, b: int) -> float:
+        """How far apart the ways out of two states are."""
+        x, y = self.states[a], self.states[b]
+        n, m = max(1, x.seen), max(1, y.seen)
+        ways = sum(abs(x.out[s] / n - y.out[s] / m) for s in sorted(x.out.keys() | y.out.keys()))
+        return ways + abs(x.ends / n - y.ends / m)
+
     def _fold(self, a: int, b: int) -> None:
         """The tree below b is added to the states from a."""
         open_ = [(a, b)]
@@ -175,7 +188,8 @@ class Automaton:
             at = self.states[parent].to[s]
             if at in kept:
                 continue
-            same = next((k for k in kept if self._compatible(k, at)), None)
+            alike = [k for k in kept if self._compatible(k, at)]
+            same = min(alike, key=lambda k: self._distance(k, at), default=None)
             if same is None:
                 kept.append(at)
             else:
@@ -217,16 +231,20 @@ class Automaton:
 @dataclass
 class SecretModel:
     automata: dict[str, Automaton]
-    words: dict[str, float]
+    #: Log probability of a character, by its class and the class before it.
+    text: np.ndarray
     margin: float = MARGIN
 
     def best(self, candidate: str) -> tuple[str, float] | None:
-        """The format whose likelihood exceeds that of words by the most."""
+        """The format whose likelihood exceeds that of running text by the most."""
         read = symbols(candidate)
-        plain = sum(self.words.get(c, -9.0) for c in candidate.lower()) / len(candidate)
         scored = ((a.score(read), kind) for kind, a in self.automata.items())
         score, kind = max(((s, k) for s, k in scored if s is not None), default=(None, None))
-        return (kind, score - plain) if score is not None and score - plain > self.margin else None
+        if score is None:
+            return None
+        classes = _CLASS_OF[np.frombuffer(f" {candidate} ".encode(), np.uint8)]
+        plain = float(self.text[classes[:-1], classes[1:]].mean())
+        return (kind, score - plain) if score - plain > self.margin else None
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -256,31 +274,31 @@ def all_spans(text: str, model: SecretModel) -> tuple[list[tuple[int, str, int]]
     return named, sorted(named + more, key=lambda s: (s[0], rank.get(s[1], len(KINDS)), s[1], s[2]))
 
 
-def _word_model(counts: dict[str, int]) -> dict[str, float]:
-    """Log share of each letter and digit in the corpus."""
-    smooth = {c: counts.get(c, 0) + 1 for c in _LETTERS + _DIGITS}
-    total = sum(smooth.values())
-    return {c: math.log(n / total) for c, n in smooth.items()}
+def _text_model(pairs: np.ndarray) -> np.ndarray:
+    """Log probabilities from counts of neighbouring classes."""
+    share = (pairs + 1) / (pairs + 1).sum(axis=1, keepdims=True)
+    return np.log(share) - np.log(_CLASS_SIZE)
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, margin: float = MARGIN) -> SecretModel:
     """Automata of all formats from the corpus's labelled matches and the public examples.
 
-    Letters and digits are counted over all texts; of each kind's different matches those
+    Neighbouring classes of characters are counted over all texts; of each kind's different matches those
     with the least hash are learnt from, ``sample`` at most.
     """
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = np.zeros(256, np.int64)
+        pairs = np.zeros(64, np.int64)
         for batch in batches:
-            letters += np.bincount(utf8(batch["text"])[0], minlength=256)
+            classes = _CLASS_OF[utf8(batch["text"])[0]]
+            pairs += np.bincount(classes[:-1] * 8 + classes[1:], minlength=64)
             out = []
             for text in batch["text"].to_pylist():
                 for a, kind, b in base_spans(text or ""):
                     value = _ASSIGN.match(text, a, b)[1] if kind == 0 else text[a:b]
                     out.append((KINDS[kind], value[:LONGEST], 1))
             yield _labels(out)
-        yield _labels([("letter", chr(c).lower(), int(letters[c])) for c in range(128) if letters[c]])
+        yield _labels([("pair", str(i), int(n)) for i, n in enumerate(pairs) if n])
 
     rows = pick(docs, text="string").mapInArrow(labelled, "kind string, value string, n bigint")
     found = settled(rows.groupBy("kind", "value").agg(F.sum("n").alias("n")), "labelled")
@@ -288,8 +306,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE, margin: float = MARGIN) -> Secr
     for kind in KINDS:
         rows = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
         formats[kind] = [r["value"] for r in rows] + formats.get(kind, [])
-    letters = {r["value"]: r["n"] for r in found.where("kind = 'letter'").collect()}  # 128 at most
-    return SecretModel({k: Automaton(v) for k, v in formats.items() if v}, _word_model(letters), margin)
+    pairs = np.zeros(64)
+    for r in found.where("kind = 'pair'").collect():  # 64 at most
+        pairs[int(r["value"])] = r["n"]
+    automata = {k: Automaton(v) for k, v in formats.items() if v}
+    return SecretModel(automata, _text_model(pairs.reshape(8, 8)), margin)
 
 
 def _labels(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:

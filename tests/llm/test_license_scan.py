@@ -18,7 +18,7 @@ def plain(text, templates=TEMPLATES):
         t = words(template)
         wanted = {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))}
         for a in range(len(shingles)):
-            near = set(shingles[a : a + len(t) + 3])
+            near = set(shingles[a : a + len(t)])
             if len(wanted & near) >= 0.8 * len(wanted):
                 found.add(name)
                 break

@@ -22,7 +22,7 @@ def good_and_bad(n=400, seed=3):
 
 
 def test_held_out_accuracy(spark):
-    rows, labels = good_and_bad()
+    rows, labels = good_and_bad(900)
     truth = {d: q for d, q, *_ in labels}
     found = quality_scores(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)).collect()
     assert len(found) == len(rows)
