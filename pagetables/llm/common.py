@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetables.config import work_folder
+
 #: White space of the word rules: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,17 +24,9 @@ def pick(frame: DataFrame, **types: str) -> DataFrame:
     return frame.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in types.items()))
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
 def settled(frame: DataFrame, purpose: str) -> DataFrame:
     """The frame written to the shared folder and read again: computed once, lineage cut."""
-    spark, path = frame.sparkSession, shared_folder(frame.sparkSession, purpose)
+    spark, path = frame.sparkSession, work_folder(frame.sparkSession, purpose)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

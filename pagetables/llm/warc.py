@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetables.llm.common import pick, settled, shared_folder
+from pagetables.config import work_folder
+from pagetables.llm.common import pick, settled
 
 #: Payloads below this size are never written as revisits.
 REVISIT_BYTES = 100
@@ -253,7 +254,7 @@ def capture_histories(pages: DataFrame, range_rows: int = RANGE_ROWS) -> DataFra
     always a response.  Rows of one id and payload are all responses or all revisits.  A
     null URL has the empty key; line ends in a URL become spaces.  Other columns are ignored.
     """
-    spark, path = pages.sparkSession, shared_folder(pages.sparkSession, "archives")
+    spark, path = pages.sparkSession, work_folder(pages.sparkSession, "archives")
     write_archives(pages, path)
     urls = pick(pages, page_id="bigint", url="string")
     ranges = max(1, -(-urls.count() // range_rows))
