@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
@@ -26,22 +27,12 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for checkpoints and intermediate tables.
 
-    It lies in the shared folder named by ``spark.checkpoint.dir``.  Only a local
-    session without that setting uses a temporary folder of the machine.
+    It lies in the shared folder named by ``spark.checkpoint.dir``.  Only where that is
+    unset, and driver and executors are one process, is it a folder of this machine.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if not shared:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.gettempdir() + "/pagetables"
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def spread(frame: DataFrame) -> DataFrame:
-    """Redistribute the rows of a scan with far fewer splits than there are cores.
-
-    For small inputs in few files.  An input with many splits is returned as it is, so
-    that large pages never go through a shuffle.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() * 4 <= cores else frame

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 MARK = "\ufdd0"
 SEP = "\ufdd1"
 ERROR_MARK = "\ufdd2"
-_RESERVED = MARK + SEP + ERROR_MARK
+TAG_MARK = "\ufdd3"
+_RESERVED = MARK + SEP + ERROR_MARK + TAG_MARK
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -25,7 +26,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def scrub(text: Column) -> Column:
     """Replace reserved marker characters with U+FFFD."""
-    found = F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(SEP)) | F.contains(text, F.lit(ERROR_MARK))
+    found = F.contains(text, F.lit(_RESERVED[0]))
+    for mark in _RESERVED[1:]:
+        found = found | F.contains(text, F.lit(mark))
     return F.when(found, F.translate(text, _RESERVED, "\ufffd" * len(_RESERVED))).otherwise(text)
 
 
@@ -53,15 +56,18 @@ def pieces(text: Column, pattern: str, template: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, MARK + template + MARK), MARK)
 
 
-def up_to_last(text: Column, close: str, fn: Callable[[Column], Column]) -> Column:
-    """Apply ``fn`` to the text up to the last ``close`` only.
+def up_to_last(text: Column, end: str, fn: Callable[[Column], Column]) -> Column:
+    """Apply ``fn`` to the text up to the last ``end`` only.
 
-    For patterns that end with ``close``: no match can begin behind the last one, where
-    every opening tag would be followed to the end of the text in vain.
+    For patterns that end with ``end``: no match can begin behind the last one, where
+    every beginning would be followed to the end of the text in vain.
     """
     return let(
-        F.regexp_extract(text, rf"(?is)\A.*{close}", 0),
-        lambda head: F.concat(fn(head), F.substr(text, F.length(head) + 1)),
+        text,
+        lambda t: let(
+            F.regexp_extract(t, rf"(?is)\A.*{end}", 0),
+            lambda head: F.when(head == "", t).otherwise(F.concat(fn(head), F.substr(t, F.length(head) + 1))),
+        ),
     )
 
 

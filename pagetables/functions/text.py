@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .exprs import error, let, rewrite
+from .exprs import TAG_MARK, error, let, rewrite, up_to_last
 
 # White space and line ends as the web platform defines them.  In the
 # patterns the rare ones stand behind a range test, so that two tests decide most
@@ -36,6 +36,53 @@ def element(name: str) -> str:
     return f"(?is){open_tag(name)}(.*?)</{name}>"
 
 
+def _marked(text: Column, tag: str, from_here: Column) -> Column:
+    return F.concat(
+        F.substr(text, F.lit(1), from_here),
+        F.regexp_replace(F.substr(text, from_here + 1), f"(?i)<(?={tag}{NOT_WORD_AHEAD})", TAG_MARK),
+    )
+
+
+def disarm(text: Column, *tags: str) -> Column:
+    """Mark the opening tags that no end tag of their name follows.
+
+    Where the last end tag begins there must be a ``>`` between it and the opening tag.
+    All opening tags left are complete and have an end tag, so a pattern for whole
+    elements finds one wherever it begins and reads the text a fixed number of times.
+    `rearm` takes the marks away.
+    """
+    for tag in tags:
+        text = let(
+            text,
+            lambda t, tag=tag: F.when(
+                F.rlike(t, F.lit(f"(?i)<{tag}{NOT_WORD_AHEAD}")),
+                let(F.length(F.regexp_extract(t, rf"(?is)\A(.*>)[^>]*</{tag}>", 1)), lambda n: _marked(t, tag, n)),
+            ).otherwise(t),
+        )
+    return text
+
+
+def rearm(text: Column) -> Column:
+    return F.replace(text, F.lit(TAG_MARK), F.lit("<"))
+
+
+def first_in_stretch(text: Column, tag: str) -> Column:
+    """Mark opening tags behind another one of their name without a ``>`` between."""
+    opening = f"(?i)<{tag}{NOT_WORD_AHEAD}"
+    return let(
+        text,
+        lambda t: F.when(
+            F.rlike(t, F.lit(f"{opening}[^>]*<{tag}{NOT_WORD_AHEAD}")),
+            rewrite(
+                t,
+                f"{opening}([^>]*)",
+                "$1",
+                lambda rest: F.concat(F.lit(f"<{tag}"), F.replace(rest, F.lit("<"), F.lit(TAG_MARK))),
+            ),
+        ).otherwise(t),
+    )
+
+
 def trim_space(text: Column) -> Column:
     return F.btrim(text, F.lit(_SPACE_CHARACTERS))
 
@@ -50,7 +97,7 @@ def is_blank(text: Column) -> Column:
 
 def strip_tags(text: Column) -> Column:
     """Remove tags without leaving a space."""
-    return F.regexp_replace(text, "<[^>]+>", "")
+    return up_to_last(text, ">", lambda head: F.regexp_replace(head, "<[^>]+>", ""))
 
 
 def attribute(attrs: Column, name: str) -> Column:

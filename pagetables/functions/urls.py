@@ -22,16 +22,18 @@ _KEPT_IN_SPECIAL_QUERY = r"!$-&(-;=?-~"
 _KEPT_IN_PATH = r"!$-;=@-\]_a-z|~"
 _KEPT_IN_USERINFO = r"!$-.0-9A-Z_a-z~"
 _FORBIDDEN_IN_HOST = r"[\x00-\x20\x7F#/:<>?@\[\\\]^|%]"
+# File name endings of assets.
 _ASSET_EXTENSIONS = (
-    "avif bmp css gif ico jpeg jpg js json map mp3 mp4 pdf png svg txt webm webp woff woff2"
-)
+    "avif", "bmp", "css", "gif", "ico", "jpeg", "jpg", "js", "json", "map", "mp3", "mp4", "pdf", "png", "svg", "txt",
+    "webm", "webp", "woff", "woff2",
+)
 
-ASSET_PATTERN = rf"(?i)\.(?:{'|'.join(_ASSET_EXTENSIONS.split())})\z"
+ASSET_PATTERN = rf"(?i)\.(?:{'|'.join(_ASSET_EXTENSIONS)})\z"
 
 # A URL already in normal form: lower-case http(s) host whose last label is a name,
 # no port, no user, no dot segment, nothing to escape.  Group 1 has no query or hash.
 _PLAIN_URL = (
-    r"(?s)\A(https?://(?:[a-z0-9_-]+\.)*[a-z][a-z0-9_-]*"
+    r"(?s)\A(https?://(?!\.)(?![^/]*\.\.)(?:[a-z0-9_.-]*\.)?[a-z][a-z0-9_-]*"
     r"(?![^?#]*/(?:\.|%2[eE]){1,2}(?:[/?#]|\z))"
     r"/[A-Za-z0-9._~!$&'()*+,;=:@%/-]*)(?:[?#].*)?\z"
 )
@@ -69,7 +71,7 @@ def _escape_run(run: Column) -> Column:
 
 def _without_dot_segments(path: Column) -> Column:
     def walk(p: Column) -> Column:
-        steps = F.slice(F.split(p, "/"), 2, 1_000_000_000)
+        steps = let(F.split(p, "/"), lambda s: F.slice(s, 2, F.size(s)))
         count = F.size(steps)
 
         def classify(step: Column, i: Column) -> Column:

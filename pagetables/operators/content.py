@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cache import by_name
-from ..functions.exprs import let, scrub
-from ..functions.text import NOT_WORD_AHEAD, element
+from ..functions.exprs import let, scrub, up_to_last
+from ..functions.text import NOT_WORD_AHEAD, disarm, element, rearm
 from ..functions.urls import page_url, url_host
 
 # Elements without readable content, and blocks left out of a page.
@@ -14,12 +14,13 @@ NON_CONTENT_TAGS = ("script", "style", "noscript", "template", "svg", "canvas",
 DROPPED_BLOCKS = ("nav", "footer", "aside")
 
 _COMMENT = r"(?s)<!--.*?-->"
+_HAS_ROLE = r"(?i)role=[\"']main[\"']"
 _ROLE_MAIN = rf"(?is)<([a-z0-9-]+){NOT_WORD_AHEAD}[^>]*role=[\"']main[\"'][^>]*>(.*?)</\1>"
 
 
 def _remove(html: Column, tags: tuple[str, ...]) -> Column:
     for tag in tags:
-        html = F.regexp_replace(html, element(tag), "")
+        html = rearm(F.regexp_replace(disarm(html, tag), element(tag), ""))
     return html
 
 
@@ -32,7 +33,9 @@ def _remove_if_any(html: Column, tags: tuple[str, ...]) -> Column:
 def remove_non_content(html: Column) -> Column:
     """Without non-content elements, then without comments."""
     common, rare = NON_CONTENT_TAGS[:2], NON_CONTENT_TAGS[2:]
-    return F.regexp_replace(_remove_if_any(_remove_if_any(html, common), rare), _COMMENT, "")
+    return up_to_last(
+        _remove_if_any(_remove_if_any(html, common), rare), "-->", lambda head: F.regexp_replace(head, _COMMENT, "")
+    )
 
 
 def remove_dropped_blocks(html: Column) -> Column:
@@ -49,7 +52,7 @@ def _inside(html: Column, region: str, pattern: str, group: int) -> Column:
         F.regexp_extract(html, pattern, 0),
         lambda whole: F.when(
             whole != "",
-            F.struct(F.lit(region).alias("region"), F.regexp_extract(whole, pattern, group).alias("html")),
+            F.struct(F.lit(region).alias("region"), rearm(F.regexp_extract(whole, pattern, group)).alias("html")),
         ),
     )
 
@@ -60,10 +63,10 @@ def main_content(cleaned: Column) -> Column:
     return let(
         cleaned,
         lambda html: F.coalesce(
-            _inside(html, "main", element("main"), 1),
-            _inside(html, "article", element("article"), 1),
-            _inside(html, "role", _ROLE_MAIN, 2),
-            _inside(html, "body", element("body"), 1),
+            _inside(disarm(html, "main"), "main", element("main"), 1),
+            _inside(disarm(html, "article"), "article", element("article"), 1),
+            F.when(F.rlike(html, F.lit(_HAS_ROLE)), _inside(html, "role", _ROLE_MAIN, 2)),
+            _inside(disarm(html, "body"), "body", element("body"), 1),
             F.struct(F.lit("whole").alias("region"), html.alias("html")),
         ),
     )

@@ -14,8 +14,8 @@ from .metadata import with_metadata
 from .render import with_markdown
 from .structured import with_sections
 
-# Reasons of failed pages and phrases of the document.
-EMPTY_HTML = "extractMarkdown requires an HTML string"
+# Reasons of failed pages; fixed values: phrases of the document.
+EMPTY_HTML = "empty-html"
 UNSUPPORTED_TYPE = "unsupported-content-type"
 _NO_DESCRIPTION = "No description found."
 _NO_CONTENT = "No extractable content found."

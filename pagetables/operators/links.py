@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import LINE_ENDS, NOT_WORD_AHEAD, SPACE, decode_xml, trim_space
+from ..functions.exprs import scrub
+from ..functions.text import LINE_ENDS, NOT_WORD_AHEAD, SPACE, decode_xml, first_in_stretch, rearm, trim_space
 from ..functions.urls import ASSET_PATTERN, parse_url, resolve_urls, url_text
 
 # The last quoted href of an anchor tag; group 2 is the value.
@@ -15,7 +16,8 @@ _SKIPPED = r"\A(?:#|mailto:|tel:|\z)"
 def link_hrefs(html: Column) -> Column:
     """Distinct hrefs that can lead to a page, in first-seen order."""
     hrefs = F.transform(
-        F.regexp_extract_all(html, F.lit(_HREF), F.lit(2)), lambda href: decode_xml(trim_space(href))
+        F.regexp_extract_all(first_in_stretch(scrub(html), "a"), F.lit(_HREF), F.lit(2)),
+        lambda href: decode_xml(trim_space(rearm(href))),
     )
     return F.array_distinct(F.filter(hrefs, lambda href: ~F.rlike(href, F.lit(_SKIPPED))))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cache import by_name
 from ..functions.exprs import first_error, let, matches, rewrite, settle
-from ..functions.text import NOT_WORD_AHEAD, NOT_WORD_BEHIND, SPACE, attribute, element, inline_text
+from ..functions.text import NOT_WORD_AHEAD, NOT_WORD_BEHIND, SPACE, attribute, disarm, element, inline_text, rearm
 from ..functions.urls import parse_url, url_text
 from .content import clean_page
 
@@ -17,11 +17,16 @@ _META = rf"(?i)<meta{NOT_WORD_AHEAD}([^>]*)>"
 _CANONICAL_WORD = rf"(?:\A|[{SPACE}])canonical(?:[{SPACE}]|\z)"
 
 
+def _tags(html: Column, pattern: str) -> Column:
+    """Attributes of all complete tags; nothing behind the last ``>`` is one."""
+    return matches(F.regexp_extract(html, r"(?s)\A.*>", 0), pattern, "$1")
+
+
 @by_name
 def canonical_href(cleaned: Column) -> Column:
     """href of the first canonical link, NULL if there is none."""
     links = F.filter(
-        matches(cleaned, _LINK, "$1"),
+        _tags(cleaned, _LINK),
         lambda attrs: F.rlike(F.lower(F.coalesce(attribute(attrs, "rel"), F.lit(""))), F.lit(_CANONICAL_WORD)),
     )
     return let(F.get(links, 0), lambda attrs: attribute(attrs, "href"))
@@ -29,14 +34,14 @@ def canonical_href(cleaned: Column) -> Column:
 
 @by_name
 def title_text(cleaned: Column) -> Column:
-    return inline_text(F.regexp_extract(cleaned, element("title"), 1))
+    return inline_text(rearm(F.regexp_extract(disarm(cleaned, "title"), element("title"), 1)))
 
 
 @by_name
 def meta_description(cleaned: Column) -> Column:
     """Content of the first description tag, even if it is empty."""
     tags = F.filter(
-        matches(cleaned, _META, "$1"),
+        _tags(cleaned, _META),
         lambda attrs: F.coalesce(F.lower(attribute(attrs, "name")) == "description", F.lit(False)),
     )
     return let(F.get(tags, 0), lambda attrs: inline_text(F.coalesce(attribute(attrs, "content"), F.lit(""))))

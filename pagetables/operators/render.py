@@ -26,9 +26,11 @@ from ..functions.text import (
     NOT_WORD_AHEAD,
     SPACE,
     attribute,
+    disarm,
     element,
     inline_text,
     normalize_markdown,
+    rearm,
     squeeze_blank_lines,
     strip_tags,
     trim_space,
@@ -36,9 +38,10 @@ from ..functions.text import (
 from ..functions.urls import resolve_urls, url_text
 from .content import main_content, strip_boilerplate
 from .metadata import INVALID_URL, with_metadata
-from .tables import TABLE, table_rows
+from .tables import table_rows
 
 _ANCHOR = rf"(?is)<a{NOT_WORD_AHEAD}([^>]*)>(.*?)</a>"
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _HEADING = rf"(?is)<h([1-6]){NOT_WORD_AHEAD}[^>]*>(.*?)</h\1>"
 
 # Tags that make an anchor a block, words that start a call to
@@ -95,20 +98,20 @@ def _lines_around(before: str, after: str) -> Callable[[Column], Column]:
 def _break_lines(text: Column) -> Column:
     text = F.regexp_replace(text, rf"(?i)<br[{SPACE}]*/?>", "\n")
     text = F.regexp_replace(text, f"(?i)</(?:{_CLOSING_BLOCKS})>", "\n")
-    return F.regexp_replace(text, f"(?i)<(?:{_OPENING_BLOCKS}){NOT_WORD_AHEAD}[^>]*>", "\n")
+    opening = f"(?i)<(?:{_OPENING_BLOCKS}){NOT_WORD_AHEAD}[^>]*>"
+    return up_to_last(text, ">", lambda head: F.regexp_replace(head, opening, "\n"))
 
 
 def _rewrite_elements(text: Column, tag: str, fn: Callable[[Column], Column]) -> Column:
-    """Rewrite elements whose end tag is often left out."""
-    return up_to_last(text, f"</{tag}>", lambda head: rewrite(head, element(tag), "$1", fn))
+    return rearm(rewrite(disarm(text, tag), element(tag), "$1", fn))
 
 
 # The rewriting steps around the anchors, in order.
 _BEFORE_ANCHORS: tuple[Callable[[Column], Column], ...] = (
-    lambda text: rewrite(strip_boilerplate(text), TABLE, "$1", table_markdown),
+    lambda text: _rewrite_elements(strip_boilerplate(text), "table", table_markdown),
 )
 _AFTER_ANCHORS: tuple[Callable[[Column], Column], ...] = (
-    lambda text: rewrite(text, _HEADING, "$1$2", _heading),
+    lambda text: rearm(rewrite(disarm(text, *_HEADINGS), _HEADING, "$1$2", _heading)),
     lambda text: _rewrite_elements(text, "li", _lines_around("\n- ", "\n")),
     lambda text: _rewrite_elements(text, "p", _lines_around("\n", "\n\n")),
     lambda text: normalize_markdown(strip_tags(_break_lines(text))),
@@ -144,7 +147,7 @@ def _advance(pages: DataFrame, text: Column) -> DataFrame:
 def _read_anchors() -> Column:
     def read(piece: Column) -> Column:
         return let(
-            F.struct(before_sep(piece).alias("attrs"), after_sep(piece).alias("label")),
+            F.struct(rearm(before_sep(piece)).alias("attrs"), rearm(after_sep(piece)).alias("label")),
             lambda a: F.struct(
                 a.attrs.alias("attrs"),
                 a.label.alias("label"),
@@ -232,7 +235,8 @@ def _with_anchors(pages: DataFrame) -> DataFrame:
     A label cannot hold another complete anchor, so labels need no anchor step.
     """
     listed = (
-        pages.withColumn("_head", F.regexp_extract("_text", r"(?is)\A.*</a>", 0))
+        pages.withColumn("_text", disarm(F.col("_text"), "a"))
+        .withColumn("_head", F.regexp_extract("_text", r"(?is)\A.*</a>", 0))
         .withColumns(
             {
                 "_pieces": pieces(F.col("_head"), _ANCHOR, f"$1{SEP}$2"),
@@ -250,7 +254,7 @@ def _with_anchors(pages: DataFrame) -> DataFrame:
     written = listed.withColumn("_labels", _choose_labels()).withColumn("_written", _write_anchors())
     between = F.filter("_pieces", lambda piece, i: i % 2 == 0)
     text = F.zip_with(between, "_written", lambda before, anchor: F.concat(before, F.coalesce(anchor, F.lit(""))))
-    return _advance(written, F.concat(F.array_join(text, ""), F.col("_tail"))).drop(
+    return _advance(written, rearm(F.concat(F.array_join(text, ""), F.col("_tail")))).drop(
         "_head", "_tail", "_pieces", "_anchors", "_hrefs", "_urls", "_labels", "_written"
     )
 

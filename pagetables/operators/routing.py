@@ -37,32 +37,38 @@ def agent_page_requests(requests: DataFrame) -> DataFrame:
 
 
 def record_facts(resources: DataFrame) -> DataFrame:
-    """What a decision needs of a record.  The Markdown stays behind."""
+    """What a decision needs of a record.  The Markdown stays behind.
+
+    A table made by `read_record_facts` has the facts of the Markdown already.
+    """
+    known = "markdown_blank" in resources.columns
     return resources.select(
         "key",
         F.col("url").alias("record_url"),
         "status",
         "generated_at",
-        markdown_is_blank(F.col("markdown")).alias("markdown_blank"),
-        F.length("markdown").cast("bigint").alias("markdown_length"),
+        (F.col("markdown_blank") if known else markdown_is_blank(F.col("markdown"))).alias("markdown_blank"),
+        (F.col("markdown_length") if known else F.length("markdown")).cast("bigint").alias("markdown_length"),
         F.lit(True).alias("stored"),
+        *(["seq"] if "seq" in resources.columns else []),
     )
 
 
 def _decide(found: DataFrame, as_of: Column, window_hours: float | int | str) -> DataFrame:
-    """Decision columns for looked-up requests; no record means NULL facts."""
+    """Decision columns; no record means NULL facts, no lookup a request passed through."""
     servable = is_servable(
         F.col("status"), F.col("generated_at"), F.col("markdown_blank"), as_of, window_hours
     )
     served = F.col("decision") == SERVE
     return found.withColumn(
         "decision",
-        F.when(servable, SERVE)
+        F.when(~F.col("lookup"), PASSTHROUGH)
+        .when(servable, SERVE)
         .when(F.col("stored").isNull() & (F.col("method") == "GET"), WARM)
         .otherwise(ORIGIN),
     ).select(
         *_LOG_FIELDS,
-        "key",
+        F.concat(F.lit("page:"), "page").alias("key"),
         "decision",
         F.when(served, MARKDOWN_TYPE).alias("content_type"),
         F.when(served, F.col("status")).alias("resource_state"),
@@ -71,20 +77,19 @@ def _decide(found: DataFrame, as_of: Column, window_hours: float | int | str) ->
     )
 
 
-def _passed_through(requests: DataFrame) -> DataFrame:
-    nothing = F.lit(None).cast("string")
-    return (
-        _labelled(requests)
-        .filter(~F.col("lookup"))
-        .select(
-            *_LOG_FIELDS,
-            F.concat(F.lit("page:"), "page").alias("key"),
-            F.lit(PASSTHROUGH).alias("decision"),
-            nothing.alias("content_type"),
-            nothing.alias("resource_state"),
-            nothing.alias("canonical_url"),
-            F.lit(None).cast("bigint").alias("markdown_length"),
-        )
+def _spread_key() -> Column:
+    """Hash over a request: spreads the requests of a page, and those without a page."""
+    return F.xxhash64("request_id", "ts", "method", "name", "page")
+
+
+def _with_lookup_key(requests: DataFrame) -> DataFrame:
+    """Labelled requests with the key to look up, and one that no record has for the others.
+
+    So one pass over the log serves both, and the others are spread by their hash.
+    """
+    nowhere = F.concat(F.lit("#"), _spread_key().cast("string"))
+    return _labelled(requests).withColumn(
+        "key", F.when(F.col("lookup"), F.concat(F.lit("page:"), "page")).otherwise(nowhere)
     )
 
 
@@ -96,13 +101,13 @@ def route_requests(
 ) -> DataFrame:
     """Decision per request against one version of the resource table.
 
-    Only requests that need a record take part in the join; the others are a plain
-    projection of the log.  The join side is left to the optimizer: it broadcasts a
-    small table and splits hot pages of a large one.
+    The log is read and classified once.  Requests that need no record get a key without
+    one.  The join side is left to the optimizer: it broadcasts a small table, so that
+    nothing of the log moves, and splits hot pages of a large one.
     """
     time = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    found = agent_page_requests(requests).join(record_facts(resources), "key", "left")
-    return _decide(found, time, window_hours).unionByName(_passed_through(requests))
+    facts = record_facts(resources).drop("seq")
+    return _decide(_with_lookup_key(requests).join(facts, "key", "left"), time, window_hours)
 
 
 def warmup_queue(requests: DataFrame, resources: DataFrame) -> DataFrame:
@@ -160,8 +165,6 @@ def crawl_candidates(frontier: DataFrame, warmups: DataFrame) -> DataFrame:
 
 # --- replay -------------------------------------------------------------------------
 
-# A top list this long holds every bucket with more than a thousandth of all requests.
-_HOT_BUCKETS = 1_000
 _FACTS = ("record_url", "status", "generated_at", "markdown_blank", "markdown_length", "stored")
 
 
@@ -173,34 +176,33 @@ def route_requests_asof(
     requests: DataFrame,
     history: DataFrame,
     window_hours: float | int | str = 168,
-    bucket_seconds: int = 60,
-    rows_per_task: int = 1_000_000,
+    bucket_seconds: int = 3_600,
+    salts: int = 16,
 ) -> DataFrame:
     """Decision per request with the record as stored at the request's own time.
 
     An as-of window per key would put a hot page into one task.  Instead, time is cut
     into buckets: a narrow table of keys and buckets carries the last earlier record
-    into every bucket with requests, and the as-of window runs per key and bucket.
-    The requests of buckets above ``rows_per_task`` are also salted, with their few
-    records repeated per salt; the list of such buckets is a top list of fixed length,
-    so it may be broadcast.
+    into every bucket with requests, and the as-of window runs per key, bucket and salt.
+    Every request is salted by its hash, and the few records of a bucket are repeated for
+    each salt, so no list of hot pages is needed.  Of records of one time the last write
+    (``seq``, if there is one) counts.
     """
     width = bucket_seconds * 1_000_000
 
     def bucketed(frame: DataFrame) -> DataFrame:
         return frame.withColumn("bucket", F.floor(F.col("at") / width).cast("bigint"))
 
-    wanted = bucketed(
-        agent_page_requests(requests).withColumn("at", _micros(F.col("ts")))
-    )
+    probes = bucketed(_with_lookup_key(requests).withColumn("at", _micros(F.col("ts"))))
     facts = record_facts(history)
+    order = F.struct(*([F.col("seq")] if "seq" in facts.columns else []), F.struct(*_FACTS))
     versions = bucketed(
-        facts.select("key", _micros(F.col("generated_at")).alias("at"), F.struct(*_FACTS).alias("facts"))
+        facts.select("key", _micros(F.col("generated_at")).alias("at"), F.struct(*_FACTS).alias("facts"), order.alias("order"))
         .groupBy("key", "at")
-        .agg(F.max("facts").alias("facts"))
+        .agg(F.max_by("facts", "order").alias("facts"))
     )
 
-    request_buckets = wanted.groupBy("key", "bucket").agg(F.count("*").alias("requests"))
+    request_buckets = probes.filter("lookup").groupBy("key", "bucket").agg(F.count("*").alias("requests"))
     last_versions = versions.groupBy("key", "bucket").agg(
         F.max_by(F.struct("at", "facts"), "at").alias("last")
     )
@@ -214,27 +216,19 @@ def route_requests_asof(
         .filter(F.col("requests").isNotNull() & F.col("before").isNotNull())
         .select("key", "bucket", "before.at", "before.facts")
     )
-
-    hot = F.broadcast(
-        request_buckets.filter(F.col("requests") > rows_per_task)
-        .orderBy(F.col("requests").desc())
-        .limit(_HOT_BUCKETS)
-        .select("key", "bucket", F.ceil(F.col("requests") / rows_per_task).cast("int").alias("salts"))
-    )
-    salts = F.coalesce("salts", F.lit(1))
-    probes = wanted.join(hot, ["key", "bucket"], "left").select(
+    log_columns = [*_LOG_FIELDS, "page", "lookup"]
+    salted = probes.select(
         "key",
         "bucket",
-        F.pmod(F.xxhash64("request_id"), salts).cast("int").alias("salt"),
+        F.pmod(_spread_key(), F.lit(salts)).cast("int").alias("salt"),
         "at",
         F.lit(1).alias("side"),
-        F.struct(*_LOG_FIELDS, "page").alias("request"),
+        F.struct(*log_columns).alias("request"),
     )
     records = (
         versions.select("key", "bucket", "at", "facts")
         .unionByName(carried)
-        .join(hot, ["key", "bucket"], "left")
-        .select("key", "bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "at", F.lit(0).alias("side"), "facts")
+        .select("key", "bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "at", F.lit(0).alias("side"), "facts")
     )
     as_of = (
         Window.partitionBy("key", "bucket", "salt")
@@ -242,9 +236,9 @@ def route_requests_asof(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     seen = (
-        probes.unionByName(records, allowMissingColumns=True)
+        salted.unionByName(records, allowMissingColumns=True)
         .withColumn("facts", F.last("facts", ignorenulls=True).over(as_of))
         .filter(F.col("side") == 1)
-        .select("key", "request.*", "facts.*")
+        .select("request.*", "facts.*")
     )
-    return _decide(seen, F.col("ts"), window_hours).unionByName(_passed_through(requests))
+    return _decide(seen, F.col("ts"), window_hours)

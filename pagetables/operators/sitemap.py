@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import matches, scrub
-from ..functions.text import SPACE, decode_xml, trim_space
+from ..functions.text import decode_xml, disarm, rearm, trim_space
 
-_LOCATION = rf"(?is)<loc>[{SPACE}]*(.*?)[{SPACE}]*</loc>"
+_LOCATION = "(?is)<loc>(.*?)</loc>"
 
 
 def sitemap_locations(xml: Column) -> Column:
     """Array of page URLs in document order.  Broken XML still gives its URLs."""
     decoded = F.transform(
-        matches(scrub(xml), _LOCATION, "$1"), lambda location: decode_xml(trim_space(location))
+        matches(disarm(scrub(xml), "loc"), _LOCATION, "$1"),
+        lambda location: decode_xml(trim_space(rearm(location))),
     )
     return F.filter(decoded, lambda url: url != "")
 
@@ -38,8 +39,10 @@ def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
     return _explode(sitemaps, sitemap_locations(F.col("xml")))
 
 
-def crawl_frontier(sitemaps: DataFrame, max_pages: int | float | str = 500) -> DataFrame:
-    """First ``max_pages`` URLs of every sitemap.  Duplicates count."""
+def crawl_frontier(sitemaps: DataFrame, max_pages: int | float | str | None = None) -> DataFrame:
+    """First ``max_pages`` URLs of every sitemap, all of them by default.  Duplicates count."""
+    if max_pages is None:
+        return sitemap_urls(sitemaps)
     limit = _page_limit(max_pages)
     return _explode(sitemaps, F.slice(sitemap_locations(F.col("xml")), 1, limit))
 

@@ -107,24 +107,35 @@ def export_resource_json(records: DataFrame) -> DataFrame:
     return records.select("key", "status", resource_json(records).alias("value"))
 
 
+def _json_object(text: str) -> Column:
+    """The members of a JSON object, NULL for any other or broken text."""
+    return F.try_variant_get(F.try_parse_json(F.col(text)), "$", "map<string,variant>")
+
+
 def parse_resource_json(stored: DataFrame) -> DataFrame:
-    """Records from stored JSON texts; anything but an object counts as missing."""
-    value = F.from_json(
-        "value",
-        "status string, url string, generatedAt string, markdown string, reason string",
-        {"mode": "PERMISSIVE"},
-    )
-    opened = stored.filter(F.rlike("value", F.lit(r"\A[ \t\r\n]*\{"))).select("key", value.alias("record"))
-    return opened.filter(F.col("record").isNotNull()).select(
+    """Records from stored JSON texts.  Anything but an object counts as missing, and so
+    does a field that is not a string."""
+
+    def field(name: str) -> Column:
+        value = F.try_variant_get(F.col("record"), f"$.{name}", "variant")
+        return F.when(F.startswith(F.to_json(value), F.lit('"')), F.try_variant_get(value, "$", "string"))
+
+    opened = stored.filter(_json_object("value").isNotNull()).select("key", F.try_parse_json("value").alias("record"))
+    return opened.select(
         "key",
-        "record.url",
-        "record.status",
-        F.col("record.generatedAt").try_cast("timestamp").alias("generated_at"),
-        "record.markdown",
-        "record.reason",
+        field("url").alias("url"),
+        field("status").alias("status"),
+        field("generatedAt").try_cast("timestamp").alias("generated_at"),
+        field("markdown").alias("markdown"),
+        field("reason").alias("reason"),
     )
 
 
+def broken_resource_json(stored: DataFrame) -> DataFrame:
+    """Stored texts that `parse_resource_json` leaves out, to report."""
+    return stored.filter(_json_object("value").isNull())
+
+
 def crawl_status_report(records: DataFrame) -> DataFrame:
     """Records per host, status and reason."""
     return (

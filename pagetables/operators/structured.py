@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cache import once
 from ..functions.exprs import SEP, after_sep, before_sep, let, matches, scrub, settle
-from ..functions.text import NOT_WORD_AHEAD, attribute, inline_text, trim_space
+from ..functions.text import NOT_WORD_AHEAD, attribute, disarm, inline_text, rearm, trim_space
 from ..functions.urls import resolve_urls, url_text
 from .metadata import with_metadata
 
@@ -49,13 +49,43 @@ def _string(value: Column) -> Column:
 
 
 def _number_text(number: Column) -> Column:
-    """Shortest text of a number as the web platform writes it."""
-    plain = F.regexp_replace(
-        F.regexp_replace(number.cast("decimal(38,16)").cast("string"), r"(\.[0-9]*?)0+\z", "$1"), r"\.\z", ""
-    )
-    exponent = F.regexp_replace(F.regexp_replace(number.cast("string"), r"\.0E", "E"), "E(?=[0-9])", "e+")
-    size = F.abs(number)
-    return F.when(size == 0, "0").when((size >= 1e-6) & (size < 1e21), plain).otherwise(F.lower(exponent))
+    """Shortest text of a number as the web platform writes it: all its digits, and an
+    exponent below a millionth and from 1e21."""
+
+    def read(text: Column) -> Column:
+        whole = F.regexp_extract(text, r"\A-?([0-9]+)", 1)
+        fraction = F.regexp_replace(F.regexp_extract(text, r"\.([0-9]+)", 1), r"0+\z", "")
+        written = F.concat(whole, fraction)
+        digits = F.regexp_replace(written, r"\A0+", "")
+        exponent = F.coalesce(F.regexp_extract(text, r"E(-?[0-9]+)", 1).try_cast("int"), F.lit(0))
+        # Where the point stands, counted from the first digit that is not zero.
+        point = F.length(whole) + exponent - (F.length(written) - F.length(digits))
+        return F.struct(
+            F.when(F.startswith(text, F.lit("-")), "-").otherwise("").alias("sign"),
+            digits.alias("digits"),
+            point.alias("point"),
+        )
+
+    def write(n: Column) -> Column:
+        size = F.length(n.digits)
+        power = n.point - 1
+        rest = F.regexp_replace(F.substr(n.digits, F.lit(2)), r"0+\z", "")
+        plain = (
+            F.when(n.point >= size, F.concat(n.digits, F.repeat(F.lit("0"), n.point - size)))
+            .when(n.point > 0, F.concat(F.substr(n.digits, F.lit(1), n.point), F.lit("."), F.substr(n.digits, n.point + 1)))
+            .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -n.point), n.digits))
+        )
+        scaled = F.concat(
+            F.substr(n.digits, F.lit(1), F.lit(1)),
+            F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)),
+            F.when(power < 0, "e-").otherwise("e+"),
+            F.abs(power).cast("string"),
+        )
+        return F.when(size == 0, "0").otherwise(
+            F.concat(n.sign, F.when((n.point > -6) & (n.point <= 21), plain).otherwise(scaled))
+        )
+
+    return let(let(number.cast("string"), read), write)
 
 
 def _scalar(value: Column) -> Column:
@@ -111,20 +141,34 @@ def _pending(value: Column) -> Column:
     return F.struct(F.lit(False).alias("done"), value.alias("value"))
 
 
+def _depth(body: Column) -> Column:
+    """How deep the arrays of a JSON text are nested."""
+    outside = F.regexp_replace(F.regexp_replace(body, r"(?s)\\.", ""), r'"[^"]*"', "")
+    brackets = F.regexp_extract_all(outside, F.lit(r"[\[\]]"), F.lit(0))
+
+    def step(state: Column, bracket: Column) -> Column:
+        now = F.when(bracket == "[", state.now + 1).otherwise(state.now - 1)
+        return F.struct(now.alias("now"), F.greatest(state.most, now).alias("most"))
+
+    return F.aggregate(brackets, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step).most
+
+
 @once
 def _parse_scripts() -> Column:
     """Parsed JSON of every JSON-LD script, with a bound on its nesting."""
 
     def parse(script: Column) -> Column:
         # Wrapped in an array, so that anything after the value is an error.
-        body = trim_space(after_sep(script))
-        return F.struct(
-            F.size(F.regexp_extract_all(body, F.lit(r"\["), F.lit(0))).alias("levels"),
-            F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).alias("value"),
+        return let(
+            trim_space(rearm(after_sep(script))),
+            lambda body: F.struct(
+                _depth(body).alias("levels"),
+                F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).alias("value"),
+            ),
         )
 
     scripts = F.filter(
-        matches(scrub(F.col("html")), _SCRIPT, f"$1{SEP}$2"),
+        matches(disarm(scrub(F.col("html")), "script"), _SCRIPT, f"$1{SEP}$2"),
         lambda script: F.coalesce(F.lower(attribute(before_sep(script), "type")) == _JSON_LD, F.lit(False)),
     )
     # Most pages have no such script at all.
@@ -137,7 +181,7 @@ def _visit_nodes() -> Column:
 
     Arrays are visited item by item and ``@graph`` members come before the node
     that holds them.  Every round of the fold opens one level of nesting; there are
-    at most as many levels as brackets in the text.
+    as many levels as the arrays of the text are deep.
     """
 
     def open_value(entry: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cache import once
 from ..functions.exprs import let, matches
-from ..functions.text import NOT_WORD_AHEAD, element, inline_text
+from ..functions.text import NOT_WORD_AHEAD, disarm, element, inline_text, rearm
 from .content import page_content
 
 TABLE = element("table")
@@ -16,13 +16,12 @@ _CELL = rf"(?is)<(th|td){NOT_WORD_AHEAD}[^>]*>(.*?)</\1>"
 def table_rows(table: Column) -> Column:
     """``array<array<string>>`` of one table, padded to its widest row."""
 
-    # Nothing behind the last end tag can match, see `up_to_last`.
     def cells(row: Column) -> Column:
-        head = F.regexp_extract(row, r"(?is)\A.*</t[hd]>", 0)
-        return F.transform(matches(head, _CELL, "$2"), inline_text)
+        found = matches(disarm(row, "th", "td"), _CELL, "$2")
+        return F.transform(found, lambda cell: inline_text(rearm(cell)))
 
-    rows = F.regexp_extract(table, r"(?is)\A.*</tr>", 0)
-    filled = F.filter(F.transform(matches(rows, element("tr"), "$1"), cells), lambda row: F.size(row) > 0)
+    rows = matches(disarm(table, "tr"), element("tr"), "$1")
+    filled = F.filter(F.transform(rows, cells), lambda row: F.size(row) > 0)
 
     def pad(rows: Column) -> Column:
         width = F.array_max(F.transform(rows, F.size))
@@ -36,12 +35,14 @@ def table_rows(table: Column) -> Column:
 @once
 def _tables() -> Column:
     """Tables with at least one row."""
-    found = matches(page_content("html").html, TABLE, "$1")
-    return F.filter(F.transform(found, table_rows), lambda rows: F.size(rows) > 0)
+    found = matches(F.col("_content"), TABLE, "$1")
+    return F.filter(F.transform(found, lambda t: table_rows(rearm(t))), lambda rows: F.size(rows) > 0)
 
 
 def html_tables(pages: DataFrame) -> DataFrame:
     """One row per table row of the main content; row 0 is the header."""
-    return pages.select("page_id", F.posexplode(_tables()).alias("table_no", "rows")).select(
+    content = pages.select("page_id", page_content("html").html.alias("_content"))
+    content = content.withColumn("_content", disarm(F.col("_content"), "table"))
+    return content.select("page_id", F.posexplode(_tables()).alias("table_no", "rows")).select(
         "page_id", "table_no", F.posexplode("rows").alias("row_no", "cells")
     )

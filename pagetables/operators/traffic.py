@@ -29,9 +29,6 @@ from ..rules import (
     UNKNOWN_BOT,
 )
 
-# Rules are settings that become one expression; more than this is a mistake.
-MAX_RULES = 5_000
-
 
 def infer_bot_name(user_agent: Column) -> Column:
     token = F.regexp_extract(user_agent, rf"[A-Za-z][A-Za-z0-9_-]*(?:{BOT_TOKEN_ENDINGS})", 0)
@@ -57,6 +54,20 @@ def _first_match(user_agent: Column, rules: Iterable[BotRule], otherwise: Column
     return otherwise if branches is None else branches.otherwise(otherwise)
 
 
+def _by_signs(agent: Column, accept: Column) -> Column:
+    """Class of an agent that no rule names: bot words, then signs of a browser."""
+    return (
+        F.when(F.rlike(agent, F.lit(GENERIC_PATTERN)), _label(UNKNOWN_BOT, infer_bot_name(agent)))
+        .when(
+            (agent == "")
+            | F.contains(agent, F.lit("Mozilla/"))
+            | F.contains(F.lower(F.coalesce(accept, F.lit(""))), F.lit("text/html")),
+            _label(BROWSER, "Browser"),
+        )
+        .otherwise(_label(UNKNOWN_BOT, infer_bot_name(agent)))
+    )
+
+
 def traffic_class(agent: Column, accept: Column, rules: Iterable[BotRule] = ()) -> Column:
     """``struct<type, name>`` of the first rule that matches a trimmed user agent.
 
@@ -71,13 +82,7 @@ def traffic_class(agent: Column, accept: Column, rules: Iterable[BotRule] = ())
     custom_ai = [rule for rule in ordered if rule.traffic == AI_AGENT]
     custom_search = [rule for rule in ordered if rule.traffic == SEARCH_CRAWLER]
 
-    by_words = F.when(F.rlike(agent, F.lit(GENERIC_PATTERN)), _label(UNKNOWN_BOT, infer_bot_name(agent)))
-    by_signs = by_words.when(
-        (agent == "")
-        | F.contains(agent, F.lit("Mozilla/"))
-        | F.contains(F.lower(F.coalesce(accept, F.lit(""))), F.lit("text/html")),
-        _label(BROWSER, "Browser"),
-    ).otherwise(_label(UNKNOWN_BOT, infer_bot_name(agent)))
+    by_signs = _by_signs(agent, accept)
     known = _first_match(
         agent, DEFAULT_AI_RULES, _first_match(agent, custom_search + DEFAULT_SEARCH_RULES, by_signs)
     )
@@ -95,17 +100,44 @@ def classify_traffic(requests: DataFrame, rules: Iterable[BotRule] = ()) -> Data
     return labelled.select("*", "_class.type", "_class.name").drop("_agent", "_class")
 
 
-def read_rules(rules: DataFrame) -> list[BotRule]:
-    """Rules of a settings table.  Refuses a table too large to be settings."""
-    rows = rules.select("priority", "traffic", "name", "kind", "pattern").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    return [BotRule(row.traffic, row.name, row.kind, row.pattern, row.priority) for row in rows]
+def _named_by_table(requests: DataFrame, rules: DataFrame) -> DataFrame:
+    """Add ``_agent`` and the names that the best rule of each class gives it.
+
+    Rules are tried on the different agents only.  The least priority wins, among equals
+    the least name; a rule of another kind or class matches nothing.
+    """
+    agents = requests.withColumn("_agent", trim_space(F.coalesce("user_agent", F.lit(""))))
+    rules = rules.select("priority", "traffic", "name", "kind", "pattern")
+    hit = F.when(F.col("kind") == "regex", F.rlike("_agent", F.col("pattern"))).when(
+        F.col("kind") == "substring", F.contains(F.lower("_agent"), F.lower("pattern"))
+    )
+    matched = agents.select("_agent").distinct().join(rules, hit)
+
+    def best(traffic: str) -> Column:
+        order = F.struct("priority", "name")
+        return F.min_by(F.when(F.col("traffic") == traffic, F.col("name")), F.when(F.col("traffic") == traffic, order))
+
+    named = matched.groupBy("_agent").agg(best(AI_AGENT).alias("_ai"), best(SEARCH_CRAWLER).alias("_search"))
+    return agents.join(named, "_agent", "left")
 
 
 def classify_with_rules(requests: DataFrame, rules: DataFrame | Iterable[BotRule]) -> DataFrame:
-    """`classify_traffic` with user rules before the default rules of their class."""
-    return classify_traffic(requests, read_rules(rules) if isinstance(rules, DataFrame) else list(rules))
+    """`classify_traffic` with user rules before the default rules of their class.
+
+    A rule table can be of any length: it is joined with the different user agents.
+    """
+    if not isinstance(rules, DataFrame):
+        return classify_traffic(requests, list(rules))
+    agent = F.col("_agent")
+    nothing = F.lit(None).cast("struct<type:string,name:string>")
+    label = F.coalesce(
+        F.when(F.col("_ai").isNotNull(), _label(AI_AGENT, F.col("_ai"))),
+        _first_match(agent, DEFAULT_AI_RULES, nothing),
+        F.when(F.col("_search").isNotNull(), _label(SEARCH_CRAWLER, F.col("_search"))),
+        _first_match(agent, DEFAULT_SEARCH_RULES, _by_signs(agent, F.col("accept"))),
+    )
+    labelled = _named_by_table(requests, rules).withColumn("_class", label)
+    return labelled.select(*requests.columns, "_class.type", "_class.name")
 
 
 def is_page_request(method: Column, page: Column) -> Column:

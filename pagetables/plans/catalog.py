@@ -25,6 +25,7 @@ from ..operators import (
     traffic,
 )
 from ..rules import AI_AGENT, SEARCH_CRAWLER, BotRule
+from ..schemas import BOT_RULES
 from ..sources import readers, writers
 from ..streaming import jobs
 from .views import table, view
@@ -35,7 +36,7 @@ AS_OF = "2024-01-05 00:00:00"
 GENERATED_AT = "2024-01-02 03:04:05.678"
 ORIGIN = "https://App.example.com:443/base/"
 CUSTOM_RULES = (
-    BotRule(AI_AGENT, "InternalAgent", "regex", "(?i)internalagent", 0),
+    BotRule(AI_AGENT, "DeskAgent", "regex", "(?i)deskagent", 0),
     BotRule(AI_AGENT, "Curl", "substring", "CURL/", 1),
     BotRule(SEARCH_CRAWLER, "Mine", "substring", "my crawler", 2),
 )
@@ -88,8 +89,11 @@ def read_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def read_resource_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored texts, of which those of pending records are cut off."""
     path = work_folder(spark, "stored-json")
-    store.export_resource_json(view(spark, sf_dir, "resources")).drop("status").write.parquet(path)
+    stored = store.export_resource_json(view(spark, sf_dir, "resources"))
+    cut = F.when(F.col("status") == "pending", F.substring("value", 1, 25)).otherwise(F.col("value"))
+    stored.select("key", cut.alias("value")).write.parquet(path)
     return _resource_columns(readers.read_resource_json(spark, path))
 
 
@@ -109,7 +113,7 @@ def export_resource_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _resource_columns(resources: DataFrame) -> DataFrame:
     return resources.select(
-        "key", "url", "status", documents.iso_time(F.col("generated_at")).alias("generated_at"), "markdown"
+        "key", "url", "status", documents.iso_time(F.col("generated_at")).alias("generated_at"), "markdown", "reason"
     )
 
 
@@ -245,7 +249,9 @@ def classify_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def classify_with_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = traffic.classify_with_rules(view(spark, sf_dir, "requests"), CUSTOM_RULES)
+    rows = [(r.priority, r.traffic, r.name, r.kind, r.pattern) for r in CUSTOM_RULES]
+    rules = spark.createDataFrame(rows, BOT_RULES)
+    labelled = traffic.classify_with_rules(view(spark, sf_dir, "requests"), rules)
     return labelled.select("request_id", "type", "name")
 
 
@@ -260,7 +266,7 @@ def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _routed(spark, sf_dir).drop("ts", "method")
+    return _routed(spark, sf_dir).drop("ts")
 
 
 @_query
@@ -268,7 +274,7 @@ def route_requests_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     replayed = routing.route_requests_asof(
         view(spark, sf_dir, "requests"), view(spark, sf_dir, "resource_history")
     )
-    return replayed.drop("ts", "method")
+    return replayed.drop("ts")
 
 
 @_query
@@ -341,16 +347,16 @@ def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
         checkpoint,
         AS_OF,
     ).awaitTermination()
-    return spark.read.parquet(path).drop("batch_id", "ts", "method")
+    return spark.read.parquet(path).drop("batch_id", "ts")
 
 
 @_query
 def stream_warmup_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, checkpoint = _folders(spark, "stream-warmup")
     jobs.stream_warmup_queue(
-        _request_stream(spark, sf_dir), view(spark, sf_dir, "resources"), path, checkpoint
+        _request_stream(spark, sf_dir), lambda session: view(session, sf_dir, "resources"), path, checkpoint
     ).awaitTermination()
-    return spark.read.parquet(path).select("key").distinct()
+    return spark.read.parquet(path).select("key", "url")
 
 
 @_query
@@ -383,7 +389,7 @@ def scheduled_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda session: view(session, sf_dir, "responses"),
         path,
         checkpoint,
-        1,
+        2,
         GENERATED_AT,
     ).awaitTermination()
     return _stored_records(spark, path)

@@ -117,7 +117,7 @@ def with_steps(select: str, source: str, *steps: str) -> str:
 
 # --- sources and sinks ------------------------------------------------------------------
 
-_RESOURCE_FIELDS = f"key, url, status, strftime(generated_at, '{_ISO}') AS generated_at, markdown"
+_RESOURCE_FIELDS = f"key, url, status, strftime(generated_at, '{_ISO}') AS generated_at, markdown, reason"
 _LATEST = "SELECT *, row_number() OVER (PARTITION BY key ORDER BY generated_at DESC) AS n FROM resource_history"
 
 _check(
@@ -128,7 +128,8 @@ _check(
     "requests",
 )
 _check("read_resource_json", f"""SELECT key, url, status, strftime(generated_at, '{_ISO}') AS generated_at,
-  CASE WHEN status <> 'failed' THEN markdown END AS markdown FROM resources""", "resources")
+  CASE WHEN status <> 'failed' THEN markdown END AS markdown, CASE WHEN status = 'failed' THEN reason END AS reason
+  FROM resources WHERE status <> 'pending'""", "resources")
 _check("write_resources", f"SELECT {_RESOURCE_FIELDS} FROM ({_LATEST}) WHERE n = 1", "resource_history")
 _check("latest_resources", f"SELECT {_RESOURCE_FIELDS} FROM ({_LATEST}) WHERE n = 1", "resource_history")
 _check("export_resource_json", f"""
@@ -314,7 +315,7 @@ CHECKS["page_requests"] = _on_requests("SELECT request_id, method, url FROM want
 CHECKS["classify_traffic"] = _on_requests("SELECT request_id, type, name FROM labelled")
 CHECKS["classify_with_rules"] = _on_requests(
     "SELECT request_id, type, name FROM labelled",
-    custom_ai="WHEN regexp_matches(ua, '(?i)internalagent') THEN {'type': 'ai-agent', 'name': 'InternalAgent'} "
+    custom_ai="WHEN regexp_matches(ua, '(?i)deskagent') THEN {'type': 'ai-agent', 'name': 'DeskAgent'} "
     "WHEN contains(lower(ua), 'curl/') THEN {'type': 'ai-agent', 'name': 'Curl'}",
     custom_search="WHEN contains(lower(ua), 'my crawler') THEN {'type': 'search-crawler', 'name': 'Mine'}",
 )
@@ -332,7 +333,7 @@ decided AS (
       WHEN coalesce(trim(markdown), '') <> '' AND (status = 'ready' OR (status = 'stale' AND {as_of} - generated_at <= INTERVAL 168 HOUR)) THEN 'serve_markdown'
       WHEN status IS NULL AND method = 'GET' THEN 'origin_warm' ELSE 'origin' END AS decision FROM found),
 routed AS (
-  SELECT request_id, type, name, key, decision,
+  SELECT request_id, method, type, name, key, decision,
     CASE WHEN decision = 'serve_markdown' THEN 'text/markdown; charset=utf-8' END AS content_type,
     CASE WHEN decision = 'serve_markdown' THEN status END AS resource_state,
     CASE WHEN decision = 'serve_markdown' THEN {page('coalesce(record_url, page)')} END AS canonical_url,
@@ -520,7 +521,7 @@ records AS (
   SELECT r.seq, {key('r.url')} AS key, {page('r.url')} AS url, coalesce(r.fetch_error,
       CASE WHEN r.http_status NOT BETWEEN 200 AND 299 THEN 'http-' || r.http_status
         WHEN NOT contains(lower(r.content_type), 'text/html') THEN 'unsupported-content-type'
-        WHEN r.html = '' THEN 'extractMarkdown requires an HTML string' END) AS reason, d.document
+        WHEN r.html = '' THEN 'empty-html' END) AS reason, d.document
   FROM responses r JOIN written_documents d ON d.page_id = r.seq),
 crawled AS (
   SELECT seq, key, url, CASE WHEN reason IS NULL THEN 'ready' ELSE 'failed' END AS status,
@@ -540,12 +541,16 @@ _STORED = """SELECT key, url, status, generated_at, markdown, reason
 FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM crawled) WHERE n = 1"""
 CHECKS["stream_crawl"] = _crawled(_STORED)
 CHECKS["stream_crawl_queue"] = _crawled(_STORED)
-CHECKS["scheduled_crawl"] = _crawled(_STORED)
+CHECKS["scheduled_crawl"] = _crawled(
+    f"""{_STORED} UNION ALL
+SELECT 'page:' || url, url, 'failed', '{_GENERATED}', NULL, 'not-landed'
+FROM (SELECT DISTINCT 'https://example.com/p' || CAST(page_id % 7 AS VARCHAR) AS url FROM pages)"""
+)
 
 # --- streams: the result of the batch operator ---------------------------------------------------
 
 CHECKS["stream_route"] = CHECKS["route_requests"]
-CHECKS["stream_warmup_queue"] = _on_requests(f"SELECT key FROM ({_MISSES})", "resources")
+CHECKS["stream_warmup_queue"] = _on_requests(f"SELECT key, substr(key, 6) AS url FROM ({_MISSES})", "resources")
 CHECKS["stream_traffic_mix"] = _on_requests(
     f"""SELECT strftime(date_trunc('hour', ts), '{_ISO}') AS hour, type, count(*) AS requests
 FROM labelled GROUP BY 1, 2"""

@@ -10,8 +10,6 @@ from string import Template
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..config import spread
-
 TABLES = ("pages", "events")
 
 VIEWS = {
@@ -32,12 +30,12 @@ SELECT e.event_id AS request_id, e.ts AS ts, e.user_id AS user_id,
     WHEN 5 THEN 'Mozilla/5.0 Googlebot/2.1'
     WHEN 6 THEN 'BingBot/2.0'
     WHEN 7 THEN 'archive.org_bot/1.0'
-    WHEN 8 THEN 'ExampleBot/1.0'
+    WHEN 8 THEN 'PriceWatchBot/3.4 (+https://watch.example)'
     WHEN 9 THEN 'Mozilla/5.0 (compatible; SomeBot/1.0)'
     WHEN 10 THEN 'my crawler 2'
     WHEN 11 THEN 'curl/8.0'
     WHEN 12 THEN ''
-    WHEN 13 THEN 'InternalAgent/2026'
+    WHEN 13 THEN 'DeskAgent/7.1 intranet'
     WHEN 14 THEN 'PerplexityBot/1.0 Googlebot/2.1'
     ELSE 'Mozilla/5.0 AppleWebKit/537.36 Chrome/125.0 Safari/537.36' END AS user_agent,
   CASE WHEN e.event_id % 3 = 0 THEN 'Text/HTML,*/*' ELSE '*/*' END AS accept
@@ -78,10 +76,10 @@ SELECT page_id, url,
     CASE page_id % 4
       WHEN 0 THEN '<link href="https://canon.example.com/p' || CAST(page_id AS STRING) || '?x=1#t" rel="alternate canonical"><meta name="description" content="About &amp; more">'
       WHEN 1 THEN '<meta content="Second form" name="Description">'
-      WHEN 2 THEN '<script type="application/ld+json">{"@graph":[{"@type":"Organization","name":"Org ' || CAST(page_id AS STRING) || '","url":"/org","sameAs":["https://s.example.com/a"]},{"@type":["Thing","SoftwareApplication"],"name":"App","operatingSystem":"Web","featureList":["f1","f2"],"offers":{"url":"/buy"}}]}</script>'
+      WHEN 2 THEN '<script type="application/ld+json">{"@graph":[{"@type":"Organization","name":"Org ' || CAST(page_id AS STRING) || '","url":"/org","sameAs":["https://s.example.com/a"]},{"@type":["Thing","SoftwareApplication"],"name":"App","applicationCategory":0.12345678901234568,"operatingSystem":"Web","featureList":["f1","f2"],"offers":{"url":"/buy"}}]}</script>'
       ELSE '<script type="application/ld+json">{bad json</script><script type="application/ld+json">[{"@type":"BreadcrumbList","itemListElement":[{"name":"Home","item":"/"},{"name":"Here"}]},{"@type":"WebPage","name":"W"}]</script>' END || '</head>'),
     '</article>',
-    '<table><tr><th>Plan</th><th>Seats</th></tr><tr><td>A' || CAST(page_id AS STRING) || '</td></tr><tr></tr></table><a href="/plans"><div><h3>Plans</h3></div><span>Explore Plans</span></a></article>') AS html
+    '<table><tr><th>Ward</th><th>Beds</th><th>Floor</th></tr><tr></tr><tr><td>North</td><td>' || CAST(page_id AS STRING) || '</td></tr></table><a href="/rota"><section><h4>Night rota</h4></section><em>View the rota</em></a></article>') AS html
 FROM $pages
 """,
 }
@@ -110,7 +108,7 @@ def with_views(select: str, *names: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, **tables: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas
 from ..operators.sitemap import fetched_sitemaps
-from ..operators.store import latest_resources, parse_resource_json
+from ..operators.store import latest_resources, markdown_is_blank, parse_resource_json
 from ..operators.traffic import normalize_requests
 
 
@@ -35,9 +35,11 @@ def read_requests(
     return normalize_requests(_read(spark, path, schemas.HTTP_LOG, file_format, streaming), origin)
 
 
-def read_sitemaps(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
+def read_sitemaps(
+    spark: SparkSession, path: str, streaming: bool = False, file_format: str = "parquet"
+) -> DataFrame:
     """Fetched sitemaps.  `failed_sitemaps` of the raw table gives the others."""
-    return fetched_sitemaps(_read(spark, path, schemas.SITEMAPS, file_format, streaming=False))
+    return fetched_sitemaps(_read(spark, path, schemas.SITEMAPS, file_format, streaming))
 
 
 def read_crawl_messages(
@@ -46,13 +48,41 @@ def read_crawl_messages(
     return _read(spark, path, schemas.CRAWL_MESSAGES, file_format, streaming)
 
 
+_WRITES = (
+    T.StructField("written_at", T.TimestampType()),
+    T.StructField("writer", T.StringType()),
+    T.StructField("batch_id", T.LongType()),
+)
+_WRITE_ORDER = ("written_at", "batch_id", "generated_at")
+
+
+def _resource_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(T.StructType([*schemas.RESOURCES, *_WRITES])).parquet(path)
+
+
 def read_resources(spark: SparkSession, path: str) -> DataFrame:
     """Current record per key of a table made by `write_resources`.
 
-    Later batches win; inside one batch, the later time.
+    Later writes win; inside one batch, the later time.
     """
-    log = spark.read.schema(T.StructType([*schemas.RESOURCES, T.StructField("batch_id", T.LongType())])).parquet(path)
-    return latest_resources(log, "batch_id", "generated_at").drop("batch_id")
+    latest = latest_resources(_resource_log(spark, path), *_WRITE_ORDER)
+    return latest.select(*schemas.RESOURCES.fieldNames())
+
+
+def read_record_facts(spark: SparkSession, path: str) -> DataFrame:
+    """What routing needs of the current records: of the Markdown its length and whether
+    it is blank, taken in the scan, so that no Markdown is sorted or shuffled."""
+    narrow = _resource_log(spark, path).select(
+        "key",
+        "url",
+        "status",
+        "generated_at",
+        markdown_is_blank(F.col("markdown")).alias("markdown_blank"),
+        F.length("markdown").cast("bigint").alias("markdown_length"),
+        "written_at",
+        "batch_id",
+    )
+    return latest_resources(narrow, *_WRITE_ORDER).drop("written_at", "batch_id")
 
 
 def read_resource_json(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:

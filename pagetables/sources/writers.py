@@ -1,8 +1,10 @@
 """Writers of the resource table.
 
-The table is a log of batches, one folder per batch.  A batch is written whole and a
-repeated batch replaces its own folder, so retries change nothing.  Writing never
-rewrites the table; `compact_resources` folds the log into a new table.
+The table is a log of batches, one folder per writer and batch.  A batch is written whole
+and a repeated batch replaces its own folder, so retries change nothing and no writer
+touches what another wrote.  Rows carry the time of writing, which orders the writes of
+different writers.  Writing never rewrites the table; `compact_resources` folds the log
+into a new table.
 """
 
 from __future__ import annotations
@@ -23,15 +25,19 @@ def _fields(records: DataFrame) -> DataFrame:
     )
 
 
-def write_resources(records: DataFrame, path: str, batch_id: int = 0) -> None:
-    """Write one batch, last write per key."""
-    last = _fields(latest_resources(records))
-    last.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def write_resources(records: DataFrame, path: str, batch_id: int, writer: str = "direct") -> None:
+    """Write one batch of a writer, last write per key.
+
+    A writer numbers its own batches; two that share a name replace each other's.
+    """
+    last = _fields(latest_resources(records)).withColumn("written_at", F.current_timestamp())
+    last.write.mode("overwrite").parquet(f"{path}/writer={writer}/batch_id={batch_id}")
 
 
 def compact_resources(spark: SparkSession, path: str, new_path: str) -> None:
     """Write the current records of ``path`` as the first batch of ``new_path``."""
-    read_resources(spark, path).write.mode("overwrite").parquet(f"{new_path}/batch_id=0")
+    current = read_resources(spark, path).withColumn("written_at", F.current_timestamp())
+    current.write.mode("overwrite").parquet(f"{new_path}/writer=compact/batch_id=0")
 
 
 def write_resource_json(records: DataFrame, path: str) -> None:

@@ -7,20 +7,23 @@ failure replaces its own output.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..config import spread
-from ..operators.documents import crawl_pages
+from ..functions.urls import resource_key
+from ..operators.documents import crawl_pages, dead_letters
 from ..operators.routing import agent_page_requests, route_requests
-from ..operators.sitemap import crawl_frontier
+from ..operators.sitemap import crawl_frontier, failed_sitemaps, fetched_sitemaps
 from ..operators.traffic import classify_traffic
 from ..sources.writers import write_resources
 
 _SALTS = 64
+#: Reason of the record of a queued URL that has no response.
+NOT_LANDED = "not-landed"
 
 TableReader = Callable[[SparkSession], DataFrame]
 
@@ -61,7 +64,7 @@ def stream_route(
 
 def stream_warmup_queue(
     requests: DataFrame,
-    resources: DataFrame,
+    resources: TableReader,
     path: str,
     checkpoint: str,
     lateness: str = "1 hour",
@@ -70,19 +73,36 @@ def stream_warmup_queue(
     """Missed pages, once per watermark interval.  State holds keys of that interval only.
 
     Repeats are first dropped per key and salt, so a hot page is spread over tasks and
-    sends one row per salt to the second step.
+    sends one row per salt to the second step.  Records are read anew for every batch.
     """
-    missed = (
+    wanted = (
         agent_page_requests(requests.withWatermark("ts", lateness))
         .filter(F.col("method") == "GET")
-        .join(resources.select("key"), "key", "left_anti")
-        .withColumn("salt", F.pmod(F.xxhash64("request_id"), F.lit(_SALTS)))
+        .withColumn("salt", F.pmod(F.xxhash64("request_id", "ts"), F.lit(_SALTS)))
         .dropDuplicatesWithinWatermark(["key", "salt"])
         .dropDuplicatesWithinWatermark(["key"])
         .select("key", F.col("page").alias("url"), F.col("ts").alias("requested_at"))
     )
-    writer = missed.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).format("parquet").start(path)
+
+    def queue(batch: DataFrame, batch_id: int) -> None:
+        missed = batch.join(resources(batch.sparkSession).select("key"), "key", "left_anti")
+        missed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return _start(wanted, checkpoint, queue, available_now)
+
+
+def _writer(checkpoint: str) -> str:
+    """Name under which a job writes records: its own, and the same after a restart."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+
+def _write_crawled(
+    found: DataFrame, time: datetime | str | Column, path: str, batch_id: int, checkpoint: str, dead: str | None
+) -> None:
+    """Records of the responses; with a folder ``dead``, those with an invalid URL there."""
+    write_resources(crawl_pages(found, time), path, batch_id, _writer(checkpoint))
+    if dead is not None:
+        dead_letters(found).write.mode("overwrite").parquet(f"{dead}/batch_id={batch_id}")
 
 
 def stream_crawl(
@@ -91,16 +111,35 @@ def stream_crawl(
     checkpoint: str,
     generated_at: datetime | str | Column | None = None,
     available_now: bool = True,
+    dead: str | None = None,
 ) -> StreamingQuery:
     """Responses to records.  Later batches win."""
 
     def crawl(batch: DataFrame, batch_id: int) -> None:
         time = F.current_timestamp() if generated_at is None else generated_at
-        write_resources(crawl_pages(spread(batch), time), path, batch_id)
+        _write_crawled(batch, time, path, batch_id, checkpoint, dead)
 
     return _start(responses, checkpoint, crawl, available_now)
 
 
+def _found_and_missing(urls: DataFrame, responses: DataFrame) -> DataFrame:
+    """The responses of the queued URLs by resource key, and a failed one for each URL that
+    has none.  A URL that is not valid keeps its own text, so that it is reported.
+
+    Keys are joined first; HTML is attached to the responses that are wanted.
+    """
+    key = F.coalesce(resource_key("url"), F.concat(F.lit("#"), "url"))
+    wanted = urls.filter(F.col("url").isNotNull() & (F.col("url") != "")).select("url", key.alias("_key"))
+    wanted = wanted.groupBy("_key").agg(F.min("url").alias("_url"))
+    keyed = responses.withColumn("_key", key)
+    landed = keyed.select("_key").distinct()
+    missing = wanted.join(landed, "_key", "left_anti").select(
+        F.col("_url").alias("url"), F.lit(NOT_LANDED).alias("fetch_error")
+    )
+    found = keyed.join(wanted.select("_key"), "_key", "left_semi").drop("_key")
+    return found.unionByName(missing, allowMissingColumns=True)
+
+
 def stream_crawl_queue(
     messages: DataFrame,
     responses: TableReader,
@@ -108,17 +147,18 @@ def stream_crawl_queue(
     checkpoint: str,
     generated_at: datetime | str | Column | None = None,
     available_now: bool = True,
+    dead: str | None = None,
 ) -> StreamingQuery:
     """Crawl messages to records.  Messages without a URL are acknowledged and dropped.
 
-    The checkpoint is the acknowledgement: a batch that failed is delivered again.
+    A URL without a response gets a failed record.  The checkpoint is the
+    acknowledgement: a batch that failed is delivered again.
     """
 
     def crawl(batch: DataFrame, batch_id: int) -> None:
         time = F.current_timestamp() if generated_at is None else generated_at
-        wanted = batch.filter(F.col("url").isNotNull() & (F.col("url") != "")).select("url").distinct()
-        found = responses(batch.sparkSession).join(wanted, "url", "left_semi")
-        write_resources(crawl_pages(found, time), path, batch_id)
+        found = _found_and_missing(batch.select("url"), responses(batch.sparkSession))
+        _write_crawled(found, time, path, batch_id, checkpoint, dead)
 
     return _start(messages, checkpoint, crawl, available_now)
 
@@ -128,22 +168,33 @@ def scheduled_crawl(
     responses: TableReader,
     path: str,
     checkpoint: str,
-    max_pages: int | float | str = 500,
+    max_pages: int | float | str | None = None,
     generated_at: datetime | str | Column | None = None,
     queue: str | None = None,
     available_now: bool = True,
+    dead: str | None = None,
+    failed: str | None = None,
 ) -> StreamingQuery:
     """One scheduler tick: new sitemaps to crawl messages in ``queue`` if there is
-    one, else to records."""
+    one, else to records.
+
+    Sitemaps with a status other than 2xx are not read; with a folder ``failed`` they are
+    listed there.  A table without statuses holds fetched sitemaps only.
+    """
 
     def crawl(batch: DataFrame, batch_id: int) -> None:
-        urls = crawl_frontier(batch, max_pages).select("url")
+        fetched = batch
+        if "http_status" in batch.columns:
+            fetched = fetched_sitemaps(batch)
+            if failed is not None:
+                failed_sitemaps(batch).drop("xml").write.mode("overwrite").parquet(f"{failed}/batch_id={batch_id}")
+        urls = crawl_frontier(fetched, max_pages).select("url")
         if queue is not None:
             urls.write.mode("overwrite").json(f"{queue}/batch_id={batch_id}")
             return
         time = F.current_timestamp() if generated_at is None else generated_at
-        found = responses(batch.sparkSession).join(urls.distinct(), "url", "left_semi")
-        write_resources(crawl_pages(found, time), path, batch_id)
+        found = _found_and_missing(urls, responses(batch.sparkSession))
+        _write_crawled(found, time, path, batch_id, checkpoint, dead)
 
     return _start(sitemaps, checkpoint, crawl, available_now)
 

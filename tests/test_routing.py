@@ -85,8 +85,8 @@ def test_coverage_and_warmups(spark, decided):
     }
 
 
-@pytest.mark.parametrize("bucket_seconds, rows_per_task", [(60, 1_000_000), (7, 3), (86_400, 10)])
-def test_replay_equals_brute_force(spark, bucket_seconds, rows_per_task):
+@pytest.mark.parametrize("bucket_seconds, salts", [(60, 1), (7, 3), (86_400, 10)])
+def test_replay_equals_brute_force(spark, bucket_seconds, salts):
     """A third of all requests and records belong to one page."""
     chance = random.Random(7)
     page = lambda: "hot" if chance.random() < 0.34 else f"p{chance.randrange(6)}"
@@ -96,7 +96,7 @@ def test_replay_equals_brute_force(spark, bucket_seconds, rows_per_task):
     records = [(f"page:https://e.com/{p}", None, s, t, f"# {p} {t}") for (p, t), s in versions.items()]
 
     routed = route_requests_asof(
-        requests_of(spark, *requests), records_of(spark, *records), 168, bucket_seconds, rows_per_task
+        requests_of(spark, *requests), records_of(spark, *records), 168, bucket_seconds, salts
     )
     got = {row.request_id: (row.decision, row.resource_state) for row in routed.collect()}
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagetables.config import work_folder
 from pagetables.operators.store import (
+    broken_resource_json,
     clear_resources,
     collapse_variants,
     crawl_status_report,
@@ -17,7 +18,7 @@ from pagetables.operators.store import (
     servable_resources,
 )
 from pagetables.schemas import RESOURCES
-from pagetables.sources.readers import read_resources
+from pagetables.sources.readers import read_record_facts, read_resources
 from pagetables.sources.writers import compact_resources, write_resource_json, write_resources
 
 RECORD = "key string, status string, generated_at string, markdown string"
@@ -141,3 +142,32 @@ def test_reports(spark):
 
 def test_work_folder_lies_in_the_shared_folder(spark):
     assert work_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir") + "/x-")
+
+
+def test_broken_and_foreign_values_are_told_apart(spark):
+    stored = spark.createDataFrame(
+        [
+            ("cut", '{"status":"ready","markdown":"x"'),
+            ("open", "{bad"),
+            ("number", '{"status":"ready","markdown":5,"url":true}'),
+            ("good", ' {"status":"ready","markdown":"x","generatedAt":"2024-01-02T03:04:05.678Z"}'),
+        ],
+        "key string, value string",
+    )
+    rows = {row.key: (row.status, row.markdown, row.url) for row in parse_resource_json(stored).collect()}
+    assert rows == {"number": ("ready", None, None), "good": ("ready", "x", None)}
+    assert {row.key for row in broken_resource_json(stored).collect()} == {"cut", "open"}
+
+
+def test_two_writers_keep_each_others_batches(spark):
+    path = work_folder(spark, "writers")
+    row = lambda key, status: records_of(spark, (key, "u", status, "2024-01-01 00:00:00", "# x", None))
+    write_resources(row("a", "ready"), path, 0, "one")
+    write_resources(row("b", "ready"), path, 0, "two")
+    write_resources(row("a", "failed"), path, 0, "two again")
+    assert {r.key: r.status for r in read_resources(spark, path).collect()} == {"a": "failed", "b": "ready"}
+    facts = {r.key: (r.status, r.markdown_blank, r.markdown_length) for r in read_record_facts(spark, path).collect()}
+    assert facts == {"a": ("failed", False, 3), "b": ("ready", False, 3)}
+    plan = read_record_facts(spark, path)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.rindex("Project")]
+    assert "markdown#" not in above.replace("markdown_blank#", "").replace("markdown_length#", "")

