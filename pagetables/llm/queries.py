@@ -1,4 +1,4 @@
-"""The registered queries of the training-data operators and their SQL."""
+"""The registered queries of the training-data operators."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetables.llm.checks import CHECKS
 from pagetables.llm.common import load
 from pagetables.llm.decontaminate import contamination
 from pagetables.llm.html_wrappers import page_texts
@@ -19,6 +20,8 @@ from pagetables.llm.simhash_groups import near_groups
 from pagetables.llm.suffix_dedup import remove_repeats
 from pagetables.llm.warc import capture_histories
 
+__all__ = ["CHECKS", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -77,20 +80,3 @@ QUERIES: dict[str, Query] = {
     "op9_source_mix": op9_source_mix,
     "op10_license_scan": op10_license_scan,
 }
-
-CHECKS: dict[str, str] = {
-    "op5_warc_histories": """
-        WITH p AS (
-            SELECT page_id, coalesce(html, '') AS payload FROM pages
-        ), d AS (
-            SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
-                   sha256(payload) AS payload_digest FROM p
-        ), f AS (
-            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d
-        )
-        SELECT page_id, payload_bytes, payload_digest,
-               CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
-        FROM f
-    """,
-}

@@ -50,7 +50,8 @@ def test_base_spans_equal_the_plain_rules(spark):
 
 def test_the_method_adds_known_formats_and_leaves_words_alone(spark):
     rng = random.Random(9)
-    model = learn(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(some_texts())], DOCS))
+    texts = some_texts() + [prose(rng, 300) for _ in range(200)]
+    model = learn(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS))
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     mixed = lambda n: "".join(rng.choices(letters, k=n))
     hits = [model.best("ghp_" + mixed(36)) for _ in range(40)]

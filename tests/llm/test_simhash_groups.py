@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from pagetables.llm.simhash_groups import Tiling, _cell, fingerprint, linked, near_groups, one_of_each
+from pagetables.llm.simhash_groups import Tiling, _cell, copy_groups, fingerprint, linked, near_groups, one_of_each
 from tests.llm.data import DOCS, awkward, awkward_rows, empty, prose
 
 
@@ -67,13 +67,44 @@ def test_awkward_rows(spark):
     assert near_groups(empty(spark)).collect() == []
 
 
+def similarity(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("tile_rows", [7, 8192])
+def test_copies_of_eight_tenths_are_found_and_others_left(spark, tile_rows):
+    rng = random.Random(4)
+    rows, close, apart = [], [], []
+    for i in range(60):
+        words = prose(rng, rng.randrange(150, 400)).split()
+        rows.append((10 * i, " ".join(words), "en", "s", 1))
+        for j, share in enumerate((0.01, 0.02, 0.2)):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), max(1, int(share * len(copy)))):
+                copy[at] = prose(rng, 1) + "x"
+            rows.append((10 * i + j + 1, " ".join(copy), "en", "s", 1))
+            s = similarity(rows[-1][1], rows[-j - 2][1])
+            (close if s >= 0.85 else apart if s < 0.6 else []).append(10 * i + j + 1)
+    groups = {r["doc_id"]: r["group_id"] for r in copy_groups(spark.createDataFrame(rows, DOCS), tile_rows=tile_rows).collect()}
+    assert len(close) > 60 and len(apart) == 60
+    assert sum(groups[d] == d // 10 * 10 for d in close) >= 0.99 * len(close)
+    assert [d for d in apart if groups[d] != d] == []
+    assert all(groups[10 * i] == 10 * i for i in range(60))
+
+
 def test_one_of_each_keeps_the_smallest(spark):
-    rows = some_rows()
-    kept = sorted(r["doc_id"] for r in one_of_each(spark.createDataFrame(rows, DOCS)).collect())
-    assert kept == sorted({c for _, _, c in plain_groups(rows)})
-    # Rows without an id cannot be the smallest of a group, and stay.
-    ids = [r["doc_id"] for r in one_of_each(awkward(spark)).collect()]
-    assert ids.count(None) == 2 and 2 not in ids
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 100), "en", "s", 1) for i in range(20)]
+    rows += [(100 + i, t.upper().replace(" ", "\t "), *rest) for i, t, *rest in rows[:9]]
+    kept = one_of_each(spark.createDataFrame(rows, DOCS))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(20))
+    # Rows without an id cannot be the smallest of a group, and stay; 7 is nearly 6, and 9 is
+    # 1 with three words in front.
+    ids = sorted((r["doc_id"] for r in one_of_each(awkward(spark)).collect()), key=str)
+    assert ids == [1, 3, 6, 8, None, None]
+    assert one_of_each(empty(spark)).collect() == []
 
 
 def test_hash_is_sparks_own(spark):
