@@ -79,14 +79,21 @@ def clear_resources(resources: DataFrame, prefix: str = PAGE_PREFIX, confirm: bo
     return resources.filter(~F.startswith("key", F.lit(prefix or PAGE_PREFIX)))
 
 
+def _target_key() -> Column:
+    return F.when(F.startswith("target", F.lit(PAGE_PREFIX)), F.col("target")).otherwise(resource_key("target"))
+
+
 def drop_resources(resources: DataFrame, targets: DataFrame) -> DataFrame:
-    """Everything but the records named by ``targets.target``: URLs or keys."""
-    keys = targets.select(
-        F.when(F.startswith("target", F.lit(PAGE_PREFIX)), F.col("target"))
-        .otherwise(resource_key("target"))
-        .alias("key")
-    )
-    return resources.join(keys, "key", "left_anti")
+    """Everything but the records named by ``targets.target``: URLs or keys.
+
+    `invalid_targets` has those that are neither.
+    """
+    return resources.join(targets.select(_target_key().alias("key")).distinct(), "key", "left_anti")
+
+
+def invalid_targets(targets: DataFrame) -> DataFrame:
+    """Targets that name no record, to report."""
+    return targets.filter(_target_key().isNull())
 
 
 def resource_json(records: DataFrame) -> Column:

@@ -146,9 +146,15 @@ def is_page_request(method: Column, page: Column) -> Column:
 
 
 def page_requests(requests: DataFrame) -> DataFrame:
+    """Requests for pages.  `invalid_requests` has those whose URL is not valid."""
     return requests.filter(is_page_request(F.col("method"), page_url("url")))
 
 
+def invalid_requests(requests: DataFrame) -> DataFrame:
+    """Requests whose URL is not valid, to report."""
+    return requests.filter(page_url("url").isNull())
+
+
 def normalize_requests(log: DataFrame, origin: str | None = None) -> DataFrame:
     """Request rows from landed server logs with raw paths and header maps."""
 

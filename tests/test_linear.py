@@ -55,8 +55,8 @@ def seconds(spark, rule, piece, size):
 )
 def test_time_grows_with_the_page(spark, rule, piece):
     seconds(spark, rule, piece, 10_000)
-    small, large = (seconds(spark, rule, piece, size) for size in (100_000, 400_000))
-    assert large < 8 * small + 2
+    small, large = (seconds(spark, rule, piece, size) for size in (40_000, 160_000))
+    assert large < 8 * small + 1
 
 
 def test_scripts_with_many_brackets(spark):

@@ -13,6 +13,7 @@ from pagetables.operators.store import (
     crawl_status_report,
     drop_resources,
     export_resource_json,
+    invalid_targets,
     latest_resources,
     parse_resource_json,
     servable_resources,
@@ -116,6 +117,8 @@ def test_dropping_and_clearing(spark):
     rows = spark.createDataFrame([("page:https://e.com/a",), ("page:https://e.com/b",), ("other:x",)], "key string")
     targets = spark.createDataFrame([("https://E.com/a?x#y",), ("page:https://e.com/none",)], "target string")
     assert {row.key for row in drop_resources(rows, targets).collect()} == {"page:https://e.com/b", "other:x"}
+    wrong = targets.unionByName(spark.createDataFrame([("no url",), (None,)], "target string"))
+    assert {row.target for row in invalid_targets(wrong).collect()} == {"no url", None}
     with pytest.raises(ValueError):
         clear_resources(rows)
     assert [row.key for row in clear_resources(rows, confirm=True).collect()] == ["other:x"]
