@@ -93,6 +93,38 @@ def test_copies_of_eight_tenths_are_found_and_others_left(spark, tile_rows):
     assert all(groups[10 * i] == 10 * i for i in range(60))
 
 
+@pytest.mark.parametrize(("tile_rows", "edits"), [(7, (1, 2, 3, 4, 5)), (8192, (1, 2, 3, 4, 5)), (8192, (3,))])
+def test_copies_are_those_that_share_eight_tenths(spark, tile_rows, edits):
+    rng = random.Random(8)
+    rows = []
+    for i in range(12):
+        words = prose(rng, 104).split()
+        for j in range(12):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), rng.choice(edits) if j else 0):
+                copy[at] = f"new{rng.randrange(10**9)}"
+            rows.append((20 * i + j, " ".join(copy), "en", "s", 1))
+    # Four and five shingles: the least texts of that similarity.
+    rows += [(1000 + 10 * i + j, " ".join(f"w{i}x{k}" for k in range(8 + j)), "en", "s", 1) for i in range(60) for j in (0, 1)]
+    root, between = {r[0]: r[0] for r in rows}, 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (x, a, *_) in enumerate(rows):
+        for y, b, *_ in rows[:i]:
+            if abs(x - y) < 20 and (s := similarity(a, b)) >= 0.7:
+                between += s < 0.8
+                if s >= 0.8:
+                    p, q = find(x), find(y)
+                    root[max(p, q)] = min(p, q)
+    found = copy_groups(spark.createDataFrame(rows, DOCS), tile_rows=tile_rows).collect()
+    assert between > 20
+    assert {r["doc_id"]: r["group_id"] for r in found} == {d: find(d) for d in root}
+
+
 def test_one_of_each_keeps_the_smallest(spark):
     rng = random.Random(6)
     rows = [(i, prose(rng, 100), "en", "s", 1) for i in range(20)]
