@@ -3,8 +3,10 @@
 A sketch counts the values of a measure in buckets that grow by ``GROWTH``; sketches merge by
 adding counts, so they are built with partial aggregation and a hot source costs no more
 than its buckets.  Quantiles read from it are within one bucket of the exact ones.  The
-fences of a group are its quartiles and three times their distance, at least ``SLACK``;
-a document outside them, or failing the base rule, is not kept.
+fences of a group are its quartiles and three times its spread, which is the distance of the
+quartiles or that of the median from the quantile ``TAIL`` beyond it; a small floor takes
+the place of a spread near zero.  A document outside the fences, or failing the base rule,
+is not kept.
 """
 
 from __future__ import annotations
@@ -22,14 +24,17 @@ from pagetables.llm.common import pick, settled, utf8
 
 #: Ratio of a bucket's bounds: quantiles are within one per cent.
 GROWTH = 1.02
-#: Multiples of the quartiles' distance between a quartile and its fence.
+#: Multiples of the spread between a quartile and its fence.
 REACH = 3.0
-#: Least distance of the lower and upper fence from the quartiles, by measure; none: no fence.
-SLACK: dict[str, tuple[float | None, float | None]] = {
-    "word_length": (2.5, 6.0),
-    "symbol_share": (None, 0.3),
-    "dup_line_share": (None, 0.3),
-    "repeat_share": (None, 0.4),
+#: Share of the documents beyond the outer quantile, on each side.
+TAIL = 0.15
+#: Least distance of the lower and upper fence from the quartiles, by measure: a number and a
+#: multiple of the group's median; none: no fence.
+FLOOR: dict[str, tuple[tuple[float, float] | None, tuple[float, float] | None]] = {
+    "word_length": ((0.0, 0.4), (0.0, 1.0)),
+    "symbol_share": (None, (0.1, 0.0)),
+    "dup_line_share": (None, (0.2, 0.0)),
+    "repeat_share": (None, (0.2, 0.0)),
 }
 #: The base rule.
 LEAST_WORDS = 50
@@ -39,8 +44,9 @@ _SYMBOLS = b"#*$%&|<>"
 _BLANKS = b"\t\n\x0b\x0c\r "
 
 
-def measures(text: bytes) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a UTF-8 text."""
+def measures(text: bytes) -> tuple[int, int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (with a word)
+    of a UTF-8 text."""
     words = text.split()
     letters = text.translate(None, _BLANKS)
     symbols = len(text) - len(text.translate(None, _SYMBOLS))
@@ -60,10 +66,11 @@ def measures(text: bytes) -> tuple[int, int, int, int, int]:
                 if counts[window] > 1:
                     repeated += i + 3 - max(i, covered)
                     covered = i + 3
-    return len(words), len(letters.decode()), symbols, dup, repeated
+    return len(words), len(letters.decode()), symbols, dup, repeated, dup + len(seen)
 
 
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_COUNTS = (*_NAMES, "n_lines")
 
 
 def document_measures(docs: DataFrame) -> DataFrame:
@@ -74,14 +81,14 @@ def document_measures(docs: DataFrame) -> DataFrame:
             data, at = utf8(batch["text"])
             raw, at = data.tobytes(), at.tolist()
             rows = [measures(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            cols = zip(*rows, strict=True) if rows else [()] * len(_NAMES)
+            cols = zip(*rows, strict=True) if rows else [()] * len(_COUNTS)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["lang"], batch["source"], *(pa.array(c, pa.int64()) for c in cols)],
-                ["doc_id", "lang", "source", *_NAMES],
+                ["doc_id", "lang", "source", *_COUNTS],
             )
 
     return pick(docs, doc_id="bigint", text="string", lang="string", source="string").mapInArrow(
-        measure, "doc_id bigint, lang string, source string, " + ", ".join(f"{n} bigint" for n in _NAMES)
+        measure, "doc_id bigint, lang string, source string, " + ", ".join(f"{n} bigint" for n in _COUNTS)
     )
 
 
@@ -90,7 +97,7 @@ def _shares() -> dict[str, Column]:
     return {
         "word_length": F.col("word_chars") / words,
         "symbol_share": F.col("n_symbols") / words,
-        "dup_line_share": F.col("n_dup_lines") / words,
+        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "repeat_share": F.col("n_repeat_words") / words,
     }
 
@@ -121,16 +128,22 @@ def fences(sketch: DataFrame) -> DataFrame:
         "lang", "source", "measure", value.alias("value"), upto.alias("upto"), F.sum("n").over(group).alias("all")
     )
     at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("value")))
-    quartiles = ranked.groupBy("lang", "source", "measure").agg(at(0.25).alias("low"), at(0.75).alias("high"))
-    spread = REACH * (F.col("high") - F.col("low"))
+    quantiles = ranked.groupBy("lang", "source", "measure").agg(
+        *(at(q).alias(name) for name, q in (("least", TAIL), ("low", 0.25), ("mid", 0.5), ("high", 0.75), ("most", 1 - TAIL)))
+    )
+    between = F.col("high") - F.col("low")
     limits = []
-    for name, (below, above) in SLACK.items():
+    for name, (below, above) in FLOOR.items():
         mine = F.col("measure") == name
         if below is not None:
-            limits.append(F.max(F.when(mine, F.col("low") - F.greatest(spread, F.lit(below)))).alias(f"{name}_from"))
+            spread = REACH * F.greatest(between, F.col("mid") - F.col("least"))
+            far = F.greatest(spread, F.lit(below[0]) + below[1] * F.col("mid"))
+            limits.append(F.max(F.when(mine, F.col("low") - far)).alias(f"{name}_from"))
         if above is not None:
-            limits.append(F.max(F.when(mine, F.col("high") + F.greatest(spread, F.lit(above)))).alias(f"{name}_to"))
-    return quartiles.groupBy("lang", "source").agg(*limits)
+            spread = REACH * F.greatest(between, F.col("most") - F.col("mid"))
+            far = F.greatest(spread, F.lit(above[0]) + above[1] * F.col("mid"))
+            limits.append(F.max(F.when(mine, F.col("high") + far)).alias(f"{name}_to"))
+    return quantiles.groupBy("lang", "source").agg(*limits)
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -146,7 +159,7 @@ def judged(docs: DataFrame) -> DataFrame:
         limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left"
     )
     shares, beyond = _shares(), []
-    for name, (below, above) in SLACK.items():
+    for name, (below, above) in FLOOR.items():
         out = F.lit(False)
         if below is not None:
             out = out | (shares[name] < F.col(f"{name}_from"))

@@ -77,6 +77,27 @@ def test_sketches_merge_and_are_near_the_quartiles(spark):
     assert abs(limit["word_length_from"] - (low - max(spread, 2.5))) < 8 * (GROWTH - 1) * high
 
 
+def test_fences_move_with_the_group_and_repeated_lines_are_rejected(spark):
+    rng = random.Random(3)
+
+    def lines(repeated, plain=20):
+        own = [prose(rng, 8) for _ in range(plain)]
+        return "\n".join(own + ["menu"] * (repeated + 1)) if repeated else "\n".join(own)
+
+    # In "list" every document repeats lines, in "news" one does.
+    rows = [(i, lines(0), "en", "news", 1) for i in range(60)] + [(99, lines(12), "en", "news", 1)]
+    rows += [(100 + i, lines(i % 13), "en", "list", 1) for i in range(65)]
+    rows += [(200 + i, lines(60), "en", "list", 1) for i in range(2)]
+    rows += [(300 + i, " ".join("x" * (8 + i % 30) for _ in range(70)), "en", "long", 1) for i in range(60)]
+    frame = spark.createDataFrame(rows, DOCS)
+    limit = {r["source"]: r for r in fences(sketches(document_measures(frame))).collect()}
+    assert limit["list"]["dup_line_share_to"] > limit["news"]["dup_line_share_to"] + 0.3
+    assert limit["long"]["word_length_to"] > limit["news"]["word_length_to"] + 10
+    found = {r["doc_id"]: r for r in judged(frame).collect()}
+    assert not found[99]["base_failed"] and found[99]["outside"] == ["dup_line_share"]
+    assert all(found[i]["kept"] for i in [*range(60), *range(100, 165)])
+
+
 def test_awkward_rows(spark):
     assert len(judged(awkward(spark)).collect()) == 12
     assert judged(empty(spark)).collect() == []
