@@ -9,10 +9,13 @@ automaton of the format.
 Labels are the base rules' own matches in the corpus, ``SAMPLE`` of each kind at most, and
 generated examples of public formats, so that an automaton exists without any match.
 
-Every candidate (a run of token characters with a digit) is scored by every automaton: the
-mean log likelihood of a character in the format against that in running text, where the
-class of a character depends on the one before.
-A candidate above ``MARGIN`` is a span of that format, unless a base span overlaps it.
+Candidates are the parts, with a digit, of runs of token characters.  They begin at the
+run's beginning or after a sign and end before a sign or at the run's end.  Every automaton
+scores them: the mean log likelihood of a character in the format against that in running
+text, where the class of a character depends on the one before.  A candidate above ``MARGIN``
+is a span of that format.  Of those that overlap, the choice with the greatest sum of what
+they have above the margin is taken, in one pass over the run.  One inside a base span is
+left out; one that contains a base span, or reaches beyond it, is a span beside it.
 """
 
 from __future__ import annotations
@@ -50,8 +53,11 @@ EXAMPLES = 300
 ALPHA = 0.05
 #: Nats by which a character must be likelier in the format than in words.
 MARGIN = 0.5
-#: Characters of a labelled match that are learnt from.
+#: Characters of a labelled match that are learnt from; a longer one has no end there.
 LONGEST = 256
+#: Characters of a candidate at least, and the signs at which one can begin and end.
+SHORTEST = 16
+SIGNS = "=/.-"
 SEED = 2
 
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{16,}")
@@ -82,8 +88,12 @@ _LITERAL = ("AKIA", "gh", "xox", "AIza", "sk_live_", "eyJ")
 def symbols(text: str) -> list[str]:
     """The characters as the automata read them: hexadecimal, other letters, digits, signs."""
     head = next((x for x in _LITERAL if text.startswith(x)), "")
-    out = list(head)
-    for c in text[len(head) :]:
+    return list(head) + _classes(text[len(head) :])
+
+
+def _classes(text: str) -> list[str]:
+    out = []
+    for c in text:
         if c in _DIGITS:
             out.append("9")
         elif "a" <= c <= "f":
@@ -125,14 +135,14 @@ class Automaton:
         self.alpha = alpha
         for text in examples:
             at = 0
-            for s in symbols(text):
+            for s in symbols(text[:LONGEST]):
                 state = self.states[at]
                 state.out[s] += 1
                 if s not in state.to:
                     state.to[s] = len(self.states)
                     self.states.append(State())
                 at = state.to[s]
-            self.states[at].ends += 1
+            self.states[at].ends += len(text) <= LONGEST
         self._merge_states()
         self._finish()
 
@@ -246,6 +256,72 @@ class SecretModel:
         plain = float(self.text[classes[:-1], classes[1:]].mean())
         return (kind, score - plain) if score - plain > self.margin else None
 
+    def parts(self, run: str) -> list[tuple[int, str, int]]:
+        """The parts of a run, as (start, kind, end), that are secrets and do not overlap.
+
+        ``best`` has the greatest sum of scores above the margin up to a place.  Readings of
+        one automaton that are in the same state differ in their past only, so the better
+        one goes on; those too short to end yet are kept apart.
+        """
+        n, kinds = len(run), list(self.automata)
+        tables = [self.automata[k] for k in kinds]
+        classes = _CLASS_OF[np.frombuffer(run.encode(), np.uint8)]
+        first = (self.text[7, classes] + self.margin).tolist()
+        inner = [0.0, *(self.text[classes[:-1], classes[1:]] + self.margin).tolist()]
+        last = (self.text[classes, 7] + self.margin).tolist()
+        read = _classes(run)
+        best, back = [0.0] * (n + 1), [None] * (n + 1)
+        #: Readings as (automaton, start, state, value, has a digit), by where they go on.
+        later: dict[int, list[tuple]] = {}
+        young: list[tuple] = []
+        grown: dict[tuple[int, int, bool], tuple[float, int]] = {}
+        for at in range(n + 1):
+            if at:
+                best[at] = best[at - 1]
+            if at == n or run[at] in SIGNS:
+                for (k, state, digit), (value, start) in grown.items():
+                    if digit and (total := value + tables[k].end[state] - last[at - 1]) > best[at]:
+                        best[at], back[at] = total, (start, kinds[k])
+            if at == n:
+                break
+            if n - at >= SHORTEST and (at == 0 or run[at - 1] in SIGNS):
+                head = next((x for x in _LITERAL if run.startswith(x, at)), "")
+                for k, table in enumerate(tables):
+                    state, value = 0, best[at]
+                    for i, s in enumerate(head, at):
+                        step = table.step[state].get(s)
+                        if step is None:
+                            break
+                        state, value = step[1], value + step[0] - (inner[i] if i > at else first[i])
+                    else:
+                        later.setdefault(at + len(head), []).append((k, at, state, value, False))
+            young += later.pop(at, ())
+            s, digit = read[at], read[at] == "9"
+            moved, young_before, young = {}, young, []
+            for (k, state, had), (value, start) in grown.items():
+                if step := tables[k].step[state].get(s):
+                    key, value = (k, step[1], had or digit), value + step[0] - inner[at]
+                    if key not in moved or value > moved[key][0]:
+                        moved[key] = (value, start)
+            for k, start, state, value, had in young_before:
+                if step := tables[k].step[state].get(s):
+                    value += step[0] - (inner[at] if at > start else first[at])
+                    if at + 1 - start < SHORTEST:
+                        young.append((k, start, step[1], value, had or digit))
+                        continue
+                    key = (k, step[1], had or digit)
+                    if key not in moved or value > moved[key][0]:
+                        moved[key] = (value, start)
+            grown = moved
+        out, at = [], n
+        while at > 0:
+            if back[at]:
+                out.append((*back[at], at))
+                at = back[at][0]
+            else:
+                at -= 1
+        return out[::-1]
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place, end) of the base rules' matches, in order."""
@@ -264,11 +340,10 @@ def all_spans(text: str, model: SecretModel) -> tuple[list[tuple[int, str, int]]
     taken = [(a, b) for a, _, b in base]
     more = []
     for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any(x < b and a < y for x, y in taken):
-            continue
-        if best := model.best(m[0]):
-            more.append((a, best[0], b))
+        for a, kind, b in model.parts(m[0]):
+            a, b = a + m.start(), b + m.start()
+            if not any(x <= a and b <= y for x, y in taken):
+                more.append((a, kind, b))
     named = [(a, KINDS[k], b) for a, k, b in base]
     rank = {kind: i for i, kind in enumerate(KINDS)}
     return named, sorted(named + more, key=lambda s: (s[0], rank.get(s[1], len(KINDS)), s[1], s[2]))
@@ -296,7 +371,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, margin: float = MARGIN) -> Secr
             for text in batch["text"].to_pylist():
                 for a, kind, b in base_spans(text or ""):
                     value = _ASSIGN.match(text, a, b)[1] if kind == 0 else text[a:b]
-                    out.append((KINDS[kind], value[:LONGEST], 1))
+                    out.append((KINDS[kind], value[: LONGEST + 1], 1))
             yield _labels(out)
         yield _labels([("pair", str(i), int(n)) for i, n in enumerate(pairs) if n])
 

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from pagetables.llm.secret_scan import Automaton, base_spans, find_secrets, learn, redact, redacted, symbols
+from pagetables.llm.secret_scan import LONGEST, Automaton, all_spans, base_spans, find_secrets, learn, redact, redacted, symbols
 from tests.llm.data import DOCS, awkward, empty, prose
 
 
@@ -60,6 +60,38 @@ def test_the_method_adds_known_formats_and_leaves_words_alone(spark):
     assert [c for c in clean if model.best(c)] == []
 
 
+def test_secrets_are_found_inside_runs(spark):
+    rng = random.Random(10)
+    texts = some_texts() + [prose(rng, 300) for _ in range(200)]
+    model = learn(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    mixed = lambda n: "".join(rng.choices(letters, k=n))
+    around = ["{}.", "GH_PAT={}", "?key={}&x", "/srv/keys/{}/raw.txt", "a.b-{}", "one/{}/two", "x={}=="]
+    makers = [lambda: "ghp_" + mixed(36), lambda: "AIza" + mixed(35), lambda: "sk_live_" + mixed(24)]
+    found = tried = 0
+    for form in around:
+        for make in makers:
+            for _ in range(10):
+                secret = make()
+                text = "see " + form.format(secret) + " there"
+                tried += 1
+                found += secret not in (clean := redacted(text, all_spans(text, model)[1])) and secret[6:20] not in clean
+    assert found >= 0.9 * tried
+    two = f"ghp_{mixed(36)}/ghp_{mixed(36)}"
+    assert [k for _, k, _ in model.parts(two)] == ["forge", "forge"]
+    # A hexadecimal middle is a base span; the rest of the token goes as well.
+    token = "ghp_" + "G7" + "0123456789abcdef0" + "Zk" + mixed(15)
+    assert base_spans(token) and redacted(token, all_spans(token, model)[1]).startswith("[forge secret]")
+    clean = ["mail6.example.com/page12", "version-2024.10.12-final", "birch37heath19cedar5ridge", "2024-01-01T00.00.00", "w3.org/1999/xhtml/strict"]
+    assert [c for c in clean if model.parts(c)] == []
+
+
+def test_a_long_label_teaches_no_end():
+    long = Automaton(["a1" * LONGEST] * 50)
+    whole = Automaton(["a1" * (LONGEST // 2)] * 50)
+    assert min(whole.end) < max(whole.end) and max(long.end) < max(whole.end)
+
+
 def test_awkward_rows(spark):
     found = find_secrets(awkward(spark)).collect()
     assert len(found) == 12
