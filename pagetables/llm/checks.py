@@ -2,7 +2,7 @@
 
 No SQL is given for 1, 2 and 7, which learn a model; 3, which takes minutes and much disk
 in SQL; 4, whose hash DuckDB lacks; 8, whose sketch rounds logarithms; 9, whose order is a
-seeded hash; and the pipeline.  Their tests compare with brute force.
+seeded hash; 11 and 12, which run tokenizers; and the pipeline.  Their tests compare with brute force.
 """
 
 from __future__ import annotations

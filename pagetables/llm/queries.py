@@ -18,6 +18,8 @@ from pagetables.llm.quality_rules import judged
 from pagetables.llm.secret_scan import find_secrets
 from pagetables.llm.simhash_groups import near_groups
 from pagetables.llm.suffix_dedup import remove_repeats
+from pagetables.llm.token_alignment import alignment
+from pagetables.llm.token_counts import token_counts
 from pagetables.llm.warc import capture_histories
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -68,6 +70,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(load(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return alignment(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scan": op2_secret_scan,
@@ -79,4 +97,6 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mix": op9_source_mix,
     "op10_license_scan": op10_license_scan,
+    "op11_token_counts": op11_token_counts,
+    "op12_token_alignment": op12_token_alignment,
 }
