@@ -83,4 +83,47 @@ CHECKS: dict[str, str] = {
         )
         SELECT doc_id, coalesce(n, 0) AS n_licenses, coalesce(names, '') AS licenses FROM d LEFT JOIN named USING (rid)
     """,
+    "op13_prefix_trie": r"""
+        WITH said AS (
+            SELECT conv_id AS c, turn, coalesce(text, '') AS text,
+                   sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS sym
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), numbered AS (
+            SELECT c, sym, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+                   row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sym) AS pos
+            FROM said
+        ), heads AS (
+            SELECT c, xor(list_reduce(list_prepend(4294967295, flatten(
+                [[(ord(x) >> j) & 1 for j in range(0, 8)] for x in string_split(CAST(c AS VARCHAR), '')])),
+                lambda a, b: xor(a >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 4 AS h
+            FROM (SELECT DISTINCT c FROM numbered)
+        ), turns AS (
+            SELECT h.c, n.pos, 0 AS part, n.sym, n.words FROM heads h JOIN numbered n ON n.c = h.c - h.c % 20 AND n.pos <= h.h
+            UNION ALL
+            SELECT h.c, n.pos, 1 AS part, n.sym, n.words FROM heads h JOIN numbered n ON n.c = h.c AND n.pos > h.h
+        ), prefixes AS (
+            SELECT c, row_number() OVER w AS d, string_agg(sym, '') OVER w AS k, words FROM turns
+            WINDOW w AS (PARTITION BY c ORDER BY part, pos)
+            UNION ALL SELECT c, 0, '', 0 FROM heads
+        ), members AS (
+            SELECT *, d = max(d) OVER (PARTITION BY c) AS is_end FROM prefixes
+        ), nodes AS (
+            SELECT d, k, min(c) AS c, count(*) AS n, any_value(words) AS words,
+                   coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (is_end), '') AS ends
+            FROM members GROUP BY d, k
+        ), children AS (
+            SELECT d - 1 AS d, left(k, 64 * (d - 1)) AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2
+        ), above AS (
+            SELECT left(nodes.k, 64 * t.i) AS k, t.i AS d, sum((nodes.n - 1) * words) AS saved,
+                   count(*) FILTER (children.n IS NULL) AS leaves
+            FROM nodes LEFT JOIN children USING (d, k), unnest(range(0, nodes.d + 1)) AS t(i) GROUP BY 1, 2
+        )
+        SELECT nodes.c AS conv_id, nodes.d AS depth, parents.c AS parent_conv_id, nodes.n AS n_convs,
+               coalesce(children.n, 0) AS n_children, above.leaves AS n_leaves, CAST(above.saved AS BIGINT) AS saved_tokens,
+               sha256(nodes.ends) AS ends_sha256
+        FROM nodes LEFT JOIN children ON children.d = nodes.d AND children.k = nodes.k
+        JOIN above ON above.d = nodes.d AND above.k = nodes.k
+        LEFT JOIN (SELECT d + 1 AS d, k AS up, c FROM nodes) AS parents
+               ON parents.d = nodes.d AND parents.up = left(nodes.k, 64 * (nodes.d - 1)) AND nodes.d > 0
+    """,
 }

@@ -13,6 +13,7 @@ from pagetables.llm.decontaminate import contamination
 from pagetables.llm.html_wrappers import page_texts
 from pagetables.llm.license_scan import license_scan
 from pagetables.llm.mixing import mixed
+from pagetables.llm.prefix_trie import prefix_trie
 from pagetables.llm.quality_model import quality_scores
 from pagetables.llm.quality_rules import judged
 from pagetables.llm.secret_scan import find_secrets
@@ -86,6 +87,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(load(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scan": op2_secret_scan,
@@ -99,4 +104,5 @@ QUERIES: dict[str, Query] = {
     "op10_license_scan": op10_license_scan,
     "op11_token_counts": op11_token_counts,
     "op12_token_alignment": op12_token_alignment,
+    "op13_prefix_trie": op13_prefix_trie,
 }
