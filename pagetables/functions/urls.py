@@ -70,29 +70,45 @@ def _escape_run(run: Column) -> Column:
 
 
 def _without_dot_segments(path: Column) -> Column:
-    def walk(p: Column) -> Column:
-        steps = let(F.split(p, "/"), lambda s: F.slice(s, 2, F.size(s)))
-        count = F.size(steps)
-
-        def classify(step: Column, i: Column) -> Column:
-            dots = F.regexp_replace(step, "(?i)%2e", ".")
-            return F.struct(
-                step.alias("name"),
-                F.when(dots == ".", 1).when(dots == "..", 2).otherwise(0).alias("dots"),
-                (i == count - 1).alias("last"),
-            )
+    """Resolve ``.`` and ``..``: neighbouring stretches of the path are joined in rounds.
+
+    A stretch is how many steps it takes back from what is before it, and the names it
+    leaves.  A round joins the stretches two by two, so that names are copied once in a
+    round and there are as many rounds as the number of steps has bits.
+    """
+
+    def stretch(step: Column) -> Column:
+        dots = F.regexp_replace(step, "(?i)%2e", ".")
+        return F.struct(
+            F.when(dots == "..", 1).otherwise(0).alias("back"),
+            F.when(dots.isin(".", ".."), F.array().cast("array<string>")).otherwise(F.array(step)).alias("names"),
+        )
 
-        def push(done: Column, step: Column) -> Column:
-            kept = F.when(step.dots == 2, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done)
-            added = (
-                F.when(step.dots == 0, F.array(step["name"]))
-                .when(step.last, F.array(F.lit("")))
-                .otherwise(F.array().cast("array<string>"))
+    def joined(left: Column, right: Column) -> Column:
+        kept = F.size(left.names) - right.back
+        return F.when(right.isNull(), left).otherwise(
+            F.struct(
+                (left.back + F.greatest(-kept, F.lit(0))).alias("back"),
+                F.concat(F.slice(left.names, F.lit(1), F.greatest(kept, F.lit(0))), right.names).alias("names"),
             )
-            return F.concat(kept, added)
+        )
+
+    def round_(done: Column, _: Column) -> Column:
+        pairs = F.sequence(F.lit(0), F.shiftright(F.size(done) - 1, 1))
+        return F.transform(
+            pairs, lambda i: let(F.struct(F.get(done, 2 * i).alias("a"), F.get(done, 2 * i + 1).alias("b")), lambda p: joined(p.a, p.b))
+        )
+
+    def walk(p: Column) -> Column:
+        def resolved(steps: Column) -> Column:
+            rounds = F.sequence(F.lit(1), F.length(F.bin(F.size(steps))))
+            names = F.aggregate(rounds, F.transform(steps, stretch), round_)[0].names
+            # A dot segment at the end leaves an empty name there.
+            ends_in_dots = F.rlike(F.element_at(steps, -1), F.lit(r"\A(?i:\.|%2e){1,2}\z"))
+            ending = F.when(ends_in_dots, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+            return F.concat(F.lit("/"), F.array_join(F.concat(names, ending), "/"))
 
-        kept = F.aggregate(F.transform(steps, classify), F.array().cast("array<string>"), push)
-        return F.concat(F.lit("/"), F.array_join(kept, "/"))
+        return let(let(F.split(p, "/"), lambda s: F.slice(s, 2, F.size(s))), resolved)
 
     return let(path, lambda p: F.when(F.rlike(p, F.lit(_DOT_SEGMENT)), walk(p)).otherwise(p))
 
@@ -264,7 +280,7 @@ def _resolve(written: Column, base: Column | None) -> Column:
             .when(keep_base_path, base_field("path", None))
             .when(
                 a.kind == "relative",
-                F.concat(F.regexp_replace(base_field("path", None), r"(?s)[^/]*\z", ""), s.head)
+                F.concat(F.regexp_extract(base_field("path", None), r"(?s)\A.*/", 0), s.head)
                 if base is not None
                 else F.lit(None).cast("string"),
             )
@@ -311,7 +327,7 @@ def _resolve(written: Column, base: Column | None) -> Column:
             ),
         )
 
-    value = F.regexp_replace(F.regexp_replace(written, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
+    value = F.regexp_replace(F.regexp_replace(written, r"\A[\x00-\x20]+|(?<![\x00-\x20])[\x00-\x20]++\z", ""), r"[\t\n\r]", "")
     for step in (split_scheme, split_query, find_kind, split_authority, join_parts, finish):
         value = let(value, step)
     return value

@@ -15,7 +15,9 @@ DROPPED_BLOCKS = ("nav", "footer", "aside")
 
 _COMMENT = r"(?s)<!--.*?-->"
 _HAS_ROLE = r"(?i)role=[\"']main[\"']"
-_ROLE_MAIN = rf"(?is)<([a-z0-9-]+){NOT_WORD_AHEAD}[^>]*role=[\"']main[\"'][^>]*>(.*?)</\1>"
+_BEFORE_ROLE = r"(?is)\A(.*)role=[\"']main[\"']"
+_OPENING = rf"(?i)<([a-z0-9-]+){NOT_WORD_AHEAD}"
+_CLOSING = r"(?i)</([a-z0-9-]+)>\z"
 
 
 def _remove(html: Column, tags: tuple[str, ...]) -> Column:
@@ -57,6 +59,67 @@ def _inside(html: Column, region: str, pattern: str, group: int) -> Column:
     )
 
 
+def _inside_role_main(html: Column) -> Column:
+    """``struct<region, html>`` of the first element with role main that has an end tag.
+
+    The page is cut behind every ``>``.  Opening tags with the role and end tags are sorted
+    by name, the last ones first: an opening tag that comes after an end tag in this order
+    is closed.  Every tag is looked at once, however many are open.
+    """
+    tag = "struct<name:string,back:int,closing:boolean,choice:int>"
+
+    def tags(part: Column, i: Column) -> Column:
+        def noted(name: Column, closing: bool, choice: Column) -> Column:
+            return F.struct(
+                F.lower(name).alias("name"), (-i).alias("back"), F.lit(closing).alias("closing"), choice.alias("choice")
+            )
+
+        # A tag may have begun several times before its role; the first that is closed counts.
+        names = F.regexp_extract_all(F.regexp_extract(part, _BEFORE_ROLE, 1), F.lit(_OPENING), F.lit(1))
+        opened = F.when(
+            F.rlike(part, F.lit(_HAS_ROLE)) & F.endswith(part, F.lit(">")),
+            F.transform(names, lambda name, n: noted(name, False, n)),
+        ).otherwise(F.array().cast(f"array<{tag}>"))
+        closed = F.filter(F.array(F.regexp_extract(part, _CLOSING, 1)), lambda name: name != "")
+        return F.concat(opened, F.transform(closed, lambda name: noted(name, True, F.lit(0))))
+
+    def chosen(sorted_tags: Column) -> Column:
+        """Place and name of the first opening tag that is closed, NULL if there is none."""
+        none = F.lit(None).cast("struct<at:int,choice:int,name:string>")
+
+        def step(state: Column, one: Column) -> Column:
+            closed = (state["name"] == one["name"]) & state.closed
+            this = F.struct((-one.back).alias("at"), one.choice.alias("choice"), one["name"].alias("name"))
+            return F.struct(
+                one["name"].alias("name"),
+                (one.closing | closed).alias("closed"),
+                F.when(~one.closing & closed, F.least(state.best, this)).otherwise(state.best).alias("best"),
+            )
+
+        start = F.struct(F.lit("").alias("name"), F.lit(False).alias("closed"), none.alias("best"))
+        return F.aggregate(sorted_tags, start, step).best
+
+    def inside(parts: Column, found: Column, best: Column) -> Column:
+        ends = F.filter(found, lambda one: one.closing & (one["name"] == best["name"]) & (-one.back > best.at))
+        end = F.array_min(F.transform(ends, lambda one: -one.back))
+        last = F.regexp_replace(F.get(parts, end), r"</[^<>]*>\z", "")
+        return F.concat(F.array_join(F.slice(parts, best.at + 2, end - best.at - 1), ""), last)
+
+    def search(parts: Column) -> Column:
+        return let(
+            F.flatten(F.transform(parts, tags)),
+            lambda found: let(
+                chosen(F.array_sort(found)),
+                lambda best: F.when(
+                    best.isNotNull(),
+                    F.struct(F.lit("role").alias("region"), inside(parts, found, best).alias("html")),
+                ),
+            ),
+        )
+
+    return F.when(F.rlike(html, F.lit(_HAS_ROLE)), let(F.split(html, "(?<=>)"), search))
+
+
 @by_name
 def main_content(cleaned: Column) -> Column:
     """``struct<region, html>``: main, article, role=main, body or all of a cleaned page."""
@@ -65,7 +128,7 @@ def main_content(cleaned: Column) -> Column:
         lambda html: F.coalesce(
             _inside(disarm(html, "main"), "main", element("main"), 1),
             _inside(disarm(html, "article"), "article", element("article"), 1),
-            F.when(F.rlike(html, F.lit(_HAS_ROLE)), _inside(html, "role", _ROLE_MAIN, 2)),
+            _inside_role_main(html),
             _inside(disarm(html, "body"), "body", element("body"), 1),
             F.struct(F.lit("whole").alias("region"), html.alias("html")),
         ),

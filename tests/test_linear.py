@@ -36,6 +36,9 @@ def seconds(spark, rule, piece, size):
         (lambda html: page_content(html)["html"], "<nav>x"),
         (lambda html: main_content(html)["html"], "<main>"),
         (lambda html: main_content(html)["html"], "<article "),
+        (lambda html: main_content(html)["html"], '<div role="main">'),
+        (lambda html: main_content(html)["html"], '<div role="main"'),
+        (lambda html: main_content(html)["html"], '<p role="main"></q>'),
         (HEADINGS, "<h2>x"),
         (ITEMS, "<li>x"),
         (PARAGRAPHS, "<p "),
@@ -77,3 +80,37 @@ def test_hosts_of_many_labels(spark, labels):
     rows = [(f"https://{host}/x?y",), (f"https://{host}..b/x",), (f"https://.{host}/x",), ("https://a" + "/b" * labels,)]
     got = [r[0] for r in spark.createDataFrame(rows, "url string").select(page_url("url")).collect()]
     assert got[0] == f"https://{host}/x" and got[3] == "https://a" + "/b" * labels
+
+
+def test_unclosed_roles_of_a_megabyte(spark):
+    text = '<div role="main">' * 60_000
+    frame = spark.createDataFrame([(text,), (text + "x</div>",)], "html string").select(main_content("html").alias("c"))
+    assert [(row.c["region"], len(row.c["html"])) for row in frame.collect()] == [
+        ("whole", len(text)),
+        ("role", len(text) - len('<div role="main">') + 1),
+    ]
+
+
+@pytest.mark.parametrize("tail", ["/..", "/%2E.", "/.", "/../b"])
+def test_time_grows_with_dot_segments(spark, tail):
+    def url(n):
+        return "https://a.example" + "/a" * n + tail * n
+
+    def timed(n):
+        frame = spark.createDataFrame([(url(n),)], "url string").select(page_url("url"))
+        start = time.perf_counter()
+        frame.collect()
+        return time.perf_counter() - start
+
+    timed(2_000)
+    small, large = timed(50_000), timed(100_000)
+    assert large < 3 * small + 1
+
+
+def test_long_segments_and_blanks(spark):
+    long = "a" * 200_000
+    rows = [(f"https://a.example/{long}/b/../c",), (f"https://a.example/x{' ' * 200_000}y",)]
+    start = time.perf_counter()
+    got = [row[0] for row in spark.createDataFrame(rows, "url string").select(page_url("url")).collect()]
+    assert got == [f"https://a.example/{long}/c", "https://a.example/x" + "%20" * 200_000 + "y"]
+    assert time.perf_counter() - start < 30
