@@ -340,9 +340,11 @@ def _folders(spark: SparkSession, name: str) -> tuple[str, str]:
 @_query
 def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, checkpoint = _folders(spark, "stream-route")
+    table = work_folder(spark, "stream-route-records")
+    writers.write_resources(view(spark, sf_dir, "resources"), table, 0)
     jobs.stream_route(
         _request_stream(spark, sf_dir),
-        lambda session: view(session, sf_dir, "resources"),
+        lambda session: readers.read_record_facts(session, table),
         path,
         checkpoint,
         AS_OF,
@@ -367,6 +369,12 @@ def stream_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_records(spark, path)
 
 
+def _landed_responses(spark: SparkSession, sf_dir: str) -> str:
+    path = work_folder(spark, "responses")
+    writers.write_responses(view(spark, sf_dir, "responses"), path, 0)
+    return path
+
+
 @_query
 def stream_crawl_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, checkpoint = _folders(spark, "stream-crawl-queue")
@@ -374,8 +382,9 @@ def stream_crawl_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = _stream(spark, sf_dir, "pages").select(
         F.explode(F.array("url", "url", F.lit(None).cast("string"), F.lit(""))).alias("url")
     )
+    landed = _landed_responses(spark, sf_dir)
     jobs.stream_crawl_queue(
-        messages, lambda session: view(session, sf_dir, "responses"), path, checkpoint, GENERATED_AT
+        messages, lambda session: readers.read_response_store(session, landed), path, checkpoint, GENERATED_AT
     ).awaitTermination()
     return _stored_records(spark, path)
 
@@ -384,13 +393,13 @@ def stream_crawl_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scheduled_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, checkpoint = _folders(spark, "scheduled-crawl")
     sitemaps = view(spark, sf_dir, "sitemaps", pages=_stream(spark, sf_dir, "pages"))
+    landed = _landed_responses(spark, sf_dir)
     jobs.scheduled_crawl(
         sitemaps,
-        lambda session: view(session, sf_dir, "responses"),
+        lambda session: readers.read_response_store(session, landed),
         path,
         checkpoint,
-        2,
-        GENERATED_AT,
+        generated_at=GENERATED_AT,
     ).awaitTermination()
     return _stored_records(spark, path)
 

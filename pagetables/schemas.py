@@ -39,3 +39,20 @@ BOT_RULES = _schema(
     priority=T.IntegerType(), traffic=_text, name=_text, kind=_text, pattern=_text
 )
 CRAWL_MESSAGES = _schema(url=_text)
+# The log behind the resource table, and the store of landed responses.  The facts of the
+# Markdown are kept beside it, so that routing never reads it.
+RESOURCE_LOG = T.StructType(
+    [
+        *RESOURCES,
+        T.StructField("seq", T.LongType()),
+        T.StructField("markdown_blank", T.BooleanType()),
+        T.StructField("markdown_length", T.LongType()),
+        T.StructField("written_at", _time),
+        T.StructField("row", T.LongType()),
+        T.StructField("place", _text),
+    ]
+)
+RESPONSE_STORE = T.StructType(
+    [*RESPONSES, T.StructField("key", _text), T.StructField("row", T.LongType()), T.StructField("place", _text)]
+)
+BATCHES = _schema(writer=_text, batch_id=T.LongType())

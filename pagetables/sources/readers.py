@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas
 from ..operators.sitemap import fetched_sitemaps
-from ..operators.store import latest_resources, markdown_is_blank, parse_resource_json
+from ..operators.store import parse_resource_json
 from ..operators.traffic import normalize_requests
+from .buckets import attach, declared
 
 
 def _read(
@@ -48,41 +49,41 @@ def read_crawl_messages(
     return _read(spark, path, schemas.CRAWL_MESSAGES, file_format, streaming)
 
 
-_WRITES = (
-    T.StructField("written_at", T.TimestampType()),
-    T.StructField("writer", T.StringType()),
-    T.StructField("batch_id", T.LongType()),
-)
-_WRITE_ORDER = ("written_at", "batch_id", "generated_at")
+#: Later writes win; inside one batch the later time, then the later in order.
+_WRITE_ORDER = ("written_at", "batch_id", "generated_at", "seq", "writer", "row")
 
 
 def _resource_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(T.StructType([*schemas.RESOURCES, *_WRITES])).parquet(path)
+    return spark.table(declared(spark, path, schemas.RESOURCE_LOG, schemas.BATCHES))
+
+
+def _last_writes(log: DataFrame, *facts: str) -> DataFrame:
+    """Place of the current row of each key, with some narrow columns of it."""
+    order = F.struct(*_WRITE_ORDER)
+    return log.groupBy("key").agg(F.max_by(F.struct("place", *facts), order).alias("of"), F.max(order).alias("_last"))
 
 
 def read_resources(spark: SparkSession, path: str) -> DataFrame:
     """Current record per key of a table made by `write_resources`.
 
-    Later writes win; inside one batch, the later time.
+    The current rows are chosen without the Markdown, which is then read in place: it is
+    neither sorted nor shuffled.
     """
-    latest = latest_resources(_resource_log(spark, path), *_WRITE_ORDER)
-    return latest.select(*schemas.RESOURCES.fieldNames())
+    log = _resource_log(spark, path)
+    last = _last_writes(log).select(F.col("of.place").alias("_place"), "_last")
+    return attach(last, log, F.struct(*_WRITE_ORDER) >= F.col("_last")).select(*schemas.RESOURCES.fieldNames())
 
 
 def read_record_facts(spark: SparkSession, path: str) -> DataFrame:
     """What routing needs of the current records: of the Markdown its length and whether
-    it is blank, taken in the scan, so that no Markdown is sorted or shuffled."""
-    narrow = _resource_log(spark, path).select(
-        "key",
-        "url",
-        "status",
-        "generated_at",
-        markdown_is_blank(F.col("markdown")).alias("markdown_blank"),
-        F.length("markdown").cast("bigint").alias("markdown_length"),
-        "written_at",
-        "batch_id",
-    )
-    return latest_resources(narrow, *_WRITE_ORDER).drop("written_at", "batch_id")
+    it is blank, which were kept when it was written.  No Markdown is read."""
+    facts = ("url", "status", "generated_at", "markdown_blank", "markdown_length")
+    return _last_writes(_resource_log(spark, path), *facts).select("key", *[f"of.{name}" for name in facts])
+
+
+def read_response_store(spark: SparkSession, path: str) -> DataFrame:
+    """Landed responses of a store made by `write_responses`, with their resource ``key``."""
+    return spark.table(declared(spark, path, schemas.RESPONSE_STORE, schemas.BATCHES))
 
 
 def read_resource_json(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:

@@ -19,11 +19,15 @@ from ..operators.documents import crawl_pages, dead_letters
 from ..operators.routing import agent_page_requests, route_requests
 from ..operators.sitemap import crawl_frontier, failed_sitemaps, fetched_sitemaps
 from ..operators.traffic import classify_traffic
+from ..schemas import RESPONSES
+from ..sources.buckets import SALTS, attach, places
 from ..sources.writers import write_resources
 
 _SALTS = 64
 #: Reason of the record of a queued URL that has no response.
 NOT_LANDED = "not-landed"
+#: Keys of a queue that are few enough to be named in the filter of the responses.
+_SHORT_QUEUE = 200
 
 TableReader = Callable[[SparkSession], DataFrame]
 
@@ -126,17 +130,26 @@ def _found_and_missing(urls: DataFrame, responses: DataFrame) -> DataFrame:
     """The responses of the queued URLs by resource key, and a failed one for each URL that
     has none.  A URL that is not valid keeps its own text, so that it is reported.
 
-    Keys are joined first; HTML is attached to the responses that are wanted.
+    Only keys are moved.  In a store made by `write_responses` the HTML of the responses is
+    read where it lies, and of a short queue only the buckets of its keys.  Other tables of
+    responses are joined as Spark chooses.
     """
     key = F.coalesce(resource_key("url"), F.concat(F.lit("#"), "url"))
-    wanted = urls.filter(F.col("url").isNotNull() & (F.col("url") != "")).select("url", key.alias("_key"))
-    wanted = wanted.groupBy("_key").agg(F.min("url").alias("_url"))
-    keyed = responses.withColumn("_key", key)
-    landed = keyed.select("_key").distinct()
-    missing = wanted.join(landed, "_key", "left_anti").select(
+    wanted = urls.filter(F.col("url").isNotNull() & (F.col("url") != "")).select("url", key.alias("key"))
+    wanted = wanted.groupBy("key").agg(F.min("url").alias("_url"))
+    stored = "place" in responses.columns
+    keyed = responses if stored else responses.withColumn("key", key)
+    short = [row["key"] for row in wanted.select("key").limit(_SHORT_QUEUE + 1).collect()]
+    if stored and len(short) <= _SHORT_QUEUE:
+        keyed = keyed.filter(F.col("place").isin([f"{key}#{salt}" for key in short for salt in range(SALTS)]))
+    missing = wanted.join(keyed.select("key"), "key", "left_anti").select(
         F.col("_url").alias("url"), F.lit(NOT_LANDED).alias("fetch_error")
     )
-    found = keyed.join(wanted.select("_key"), "_key", "left_semi").drop("_key")
+    if stored:
+        at = wanted.select(F.explode(places(F.col("key"))).alias("_place"))
+        found = attach(at, keyed).select(*RESPONSES.fieldNames())
+    else:
+        found = keyed.join(wanted.select("key"), "key", "left_semi").drop("key")
     return found.unionByName(missing, allowMissingColumns=True)
 
 
