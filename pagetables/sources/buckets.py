@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 BUCKETS = 32
 #: Buckets that the rows of one key are spread over.
 SALTS = 8
+#: Files that a task may write at once; beyond, rows are sorted by bucket.
+OPEN_FILES = 4096
 _LAYOUT = "_layout"
 
 
@@ -73,6 +75,13 @@ def declared(
     return name
 
 
+def insert_statement(name: str, view: str, partition: dict[str, str | int]) -> str:
+    values = ", ".join(
+        f"{column} = {value}" if isinstance(value, int) else f"{column} = '{value}'" for column, value in partition.items()
+    )
+    return f"INSERT OVERWRITE {name} PARTITION ({values}) SELECT * FROM {view}"
+
+
 def write_partition(rows: DataFrame, name: str, **partition: str | int) -> None:
     """Replace one partition by ``rows``, whose columns are those of the table.
 
@@ -83,10 +92,9 @@ def write_partition(rows: DataFrame, name: str, **partition: str | int) -> None:
     rows.createOrReplaceTempView(view)
     setting = "spark.sql.maxConcurrentOutputFileWriters"
     before = spark.conf.get(setting)
-    spark.conf.set(setting, str(4096))
+    spark.conf.set(setting, str(OPEN_FILES))
     try:
-        values = ", ".join(f"{column} = {value if isinstance(value, int) else repr(value)}" for column, value in partition.items())
-        spark.sql(f"INSERT OVERWRITE {name} PARTITION ({values}) SELECT * FROM {view}")
+        spark.sql(insert_statement(name, view, partition))
     finally:
         spark.conf.set(setting, before)
         spark.catalog.dropTempView(view)
