@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pagetables.llm.common import pick, settled
 from pagetables.llm.perfect_hash import PerfectHash, verified
-from pagetables.llm.token_counts import byte_letters
+from pagetables.llm.token_counts import REMEMBERED, PreTokens, byte_letters, newer_characters
 
 #: Characters of texts, and tokens of documents, that a task handles together.
 SLAB, TOKENS = 1 << 20, 1 << 20
@@ -51,17 +51,29 @@ INDEX = "shard bigint, sizes array<bigint>, bits binary, keys binary"
 class Tokenizers:
     """Both tokenizers with the bytes of every id: A byte-level, B of pieces."""
 
-    encode_a: object
-    encode_b: object
+    a: object
+    b: object
+    words: PreTokens
+    known: dict[str, bytes]
     bytes_a: list[bytes]
     bytes_b: list[bytes]
 
+    def encode_a(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as bytes: every pre-token is encoded once and remembered."""
+        words = [self.words.pattern(text).findall(text) for text in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new, kind = list(set().union(*words).difference(self.known)), id_type(len(self.bytes_a))
+        for word, one in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[word] = np.array(one.ids, kind).tobytes()
+        return [b"".join(map(self.known.__getitem__, some)) for some in words]
+
     def lengths(self) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.array([len(one) for one in some], np.int64) for some in (self.bytes_a, self.bytes_b))
 
 
 @lru_cache(1)
-def open_tokenizers(json_file: bytes, model_file: bytes) -> Tokenizers:
+def open_tokenizers(json_file: bytes, model_file: bytes, newer: str) -> Tokenizers:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import sentencepiece
     from tokenizers import Tokenizer
@@ -77,12 +89,7 @@ def open_tokenizers(json_file: bytes, model_file: bytes) -> Tokenizers:
         bytes([int(piece[3:5], 16)]) if b.is_byte(at) else piece.replace("▁", " ").encode()
         for at, piece in enumerate(pieces)
     ]
-    return Tokenizers(
-        lambda texts: [one.ids for one in a.encode_batch_fast([" " + text for text in texts], add_special_tokens=False)],
-        lambda texts: b.encode(texts, num_threads=1),
-        bytes_a,
-        bytes_b,
-    )
+    return Tokenizers(a, b, PreTokens(newer), {}, bytes_a, bytes_b)
 
 
 def id_type(size: int) -> str:
@@ -112,16 +119,16 @@ def token_table(docs: DataFrame, files) -> DataFrame:
             texts = [text or "" for text in batch.column("text").to_pylist()]
             for part in _slabs(np.array([len(text) for text in texts], np.int64), SLAB):
                 some, a, b = texts[part], [], []
-                for text, ids_a, ids_b in zip(some, both.encode_a(some), both.encode_b(some), strict=True):
+                found = both.encode_a([" " + text for text in some]), both.b.encode(some, num_threads=1)
+                for text, blob, ids in zip(some, *found, strict=True):
                     whole = (" " + text).encode()
-                    if not (
+                    kept = (
                         text
-                        and b"".join(map(both.bytes_a.__getitem__, ids_a)) == whole
-                        and b"".join(map(both.bytes_b.__getitem__, ids_b)) == whole
-                    ):
-                        ids_a, ids_b = [], []
-                    a.append(np.array(ids_a, type_a).tobytes())
-                    b.append(np.array(ids_b, type_b).tobytes())
+                        and b"".join(map(both.bytes_b.__getitem__, ids)) == whole
+                        and b"".join(map(both.bytes_a.__getitem__, np.frombuffer(blob, type_a).tolist())) == whole
+                    )
+                    a.append(blob if kept else b"")
+                    b.append(np.array(ids, type_b).tobytes() if kept else b"")
                 ids = batch.column("doc_id").slice(part.start, len(some))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(rid, rid + len(some))), ids, pa.array(a, pa.binary()), pa.array(b, pa.binary())],
@@ -406,7 +413,7 @@ def alignment(docs: DataFrame, json_path: str, model_path: str, broadcast_pairs:
     """
     spark = docs.sparkSession
     with open(json_path, "rb") as json_file, open(model_path, "rb") as model_file:
-        content = json_file.read(), model_file.read()
+        content = json_file.read(), model_file.read(), newer_characters()
     both = open_tokenizers(*content)
     files = spark.sparkContext.broadcast(content)
     tokens = settled(token_table(docs, files), "tokens")

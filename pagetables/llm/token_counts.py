@@ -225,21 +225,28 @@ def symbols_left(words: list[bytes], merges: Merges) -> np.ndarray:
     return counts
 
 
+class PreTokens:
+    """Cuts texts into pre-tokens as the library does; ``newer`` is that of `newer_characters`."""
+
+    def __init__(self, newer: str):
+        self.newer = regex.compile(f"[{newer}]") if newer else None
+        self.beyond = regex.compile(f"[{newer[:1]}-\U0010ffff]") if newer else None
+        self.word, self.strict = pre_token_pattern(), pre_token_pattern(newer)
+
+    def pattern(self, part: str) -> regex.Pattern:
+        doubtful = self.newer and not part.isascii() and self.beyond.search(part) and self.newer.search(part)
+        return self.strict if doubtful else self.word
+
+
 class Counter:
     """Counts tokens of texts, slab by slab; remembers the counts of pre-tokens."""
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        self.newer = regex.compile(f"[{merges.newer}]") if merges.newer else None
-        self.beyond = regex.compile(f"[{merges.newer[:1]}-\U0010ffff]") if merges.newer else None
-        self.word, self.strict = pre_token_pattern(), pre_token_pattern(merges.newer)
+        self.words = PreTokens(merges.newer)
         self.special = regex.compile("|".join(map(regex.escape, merges.specials))) if merges.specials else None
         self.known: dict[str, int] = {}
 
-    def _pattern(self, part: str) -> regex.Pattern:
-        doubtful = self.newer and not part.isascii() and self.beyond.search(part) and self.newer.search(part)
-        return self.strict if doubtful else self.word
-
     def _learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
@@ -251,7 +258,7 @@ class Counter:
 
     def _one(self, part: str) -> int:
         """The tokens of one long text, some pre-tokens at a time."""
-        total, found = 0, self._pattern(part).finditer(part)
+        total, found = 0, self.words.pattern(part).finditer(part)
         while words := [match.group() for match in islice(found, SLAB // 8)]:
             self.known.clear()
             self._learn(set(words))
@@ -260,7 +267,7 @@ class Counter:
         return total
 
     def _slab(self, texts: list[list[str]]) -> list[int]:
-        words = [[word for part in parts for word in self._pattern(part).findall(part)] for parts in texts]
+        words = [[word for part in parts for word in self.words.pattern(part).findall(part)] for parts in texts]
         self.known = {} if len(self.known) > REMEMBERED else self.known
         self._learn(set().union(*words))
         return [len(parts) - 1 + self._total(some) for parts, some in zip(texts, words, strict=True)]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.exprs import settle
 from ..functions.urls import page_url
 from ..rules import AI_AGENT
-from .store import is_servable, markdown_is_blank
+from .store import instant, is_servable, markdown_is_blank
 from .traffic import classify_traffic, is_page_request
 
 MARKDOWN_TYPE = "text/markdown; charset=utf-8"
@@ -46,7 +46,7 @@ def record_facts(resources: DataFrame) -> DataFrame:
         "key",
         F.col("url").alias("record_url"),
         "status",
-        "generated_at",
+        instant(resources, "generated_at"),
         (F.col("markdown_blank") if known else markdown_is_blank(F.col("markdown"))).alias("markdown_blank"),
         (F.col("markdown_length") if known else F.length("markdown")).cast("bigint").alias("markdown_length"),
         F.lit(True).alias("stored"),

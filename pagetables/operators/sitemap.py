@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import matches, scrub
 from ..functions.text import decode_xml, disarm, rearm, trim_space
+from ..functions.values import number_of_text
 
 _LOCATION = "(?is)<loc>(.*?)</loc>"
 
@@ -48,10 +49,8 @@ def crawl_frontier(sitemaps: DataFrame, max_pages: int | float | str | None = No
 
 
 def _page_limit(max_pages: int | float | str) -> int:
-    try:
-        limit = float(max_pages) if str(max_pages).strip() else 0.0
-    except ValueError:
-        return 0
+    """A limit as a whole number; text that is no number takes nothing."""
+    limit = number_of_text(max_pages) if isinstance(max_pages, str) else float(max_pages)
     if limit != limit:
         return 0
     if limit < 0:

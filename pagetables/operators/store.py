@@ -6,8 +6,10 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.exprs import let
 from ..functions.text import is_blank
 from ..functions.urls import resource_key, url_host
+from ..functions.values import date_of, number_of
 from .documents import iso_time
 
 PAGE_PREFIX = "page:"
@@ -32,9 +34,12 @@ def latest_resources(records: DataFrame, *order: str) -> DataFrame:
 def _hours(window_hours: float | int | str | Column) -> Column:
     """Hours as a finite number, else NULL; blank text is zero."""
     window = window_hours if isinstance(window_hours, Column) else F.lit(window_hours)
-    text = F.trim(window.cast("string"))
-    number = F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))
-    return F.when(F.abs(number) < float("inf"), number)
+    return let(number_of(window.cast("string")), lambda number: F.when(F.abs(number) < float("inf"), number))
+
+
+def instant(rows: DataFrame, name: str) -> Column:
+    """A column of times, also where they are written as text."""
+    return (date_of(F.col(name)) if dict(rows.dtypes)[name] == "string" else F.col(name).cast("timestamp")).alias(name)
 
 
 def is_servable(
@@ -64,7 +69,7 @@ def servable_resources(
     return resources.filter(
         is_servable(
             F.col("status"),
-            F.col("generated_at"),
+            instant(resources, "generated_at"),
             markdown_is_blank(F.col("markdown")),
             time,
             window_hours,
@@ -132,7 +137,7 @@ def parse_resource_json(stored: DataFrame) -> DataFrame:
         "key",
         field("url").alias("url"),
         field("status").alias("status"),
-        field("generatedAt").try_cast("timestamp").alias("generated_at"),
+        date_of(field("generatedAt")).alias("generated_at"),
         field("markdown").alias("markdown"),
         field("reason").alias("reason"),
     )

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.cache import once
 from ..functions.exprs import SEP, after_sep, before_sep, let, matches, scrub, settle
 from ..functions.text import NOT_WORD_AHEAD, attribute, disarm, inline_text, rearm, trim_space
-from ..functions.urls import resolve_urls, url_text
+from ..functions.urls import resolve_url, url_text
+from ..functions.values import shortest_digits
 from .metadata import with_metadata
 
 _SCRIPT = rf"(?is)<script{NOT_WORD_AHEAD}([^>]*)>(.*?)</script>"
@@ -85,7 +86,7 @@ def _number_text(number: Column) -> Column:
             F.concat(n.sign, F.when((n.point > -6) & (n.point <= 21), plain).otherwise(scaled))
         )
 
-    return let(let(number.cast("string"), read), write)
+    return let(let(shortest_digits(number), read), write)
 
 
 def _scalar(value: Column) -> Column:
@@ -301,56 +302,59 @@ def _read_entities() -> Column:
     return F.filter(F.transform(F.col("_nodes"), _read_entity), lambda entity: entity.isNotNull())
 
 
+def _listed_links(entity: Column) -> Column:
+    return F.when(entity.entity == "Organization", entity.listed).otherwise(F.array().cast("array<string>"))
+
+
 @once
-def _written_urls() -> Column:
-    """All URLs of the entities, distinct."""
-    organization_links = F.filter(F.col("_read"), lambda entity: entity.entity == "Organization")
-    return F.array_distinct(
-        F.concat(
-            F.transform("_read", lambda entity: entity.url),
-            F.transform("_read", lambda entity: entity.offer_url),
-            F.flatten(F.transform(organization_links, lambda entity: entity.listed)),
-            F.flatten(
-                F.transform(
-                    F.filter(F.col("_read"), lambda entity: entity.crumbs.isNotNull()),
-                    lambda entity: F.transform(entity.crumbs, lambda c: c.url),
-                )
-            ),
+def _absolute_urls() -> Column:
+    """For every entity its URLs made absolute: its own, that of the offer, those of the list
+    and of the crumbs.  One that is not valid stays as written."""
+
+    def written(entity: Column) -> Column:
+        crumbs = F.transform(entity.crumbs, lambda c: c.url)
+        return F.concat(
+            F.array(entity.url, entity.offer_url),
+            _listed_links(entity),
+            F.coalesce(crumbs, F.array().cast("array<string>")),
         )
-    )
+
+    def absolute(url: Column) -> Column:
+        return F.coalesce(let(resolve_url(url, F.col("canonical")), url_text), url)
+
+    return F.transform("_read", lambda entity: F.transform(written(entity), absolute))
 
 
 @once
 def _absolute_entities() -> Column:
-    """Entities with absolute URLs; one that is not valid stays as written."""
+    """Entities with absolute URLs, taken by their place in `_absolute_urls`."""
     no_texts = F.array().cast("array<string>")
 
-    def absolute(url: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.col("_absolute"), url), url)
-
-    def field(url: Column) -> Column:
-        return F.when(url == "", url).otherwise(absolute(url))
+    def field(written: Column, absolute: Column) -> Column:
+        return F.when(written == "", written).otherwise(absolute)
 
-    def place(entity: Column) -> Column:
+    def place(entity: Column, urls: Column) -> Column:
         organization = entity.entity == "Organization"
+        links = F.size(_listed_links(entity))
         crumbs = F.transform(
-            entity.crumbs, lambda c: F.struct(c["name"].alias("name"), field(c.url).alias("url"))
+            entity.crumbs,
+            lambda c, i: F.struct(c["name"].alias("name"), field(c.url, F.get(urls, 2 + links + i)).alias("url")),
         )
         return F.struct(
             entity.entity.alias("entity"),
             entity["name"].alias("name"),
-            field(entity.url).alias("url"),
+            field(entity.url, F.get(urls, 0)).alias("url"),
             entity.description.alias("description"),
             # A blank list entry resolves to the page itself, a blank field is absent.
-            F.when(organization, F.transform(entity.listed, absolute)).otherwise(no_texts).alias("same_as"),
+            F.when(organization, F.slice(urls, F.lit(3), links)).otherwise(no_texts).alias("same_as"),
             entity.category.alias("category"),
             entity.operating_system.alias("operating_system"),
             F.when(organization, no_texts).otherwise(entity.listed).alias("features"),
-            field(entity.offer_url).alias("offer_url"),
+            field(entity.offer_url, F.get(urls, 1)).alias("offer_url"),
             F.filter(crumbs, lambda c: (c["name"] != "") | (c.url != "")).alias("breadcrumbs"),
         )
 
-    return F.transform(F.col("_read"), place)
+    return F.zip_with("_read", "_absolute", place)
 
 
 def with_entities(prepared: DataFrame) -> DataFrame:
@@ -359,19 +363,9 @@ def with_entities(prepared: DataFrame) -> DataFrame:
         prepared.withColumn("_scripts", _parse_scripts())
         .withColumn("_nodes", _visit_nodes())
         .withColumn("_read", _read_entities())
-        .withColumn("_written", _written_urls())
-        .withColumn("_urls", resolve_urls("_written", "canonical"))
-        .withColumn(
-            "_absolute",
-            F.map_from_arrays(
-                "_written",
-                F.zip_with("_urls", "_written", lambda url, written: F.coalesce(url_text(url), written)),
-            ),
-        )
-    )
-    return resolved.withColumn("entities", _absolute_entities()).drop(
-        "_scripts", "_nodes", "_read", "_written", "_urls", "_absolute"
+        .withColumn("_absolute", _absolute_urls())
     )
+    return resolved.withColumn("entities", _absolute_entities()).drop("_scripts", "_nodes", "_read", "_absolute")
 
 
 def structured_entities(pages: DataFrame) -> DataFrame:

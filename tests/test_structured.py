@@ -129,8 +129,6 @@ def test_blank_lone_list_entry_counts(spark):
     ],
 )
 def test_numbers_keep_all_digits(spark, written, text):
-    if written == "4.9e-324":
-        text = "4.9e-324"  # the least double, as the JVM writes it
     html = f'<script type="application/ld+json">{{"@type":"WebPage","name":{written}}}</script>'
     page = spark.createDataFrame([(1, "https://e.com/", html)], "page_id bigint, url string, html string")
     assert structured_entities(page).first()["name"] == text
