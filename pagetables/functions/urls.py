@@ -1,8 +1,8 @@
 """URL parsing, resolution and resource keys as column expressions.
 
 `parse_url` and `resolve_url` follow the WHATWG rules.  A parsed URL is a struct;
-an invalid one is NULL.  Hosts that need IDNA mapping and IPv6 hosts that are not
-already in short form are not supported and count as invalid.
+an invalid one is NULL.  Hosts whose names need composition or compatibility mapping
+are not supported and count as invalid.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, functions as F
 
 from .cache import by_name, once
 from .exprs import let
+from .hosts import ascii_host, ipv6
 
 # Special schemes and their default ports, and characters that stay
 # unescaped in each URL part.
@@ -160,13 +161,17 @@ def _special_host(written: Column) -> Column:
 
     def check(host: Column) -> Column:
         return (
-            F.when(F.rlike(host, F.lit(r"\A\[[0-9a-f:.]+\]\z")), host)
-            .when((host == "") | F.rlike(host, F.lit(r"[^\x00-\x7F]")) | F.rlike(host, F.lit(_FORBIDDEN_IN_HOST)), None)
+            F.when((host == "") | F.rlike(host, F.lit(_FORBIDDEN_IN_HOST)), None)
             .when(F.rlike(host, F.lit(r"(?:\A|\.)(?:[0-9]+|0x[0-9a-f]*)\.?\z")), _ipv4(host))
             .otherwise(host)
         )
 
-    return let(F.lower(unescaped), check)
+    def address(host: Column) -> Column:
+        bracketed = F.regexp_extract(host, r"\A\[([0-9a-f:.]+)\]\z", 1)
+        name = F.when(F.rlike(host, F.lit(r"[^\x00-\x7F]")), ascii_host(host)).otherwise(host)
+        return F.when(bracketed != "", F.concat(F.lit("["), ipv6(bracketed), F.lit("]"))).otherwise(let(name, check))
+
+    return let(F.lower(unescaped), address)
 
 
 def _port_suffix(scheme: Column, port: Column) -> Column:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pagetables.functions.hosts import punycode
 from pagetables.functions.urls import page_url, parse_url, resolve_urls, resource_key, url_host, url_path, url_text
 
 BASE = "https://Example.com:443/a/b/c?x=1#h"
@@ -38,7 +39,37 @@ ABSOLUTE = [
     ("http://1.2.3.4.5/", None),
     ("http://x:99999/", None),
     ("http://x:abc/", None),
-    ("https://bücher.example/", None),
+    ("https://bücher.example/", "https://xn--bcher-kva.example/"),
+    ("https://BÜCHER.example:444/ü", "https://xn--bcher-kva.example:444/%C3%BC"),
+    ("https://b%C3%BCcher.example/", "https://xn--bcher-kva.example/"),
+    ("https://faß.example/", "https://xn--fa-hia.example/"),
+    ("https://ｅｘａｍｐｌｅ。com/", "https://example.com/"),
+    ("https://ΣΊΣΥΦΟΣ.example/", "https://xn--kxa6akbbkh.example/"),
+    ("https://a­b.example/", "https://ab.example/"),
+    ("https://☕.example/", "https://xn--53h.example/"),
+    ("https://bu\u0308cher.example/", None),
+    ("https://a\u3000b.example/", None),
+    ("https://ü" + "a" * 300 + ".example/", None),
+    ("http://[2001:0DB8:0:0:0:0:0:1]/", "http://[2001:db8::1]/"),
+    ("http://[2001:db8:0:0:1:0:0:1]/", "http://[2001:db8::1:0:0:1]/"),
+    ("http://[1:0:0:2:0:0:0:3]/", "http://[1:0:0:2::3]/"),
+    ("http://[::ffff:192.168.0.1]:8080/x", "http://[::ffff:c0a8:1]:8080/x"),
+    ("http://[1:2:3:4:5:6:1.2.3.4]/", "http://[1:2:3:4:5:6:102:304]/"),
+    ("http://[0:0:0:0:0:0:0:0]/", "http://[::]/"),
+    ("http://[1:2:3:4:5:6:7:8]/", "http://[1:2:3:4:5:6:7:8]/"),
+    ("http://[1:2:3:4:5:6:7::]/", "http://[1:2:3:4:5:6:7:0]/"),
+    ("http://[::1:2:3:4:5:6:7]/", "http://[0:1:2:3:4:5:6:7]/"),
+    ("http://[1:0:3:4:5:6:7:8]/", "http://[1:0:3:4:5:6:7:8]/"),
+    ("http://[1:2:3:4:5:6:7]/", None),
+    ("http://[1:2:3:4:5:6:7:8:9]/", None),
+    ("http://[1::2::3]/", None),
+    ("http://[:::1]/", None),
+    ("http://[:1::2]/", None),
+    ("http://[12345::]/", None),
+    ("http://[::1.2.3]/", None),
+    ("http://[::1.2.3.256]/", None),
+    ("http://[::01.2.3.4]/", None),
+    ("http://[::g]/", None),
 ]
 
 RELATIVE = [
@@ -127,3 +158,21 @@ def test_dot_segments(spark):
     rows = spark.createDataFrame([(f"https://a.example{path}",) for path in paths], "url string")
     got = [row[0] for row in rows.select(url_text(parse_url("url"))).collect()]
     assert got == ["https://a.example" + plain_walk(path) for path in paths]
+
+
+def test_punycode(spark):
+    """Samples of RFC 3492, and labels at random against Python's codec."""
+    samples = [
+        ("他们为什么不说中文", "ihqwcrb4cv8a8dqg056pqjye"),
+        ("ليهمابتكلموشعربي؟", "egbpdaj6bu4bxfgehfvwxn"),
+        ("pročprostěnemluvíčesky", "proprostnemluvesky-uyb24dma41a"),
+        ("3年b組金八先生", "3b-ww4c5e180e575a65lsy2b"),
+        ("そのスピードで", "d9juau41awczczp"),
+        ("-> $1.00 <-", "-> $1.00 <--"),
+        ("\U0001f600a\U0001f601", None),
+    ]
+    rng = random.Random(8)
+    samples += [("".join(rng.choice("ab-ü漢я\U0001f600ß0") for _ in range(rng.randrange(1, 60))), None) for _ in range(300)]
+    rows = spark.createDataFrame([(text,) for text, _ in samples], "label string")
+    got = [row[0] for row in rows.select(punycode(F.col("label"))).collect()]
+    assert got == [want or text.encode("punycode").decode() for text, want in samples]
