@@ -17,7 +17,7 @@ import operator
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetables.llm.common import pick
+from pagetables.llm.common import pick, settled
 
 #: Labelled texts that are learnt from at most.
 SAMPLE = 6000
@@ -35,6 +35,10 @@ NEAR = 2
 HIDDEN = 24
 EPOCHS = 60
 SEED = 7
+#: Share of every label that counts for the other one: keeps scores off 0 and 1.
+SMOOTHING = 0.01
+#: Tasks that learn from the labelled texts; each sends one sum for every word and place.
+LEARNERS = 4
 THRESHOLD = 0.7
 #: Words whose bucket a task remembers.
 MEMORY = 1 << 19
@@ -130,9 +134,16 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def word_vectors(sequences: list[np.ndarray]) -> np.ndarray:
-    """Each word's sum of the index vectors of words up to ``NEAR`` places away, at length one."""
-    index, total = index_vectors(), np.zeros((ROWS, WIDTH), np.float32)
+def sequence_of(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_bucket, words), np.int16, len(words))
+
+
+def neighbour_sums(sequences: Iterable[np.ndarray]) -> np.ndarray:
+    """Each word's sum of the index vectors of words up to ``NEAR`` places away.
+
+    Whole numbers: sums of parts add up to the same in any order.
+    """
+    index, total = index_vectors().astype(np.int64), np.zeros((ROWS, WIDTH), np.int64)
     for seq in sequences:
         left = np.concatenate([seq[:-d] for d in range(1, NEAR + 1)])
         right = np.concatenate([seq[d:] for d in range(1, NEAR + 1)])
@@ -142,8 +153,14 @@ def word_vectors(sequences: list[np.ndarray]) -> np.ndarray:
         order = np.argsort(word, kind="stable")
         at = np.flatnonzero(np.append(True, np.diff(word[order]) != 0))
         total[word[order[at]]] += np.add.reduceat(index[other[order]], at, axis=0)
+    return total
+
+
+def word_vectors(sums: np.ndarray) -> np.ndarray:
+    """The sums at length one."""
+    total = sums.astype(np.float32)
     # A shape has no place in the sequence: its own index vector stands for it.
-    total[BUCKETS:] = index[BUCKETS:]
+    total[BUCKETS:] = index_vectors()[BUCKETS:]
     size = np.linalg.norm(total, axis=1, keepdims=True)
     return total / np.maximum(size, 1e-9)
 
@@ -164,7 +181,7 @@ def _train(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
             i = order[at : at + 128]
             h = np.tanh(x[i] @ p[0] + p[1])
             out = 1 / (1 + np.exp(-np.clip(h @ p[2] + p[3], -40, 40)))
-            d = (out - y[i]) / len(i)
+            d = (out - (y[i] * (1 - SMOOTHING) + SMOOTHING / 2)) / len(i)
             dh = np.outer(d, p[2]) * (1 - h * h)
             grads = [x[i].T @ dh + 1e-4 * p[0], dh.sum(0), h.T @ d + 1e-4 * p[2], np.array([d.sum()])]
             t += 1
@@ -177,27 +194,21 @@ def _train(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _temperature(logit: np.ndarray, y: np.ndarray) -> float:
     """The divisor of the logits with the least cross entropy."""
-    tried = np.geomspace(0.25, 8, 61)
+    tried, y = np.geomspace(0.05, 20, 121), y * (1 - SMOOTHING) + SMOOTHING / 2
     loss = [np.mean(np.logaddexp(0, logit / t) - y * logit / t) for t in tried]
     return float(tried[int(np.argmin(loss))])
 
 
-def fit(texts: list[str], labels: list[int]) -> QualityModel:
-    """A model from labelled texts; every fifth only fits the temperature."""
-    y = np.array(labels, float)
+def _constant(y: np.ndarray) -> QualityModel | None:
+    """The model of labels that nothing can be learnt from."""
     if len(y) < 20 or y.min() == y.max():
         return QualityModel(constant=float((y.sum() + 1) / (len(y) + 2)))
-    memory: dict[str, int] = {}
-    sequences, counted = [], []
-    for text in texts:
-        words = words_of(text)
-        sequences.append(np.fromiter(map(_bucket, words), np.int16, len(words)))
-        counted.append((*counts_of(words, memory), len(words)))
-    model = QualityModel(word_vectors(sequences))
-    x = np.zeros((len(texts), WIDTH + len(_SHAPES)))
-    for i, (rows, n, size) in enumerate(counted):
-        if size:
-            x[i] = _pool(model.vectors, rows, n, size)
+    return None
+
+
+def _learn(vectors: np.ndarray, x: np.ndarray, y: np.ndarray) -> QualityModel:
+    """The network over pooled texts; every fifth only fits the temperature."""
+    model = QualityModel(vectors)
     kept = np.arange(len(y)) % 5 == 4
     model.mean, model.scale = x[~kept].mean(0), x[~kept].std(0) + 1e-6
     model.layers = _train((x[~kept] - model.mean) / model.scale, y[~kept])
@@ -206,13 +217,24 @@ def fit(texts: list[str], labels: list[int]) -> QualityModel:
     return model
 
 
+def fit(texts: list[str], labels: list[int]) -> QualityModel:
+    """A model from labelled texts in memory, as `fit_on` makes it."""
+    y = np.array(labels, float)
+    vectors = word_vectors(neighbour_sums(sequence_of(words_of(text)) for text in texts))
+    return _constant(y) or _learn(vectors, QualityModel(vectors).pooled(texts, {}), y)
+
+
 def held_out() -> Column:
     """Rows whose label is never learnt from."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    """A model from at most ``sample`` labelled rows of ``docs`` that are not held out."""
+    """A model from at most ``sample`` labelled rows of ``docs`` that are not held out.
+
+    The texts stay on the executors: the driver gets sums by word and one pooled vector
+    (`WIDTH` numbers and the shapes) for each text.
+    """
     chosen = (
         pick(labels, doc_id="bigint", quality="int")
         .where("doc_id is not null and quality in (0, 1)")
@@ -228,8 +250,32 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityM
         .groupBy("doc_id")
         .agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("quality").alias("quality"))
     )
-    rows = sorted(learnt.collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
-    return fit([r["text"] for r in rows], [r["quality"] for r in rows])
+    learnt = settled(learnt.repartition(LEARNERS), "learnt")
+    spark = docs.sparkSession
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = (text for batch in batches for text in batch["text"].to_pylist())
+        total = neighbour_sums(sequence_of(words_of(text)) for text in texts)
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i4").tobytes()])], ["sums"])
+
+    total = np.zeros((ROWS, WIDTH), np.int64)
+    for row in learnt.select("text").mapInArrow(sums, "sums binary").toLocalIterator():
+        total += np.frombuffer(row["sums"], "<i4").reshape(ROWS, WIDTH)
+    vectors = word_vectors(total)
+    shared = spark.sparkContext.broadcast(vectors)
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, memory = QualityModel(shared.value), {}
+        for batch in batches:
+            x = model.pooled(batch["text"].to_pylist(), memory)
+            columns = [batch["doc_id"], batch["quality"], pa.array([one.tobytes() for one in x], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "quality", "x"])
+
+    rows = learnt.mapInArrow(pooled, "doc_id bigint, quality int, x binary").collect()
+    shared.destroy()
+    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
+    y = np.array([r["quality"] for r in rows], float)
+    return _constant(y) or _learn(vectors, np.array([np.frombuffer(r["x"]) for r in rows]), y)
 
 
 def _scores(model: QualityModel, texts: list[str | None], memory: dict[str, int]) -> np.ndarray:
