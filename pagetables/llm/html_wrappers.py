@@ -11,14 +11,17 @@ few different ones, however many pages it has.
 Every text slot of a host's wrapper then gets a role.  It is left out if it lies in a menu,
 header, footer, side bar, notice, advert, form or the readers' comments, by its tags and
 their classes; or if it stands once on each page, outside an article, with the same text on
-all of them.  A page gives the texts of its article slots, or else of all that are left.
+pages whose texts differ.  A page gives the texts of its article slots, or else of all that
+are left.  So where pages have article tags, these decide; the wrappers decide on the others.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -30,13 +33,16 @@ from pagetables.llm.common import pick, settled
 
 #: Pieces of a host whose wrappers are inferred apart.
 PIECES = 16
-#: Pages on which a slot has one and the same text for it to be a part of the host's design.
+#: Different pages on which a slot has one and the same text for it to be a part of the host's
+#: design.  Copies of a page count once.
 SAME_ON = 5
+#: Elements nested deeper are read as parts of the one at this depth; their texts stay.
+DEPTH = 64
 
 #: Tags by how they are read.
-_SILENT = frozenset(
-    "script style noscript template svg math iframe object canvas textarea select button audio video head title".split()
-)
+_SILENT = frozenset("script style noscript template svg iframe textarea select button audio video head title".split())
+#: Of these the rest of the page is a part if no end tag follows.
+_RAW = frozenset("script style textarea".split())
 _BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup legend li main menu nav ol p pre search section summary table tbody td tfoot "
@@ -50,24 +56,29 @@ _FRAMES = frozenset(("table", "ul", "ol", "dl", "menu", "body", "article", "main
 #: Parts of a page that are not its article.
 _APART = frozenset("nav aside footer form menu dialog search".split())
 _APART_NAMES = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|breadcrumbs?|footer|site-?header|masthead|cookies?|"
-    r"consent|gdpr|notices?|alert|newsletter|subscribe|popup|modal|share|sharing|social|related|recommend\w*|comments?|"
-    r"disqus|respond|replies|widget|toolbar|pagination|pager|login|sign-?up|search)(?:$|[-_ ])"
+    r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|side-?bar|menu|nav\w*|breadcrumbs?|footer|site-?header|masthead|cookies?|"
+    r"consent|gdpr|newsletter|subscribe|popup|modal|recommend\w*|comments?|"
+    r"disqus|respond|replies|widget|toolbar|pagination|pager|login|sign-?up)(?:$|[-_ ])"
+    # words that also name a subject: a whole name, or one of a usual part
+    r"|(?:^| )(?:(?:top|page|site|post|article)[-_])?(?:banner|notices?|alert|share|sharing|social|related|search)"
+    r"(?:[-_](?:links?|icons?|buttons?|bars?|box|list|media|posts|articles|stories|form|inner|container|wrapper|block|text|message|info|warning|success|danger|error))?(?:$| )"
 )
+#: Of an article's own names only these tell that it is none.
+_NO_ARTICLE = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|related|recommend\w*|comments?|replies)(?:$|[-_ ])")
 _APART_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 
 _TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_ENDS = {name: re.compile(rf"</{name}\b", re.I) for name in _SILENT}
+_ENDS: dict[str, re.Pattern] = {}
 
 
 class _Open:
-    """An open element: its signature, its path, and whether it is apart or in an article."""
+    """An open element: its path, whether it is apart, and whether it is in an article (1) or main (2)."""
 
     __slots__ = ("tag", "path", "apart", "article", "inside")
 
-    def __init__(self, tag: str, path: str, apart: bool, article: bool) -> None:
-        self.tag, self.path, self.apart, self.article, self.inside = tag, path, apart, article, []
+    def __init__(self, tag: str, path: str, apart: bool, article: int, inside: list) -> None:
+        self.tag, self.path, self.apart, self.article, self.inside = tag, path, apart, article, inside
 
 
 def _signature(tag: str, raw: str) -> tuple[str, str, str]:
@@ -107,12 +118,27 @@ def _tag_end(html: str, at: int, last: dict[str, int]) -> int:
                 return -1
 
 
-def read_page(html: str) -> tuple[list[tuple[str, bool, bool, str]], list]:
-    """Texts as (path, apart, in article, text), and the stream of the page's blocks."""
-    root = _Open("", "", False, False)
-    stack, texts, held = [root], [], []
+def read_page(html: str) -> tuple[list[tuple[str, bool, int, str]], list]:
+    """Texts as (path, apart, in article or main, text), and the stream of the page's blocks.
+
+    A silent element without an end tag before that of its block ends at the next block.
+    """
+    root = _Open("", "", False, 0, [])
+    stack, texts, held, open_tags = [root], [], [], Counter()
+    muted, ends = False, {}
+
+    def next_end(tag: str, at: int) -> int:
+        """Where the next end tag of a name begins, behind the page if there is none."""
+        if tag not in ends or ends[tag] < at:
+            if tag not in _ENDS:
+                _ENDS[tag] = re.compile(rf"</{tag}\b", re.I)
+            found = _ENDS[tag].search(html, at)
+            ends[tag] = found.start() if found else len(html)
+        return ends[tag]
 
     def flush() -> None:
+        nonlocal muted
+        muted = False
         if held:
             text = " ".join(unescape("".join(held)).split())
             held.clear()
@@ -125,16 +151,18 @@ def read_page(html: str) -> tuple[list[tuple[str, bool, bool, str]], list]:
         flush()
         while len(stack) > n:
             done = stack.pop()
-            stack[-1].inside.append((done.path.rsplit("/", 1)[-1], "", fold(done.inside)))
+            open_tags[done.tag] -= 1
+            if done.inside is not stack[-1].inside:
+                stack[-1].inside.append((done.path.rsplit("/", 1)[-1], "", fold(done.inside)))
 
-    at, size, unclosed = 0, len(html), set()
+    at, size = 0, len(html)
     last = {quote: html.rfind(quote) for quote in "\"'"}
     while at < size:
         next_tag = html.find("<", at)
         if next_tag < 0:
-            held.append(html[at:])
+            held.append("" if muted else html[at:])
             break
-        if next_tag > at:
+        if next_tag > at and not muted:
             held.append(html[at:next_tag])
         if html.startswith("<!--", next_tag):
             end = html.find("-->", next_tag + 4)
@@ -156,43 +184,50 @@ def read_page(html: str) -> tuple[list[tuple[str, bool, bool, str]], list]:
         at = end + 1
         if tag in _SILENT:
             if opening and not raw.endswith("/"):
-                stop = None if tag in unclosed else _ENDS[tag].search(html, at)
-                end = html.find(">", stop.end()) if stop else -1
-                if end >= 0:
-                    at = end + 1
-                elif tag in ("head", "title"):
-                    unclosed.add(tag)
-                else:
+                stop = next_end(tag, at)
+                limit = size if tag in _RAW or len(stack) == 1 else next_end(stack[-1].tag, at)
+                if stop < min(limit, size) or (stop < size and tag in _RAW):
+                    end = html.find(">", stop)
+                    at = size if end < 0 else end + 1
+                elif tag in _RAW:
                     at = size
+                elif tag not in ("head", "title"):
+                    muted = True
             held.append(" ")
         elif tag in _BLOCKS:
             if opening:
                 if stack[-1].tag == "p" and tag in _CLOSES_P:
                     close(len(stack) - 1)
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in _SIBLINGS.get(tag, ()):
-                        close(i)
-                    elif stack[i].tag in _FRAMES:
-                        break
+                if any(open_tags[name] for name in _SIBLINGS.get(tag, ())):
+                    for i in range(len(stack) - 1, 0, -1):
+                        if stack[i].tag in _SIBLINGS[tag]:
+                            close(i)
+                        elif stack[i].tag in _FRAMES:
+                            break
                 flush()
                 top = stack[-1]
                 signature, names, role = _signature(tag, raw)
-                article = top.article or tag in ("article", "main") or role in ("main", "article")
+                main, is_article = tag == "main" or role == "main", tag == "article" or role == "article"
+                article = 2 if main else max(top.article, int(is_article))
+                telling = None if main or tag in ("html", "body") else _NO_ARTICLE if is_article else _APART_NAMES
                 apart = (
                     top.apart
                     or tag in _APART
                     or (tag == "header" and not top.article)
                     or role in _APART_ROLES
-                    or (bool(names) and tag not in ("html", "body", "main") and bool(_APART_NAMES.search(names)))
+                    or (bool(names) and telling is not None and bool(telling.search(names)))
                 )
-                stack.append(_Open(tag, f"{top.path}/{signature}", apart, article))
-            else:
+                deep = len(stack) > DEPTH
+                path, inside = (top.path, top.inside) if deep else (f"{top.path}/{signature}", [])
+                stack.append(_Open(tag, path, apart, article, inside))
+                open_tags[tag] += 1
+            elif open_tags[tag]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
                         close(i)
                         break
-                else:
-                    flush()
+            else:
+                flush()
         elif tag == "hr":
             flush()
         elif tag in ("br", "img", "wbr", "input"):
@@ -332,18 +367,25 @@ def slot_roles(pages: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for host, html in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
-                for path, apart, article, text in read_page(html or "")[0]:
-                    if not apart and not article:
-                        out.append((host, path, zlib.crc32(text.encode()) << 20 | len(text) & 0xFFFFF))
-            cols = list(zip(*out, strict=True)) if out else [(), (), ()]
-            types = (pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["host", "path", "mark"])
+                found = [(path, text) for path, apart, article, text in read_page(html or "")[0] if not apart and not article]
+                whole = hashlib.blake2b(json.dumps(found).encode(), digest_size=8).digest()
+                page = int.from_bytes(whole, "big", signed=True)
+                for path, text in found:
+                    out.append((host, path, zlib.crc32(text.encode()) << 20 | len(text) & 0xFFFFF, page))
+            cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
+            types = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            names = ["host", "path", "mark", "page"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     rows = pick(pages, url="string", html="string").select(_host().alias("host"), "html")
-    marks = rows.mapInArrow(read, "host string, path string, mark bigint")
+    marks = rows.mapInArrow(read, "host string, path string, mark bigint, page bigint")
+    low, high = F.min("mark").alias("low"), F.max("mark").alias("high")
     same = (
-        marks.groupBy("host", "path")
-        .agg(F.count("*").alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high"))
+        # pages with the same texts count once
+        marks.groupBy("host", "path", "page")
+        .agg(low, high)
+        .groupBy("host", "path")
+        .agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
         .where((F.col("low") == F.col("high")) & (F.col("n") >= SAME_ON))
         .groupBy("host")
         .agg(F.collect_set("path").alias("same"))
@@ -366,7 +408,10 @@ def slot_roles(pages: DataFrame) -> DataFrame:
 def main_text(html: str, design: frozenset[str] = frozenset()) -> str:
     """The texts of the article slots of a page, or else of all slots that are left; one a line."""
     texts, _ = read_page(html)
-    article = [t for _, apart, inside, t in texts if inside and not apart]
+    inside = [(place, t) for _, apart, place, t in texts if place and not apart]
+    main, other = [t for place, t in inside if place == 2], [t for place, t in inside if place == 1]
+    # Teasers often stand beside the main part as articles: the longer one of both counts.
+    article = main if sum(map(len, main)) >= sum(map(len, other)) else other
     return "\n".join(article or [t for path, apart, _, t in texts if not apart and path not in design])
 
 

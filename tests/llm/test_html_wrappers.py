@@ -98,3 +98,42 @@ def test_awkward_pages(spark):
     long = "\n".join(["\x00", *["a\x00"] * 19_999, "a"])
     assert found == sorted([(1, None, "", 0), (None, "x", "", 0), (2, "http://h/", "", 0), (2, "http://h/", "", 0), (3, "http://[", long, len(long))], key=str)
     assert page_texts(frame.limit(0)).collect() == []
+
+
+def test_deep_pages_do_not_stop_the_others(spark):
+    deep = "<div>" * 5_000 + "bottom<p>end" + "</div>" * 2_000 + "later"
+    rows = [(1, "http://h/", deep, ""), (2, "http://h/", "<article><p>fine</article>", ""), (3, "http://h/", "<div>" * 650, "")]
+    found = {r["page_id"]: r["text"] for r in page_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {1: "bottom\nend\nlater", 2: "fine", 3: ""}
+
+
+def test_many_unmatched_tags_in_a_deep_page():
+    start = time.perf_counter()
+    read_page("<div>" * 40_000 + "</p></section>" * 40_000 + "<ul>" + "<li>x" * 10_000)
+    assert time.perf_counter() - start < 20
+
+
+def test_unclosed_silent_elements_end_at_the_next_block():
+    for tag in ("button", "select", "svg", "audio", "video", "iframe", "noscript", "template"):
+        assert main_text(f"<article><p>one</p><{tag}>x<p>two</p><p>three</p></article>") == "one\ntwo\nthree"
+        later = f"<article><p>one</p><{tag}>x<p>two</p></article><footer><{tag}>y</{tag}></footer>"
+        assert main_text(later) == "one\ntwo"
+        assert main_text(f"<article><p>one <{tag}>x<b>y</b></{tag}> two</p></article>") == "one two"
+
+
+def test_inline_content_stays():
+    assert main_text("<article><p>Let <math><mi>x</mi></math> be</p><object>o</object><canvas>c</canvas></article>") == "Let x be\noc"
+
+
+def test_names_of_articles():
+    assert main_text('<article class="alert"><p>storm</article>') == "storm"
+    assert main_text('<article><div class="social-study"><p>a</div><div class="social-links">b</div><div class="share">c</div></article>') == "a"
+    assert main_text("<main><p>the long main text</main><article>teaser</article>") == "the long main text"
+    assert main_text("<main>menu</main><article>the long article text</article>") == "the long article text"
+    assert main_text('<article>a<article class="comment">says</article></article>') == "a"
+
+
+def test_copies_of_a_page_are_no_design(spark):
+    html = "<body><h1>Title</h1><div class=x><p>body</div>"
+    rows = [(i, "http://copies.example/", html + "<nav>" + str(i) + "</nav>", "") for i in range(9)]
+    assert {r["text"] for r in page_texts(spark.createDataFrame(rows, PAGES)).collect()} == {"Title\nbody"}
