@@ -149,6 +149,11 @@ def serve_coverage(routed: DataFrame) -> DataFrame:
     return counted.withColumn("served_share", F.col("served").cast("double") / F.col("requests").cast("double"))
 
 
+def invalid_candidates(frontier: DataFrame) -> DataFrame:
+    """URLs of a frontier that are not valid, to report: `crawl_candidates` leaves them out."""
+    return frontier.filter(page_url("url").isNull())
+
+
 def crawl_candidates(frontier: DataFrame, warmups: DataFrame) -> DataFrame:
     """Sitemap URLs and missed pages as one crawl list, one row per key."""
     both = (

@@ -227,6 +227,26 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitemap.crawl_frontier(view(spark, sf_dir, "sitemaps"), "2")
 
 
+@_query
+def crawl_run_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit of a run is the feature: the first 100 URLs over all sitemaps."""
+    return sitemap.crawl_run_frontier(view(spark, sf_dir, "sitemaps"), 100)
+
+
+@_query
+def read_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed sitemaps; every fifth was not fetched and is not read."""
+    path = work_folder(spark, "sitemaps")
+    status = F.when(F.col("sitemap_id") % 5 == 0, 503).otherwise(200)
+    view(spark, sf_dir, "sitemaps").select(
+        F.concat(F.lit("https://example.com/map"), F.col("sitemap_id").cast("string")).alias("sitemap_url"),
+        status.alias("http_status"),
+        "xml",
+        F.lit(GENERATED_AT).cast("timestamp").alias("fetched_at"),
+    ).write.parquet(path)
+    return sitemap.sitemap_urls(readers.read_sitemaps(spark, path))
+
+
 @_query
 def crawl_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     frontier = sitemap.crawl_frontier(view(spark, sf_dir, "sitemaps"))

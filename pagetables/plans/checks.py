@@ -278,6 +278,10 @@ located AS (
     lambda u: replace(trim(u), '&amp;', '&')), lambda u: u <> '') AS urls FROM sitemaps),
 listed AS (SELECT sitemap_id, CAST(generate_subscripts(urls, 1) - 1 AS INTEGER) AS pos, unnest(urls) AS url FROM located)"""
 CHECKS["sitemap_urls"] = f"{with_views('', 'sitemaps')}, {_LOCATIONS} SELECT * FROM listed"
+CHECKS["crawl_run_frontier"] = f"""{with_views('', 'sitemaps')}, {_LOCATIONS}
+SELECT sitemap_id, pos, url FROM listed ORDER BY sitemap_id, pos LIMIT 100"""
+CHECKS["read_sitemaps"] = f"""{with_views('', 'sitemaps')}, {_LOCATIONS}
+SELECT 'https://example.com/map' || sitemap_id AS sitemap_url, pos, url FROM listed WHERE sitemap_id % 5 <> 0"""
 CHECKS["crawl_frontier"] = f"{with_views('', 'sitemaps')}, {_LOCATIONS} SELECT * FROM listed WHERE pos < 2"
 
 # --- requests -------------------------------------------------------------------------------
