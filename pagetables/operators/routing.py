@@ -230,8 +230,10 @@ def route_requests_asof(
         F.lit(1).alias("side"),
         F.struct(*log_columns).alias("request"),
     )
+    # Only records in a bucket that has requests are repeated for each salt.
+    met = versions.join(request_buckets.select("key", "bucket"), ["key", "bucket"], "left_semi")
     records = (
-        versions.select("key", "bucket", "at", "facts")
+        met.select("key", "bucket", "at", "facts")
         .unionByName(carried)
         .select("key", "bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "at", F.lit(0).alias("side"), "facts")
     )

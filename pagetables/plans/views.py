@@ -22,21 +22,21 @@ SELECT e.event_id AS request_id, e.ts AS ts, e.user_id AS user_id,
     WHEN e.event_id % 19 = 7 THEN replace(p.url, '.example.', '.EXAMPLE.')
     ELSE p.url END AS url,
   CASE e.user_id % 16
-    WHEN 0 THEN 'GPTBot/1.0'
-    WHEN 1 THEN 'Mozilla/5.0 (compatible; ClaudeBot/1.0)'
-    WHEN 2 THEN 'Mozilla/5.0 (compatible; Claude/1.0)'
-    WHEN 3 THEN 'Anchor-Browser/1.0'
+    WHEN 0 THEN 'Mozilla/5.0 (compatible; GPTBot/1.3; +https://robots.example/gpt)'
+    WHEN 1 THEN 'ClaudeBot/2.4 (+mailto:robots@fetch.example)'
+    WHEN 2 THEN 'Mozilla/5.0 (X11; Linux x86_64; Claude/3.1) like Gecko'
+    WHEN 3 THEN 'Anchor-Browser/4.2 (beta)'
     WHEN 4 THEN 'Applebot-Extended/0.1'
-    WHEN 5 THEN 'Mozilla/5.0 Googlebot/2.1'
-    WHEN 6 THEN 'BingBot/2.0'
-    WHEN 7 THEN 'archive.org_bot/1.0'
+    WHEN 5 THEN 'Mozilla/5.0 (compatible; Googlebot/2.7; rendering)'
+    WHEN 6 THEN 'bingBOT/3.6 (+https://robots.example/b)'
+    WHEN 7 THEN 'Mozilla/5.0 (compatible; archive.org_bot; snapshots)'
     WHEN 8 THEN 'PriceWatchBot/3.4 (+https://watch.example)'
     WHEN 9 THEN 'Mozilla/5.0 (compatible; SomeBot/1.0)'
     WHEN 10 THEN 'my crawler 2'
     WHEN 11 THEN 'curl/8.0'
     WHEN 12 THEN ''
     WHEN 13 THEN 'DeskAgent/7.1 intranet'
-    WHEN 14 THEN 'PerplexityBot/1.0 Googlebot/2.1'
+    WHEN 14 THEN 'PerplexityBot/5.1 like Googlebot/2.7'
     ELSE 'Mozilla/5.0 AppleWebKit/537.36 Chrome/125.0 Safari/537.36' END AS user_agent,
   CASE WHEN e.event_id % 3 = 0 THEN 'Text/HTML,*/*' ELSE '*/*' END AS accept
 FROM (SELECT event_id, ts, user_id, event_id % (SELECT count(*) FROM $pages) AS page_no FROM $events) e

@@ -51,15 +51,15 @@ def test_failed_sitemaps_are_reported(spark):
 
 
 def test_links(spark):
-    html = """<nav><a href="/pricing">x</a></nav><a class="c" href='https://example.com/docs?utm=1#t'>Docs</a>
-      <a href="https://other.example.com/page">External</a><a href="/logo.PNG">Logo</a>
-      <a href=/unquoted>u</a><a href="#top">t</a><a href="mailto:a@b.c">m</a><a href="MAILTO:a@b.c">m</a>
+    html = """<nav><a href="/harbour">Harbour</a></nav><a class="c" href='https://example.com/tides?day=3#noon'>Tides</a>
+      <a href="https://boats.example.org/hire">Hire</a><a href="/chart.PNG">Chart</a><a href="/notice.woff2">Font</a>
+      <a href=/unquoted>u</a><a href="#deck">t</a><a href="mailto:a@b.c">m</a><a href="MAILTO:a@b.c">m</a>
       <a href="tel:1">t</a><a href="">e</a><a href="http://">bad</a><a href="http://example.com/">plain</a>
-      <a href="next?a=1&amp;b=2">n</a><a href=" /pricing#again ">p</a><!-- <a href="/hidden">h</a> -->
+      <a href="next?a=1&amp;b=2">n</a><a href=" /harbour#again ">p</a><!-- <a href="/hidden">h</a> -->
       <a data-href="/first" href="/last">l</a><a href="/für">f</a><article href="/no">"""
     rows = link_graph(pages_of(spark, html)).orderBy("link_no").collect()
     assert {row.source for row in rows} == {"https://example.com/docs/start"}
-    paths = ["/pricing", "/docs", "/docs/next", "/hidden", "/last", "/f%C3%BCr"]
+    paths = ["/harbour", "/tides", "/docs/next", "/hidden", "/last", "/f%C3%BCr"]
     assert [(row.link_no, row.target) for row in rows] == [
         (i, f"https://example.com{path}") for i, path in enumerate(paths)
     ]
@@ -290,7 +290,7 @@ def test_crawl_records(spark):
     html = "<title>Locks</title><main><h3>Canal locks</h3></main>"
     cases = [
         ("https://example.com/locks?x#y", 200, "text/html", html, None),
-        ("https://example.com/file.pdf", 200, "application/pdf", "PDF", None),
+        ("https://example.com/depths", 200, "image/svg+xml", "<svg/>", None),
         ("https://example.com/gone", 404, "application/pdf", html, None),
         ("https://example.com/down", 500, "text/html", html, "fetch failed"),
         ("https://example.com/empty", 204, "Text/HTML; charset=utf-8", "", None),
@@ -306,7 +306,7 @@ def test_crawl_records(spark):
     assert (ready.status, ready.url, ready.reason) == ("ready", "https://example.com/locks", None)
     assert ready.markdown.startswith("# Locks\n")
     assert {key.rsplit("/", 1)[1]: row.reason for key, row in rows.items()} == {
-        "file.pdf": "unsupported-content-type",
+        "depths": "unsupported-content-type",
         "gone": "http-404",
         "down": "fetch failed",
         "empty": "empty-html",
