@@ -183,10 +183,14 @@ def take_mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with all columns and ``size``, ``target`` and ``taken``.
 
     Rows of one id and text are one document here: it comes once, with what all of them take.
+    Columns of ``docs`` with the names of the three are replaced.
     """
-    mix = mixed(docs, **how).groupBy(F.col("doc_id").alias("mix_id"), F.col("rid").alias("mix_rid")).agg(
+    mix = mixed(docs, **how).groupBy("doc_id", "rid").agg(
         F.sum("size").alias("size"), F.first("target").alias("target"), F.sum("taken").alias("taken")
     )
-    keyed = docs.withColumn("mix_text", F.xxhash64(docs["text"])).dropDuplicates(["doc_id", "mix_text"])
-    same = keyed["doc_id"].eqNullSafe(mix["mix_id"]) & (keyed["mix_text"] == mix["mix_rid"])
-    return keyed.join(mix.where("taken > 0"), same).drop("mix_id", "mix_rid", "mix_text")
+    rest = docs.drop("size", "target", "taken")
+    key, text = ("_" * (1 + max(map(len, rest.columns))) + name for name in ("id", "text"))
+    mix = mix.where("taken > 0").withColumnsRenamed({"doc_id": key, "rid": f"{text}2"})
+    keyed = rest.withColumn(text, F.xxhash64(rest["text"])).dropDuplicates(["doc_id", text])
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(text) == F.col(f"{text}2"))
+    return keyed.join(mix, same).drop(key, text, f"{text}2")

@@ -7,12 +7,6 @@ counts of the four 16-bit words leaves out most blocks; the rest is compared wit
 or and bit counts.  A pair of tiles reports a spanning forest of its links, so that a group
 of n near copies gives up to n rows and never n * n.
 
-``near_groups`` takes fingerprints of 64 bits and a radius.  ``copy_groups`` compares wide
-ones, whose radius no population count can narrow: their tiles are all compared.  There the
-tiles only look for candidates.  A pair of tiles reports the nearest ones that join its
-nodes, and they are checked by their shingles in a Spark join.  Where a check fails, further
-candidates between what is not united are checked, until none is left.
-
 The number of tiles is fixed, so a fingerprint (eight bytes) is sent a bounded number of
 times; comparisons still grow with the square of the number of different fingerprints.
 """
@@ -40,23 +34,6 @@ TILE_ROWS = 8192
 #: Comparisons at once.
 BLOCK = 1 << 20
 
-#: Near copies as the corpus pipeline takes them: five-word shingles with a similarity of
-#: ``COPY_ALIKE`` or more, as a fraction.  At 0.8 two wide fingerprints differ in about 0.15
-#: of their bits, in 0.19 if one has four shingles and the other five; pairs with up to
-#: ``COPY_SHARE`` of them are candidates, whose shingles are then compared.
-COPY_SHINGLE = 5
-COPY_ALIKE = (4, 5)
-COPY_WORDS = 8
-COPY_SHARE = 0.25
-#: Differing bits in the first word, beyond which the rest is not looked at (over 3 sigma).
-COPY_FIRST = 22
-COPY_TILES = 16
-#: Factor by which the forests of candidates grow from round to round.
-COPY_MORE = 8
-#: Candidates held before they are thinned to forests, and checks of a text in one task.
-COPY_HELD = 1 << 22
-COPY_CHECKS = 64
-
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _HALF = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -90,22 +67,6 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(_majority(shingle_hashes(text, shingle)), "little")
 
 
-def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    """SimHash of ``64 * COPY_WORDS`` bits: the hashes as they are, then mixed anew each time."""
-    out = [_majority(hashes)]
-    for i in range(1, COPY_WORDS):
-        x = hashes + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(_majority(x ^ (x >> np.uint64(31))))
-    return b"".join(out)
-
-
-def _node(shingles: np.ndarray) -> int:
-    """The name of a set of shingles, given sorted, as a signed 64-bit number."""
-    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).astype(np.int64))
-
-
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id`` and ``fp``, the fingerprint as a signed 64-bit number, of every row."""
 
@@ -286,262 +247,9 @@ def near_groups(
     )
 
 
-def _forests(a: np.ndarray, b: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which edges (in order) make up a forest, then one of the rest, and so on, and the rest."""
-    rest, kept = np.arange(len(a)), []
-    while len(rest) and len(kept) < times:
-        names, ends = np.unique(np.concatenate((a[rest], b[rest])), return_inverse=True)
-        x, y = ends[: len(rest)], ends[len(rest) :]
-        root, taken, at, step = np.arange(len(names)), np.zeros(len(rest), bool), 0, 1024
-        while at < len(rest):
-            open_ = np.flatnonzero(root[x[at : at + step]] != root[y[at : at + step]]) + at
-            for t in open_.tolist():
-                i, j = int(x[t]), int(y[t])
-                while root[i] != i:
-                    root[i] = i = int(root[root[i]])
-                while root[j] != j:
-                    root[j] = j = int(root[root[j]])
-                if i != j:
-                    root[max(i, j)] = min(i, j)
-                    taken[t] = True
-            at += step
-            if len(open_):
-                while (root[root] != root).any():
-                    root = root[root]
-            else:
-                step *= 2
-        kept.append(rest[taken])
-        rest = rest[~taken]
-    return np.concatenate(kept) if kept else rest, rest
-
-
-def wide_candidates(
-    wide: list[np.ndarray], sizes: list[np.ndarray], comps: list[np.ndarray], times: int
-) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Candidates between two tiles or inside one: ``times`` forests of the nearest ones that
-    join different ``comps``, and whether there are more."""
-    left, other = wide[0], wide[-1]
-    shift = len(left) if len(wide) > 1 else 0
-    comp = np.concatenate(comps)
-    limit, (part, whole) = int(COPY_SHARE * 64 * COPY_WORDS), COPY_ALIKE
-    first, low, high = np.ascontiguousarray(other[:, 0]), part * sizes[-1], whole * sizes[-1]
-    held, count, more = [], 0, False
-
-    def thin() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        nonlocal more
-        a, b, far = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((b, a, far))
-        a, b, far = a[order], b[order], far[order]
-        kept, rest = _forests(comp[a], comp[b], times)
-        more = more or len(rest) > 0
-        return a[kept], b[kept], far[kept]
-
-    step = max(1, BLOCK // max(1, len(other)))
-    for at in range(0, len(left), step):
-        mine = sizes[0][at : at + step, None]
-        # Sets whose sizes differ by more cannot be alike.
-        x, y = np.nonzero(
-            (np.bitwise_count(left[at : at + step, :1] ^ first[None, :]) <= COPY_FIRST)
-            & (whole * mine >= low[None, :])
-            & (high[None, :] >= part * mine)
-        )
-        x = x + at
-        open_ = comp[x] != comp[y + shift]
-        if not shift:
-            open_ &= x < y
-        x, y = x[open_], y[open_]
-        for b in range(0, len(x), BLOCK // 8):
-            i, j = x[b : b + BLOCK // 8], y[b : b + BLOCK // 8]
-            far = np.bitwise_count(left[i] ^ other[j]).sum(axis=1, dtype=np.int32)
-            close = far <= limit
-            held.append((i[close], j[close] + shift, far[close]))
-            count += int(close.sum())
-            if count > COPY_HELD:
-                held = [thin()]
-                # Room for as many again, however many the forests hold.
-                count = 0
-    if not held:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
-    a, b, _ = thin()
-    return a, b, more
-
-
-def copy_groups(docs: DataFrame, tiles: int = COPY_TILES, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """``doc_id`` and ``group_id``, the smallest id of its group of near copies, of every row.
-
-    Near copies share 0.8 or more of their different five-word shingles; candidates are found
-    by wide fingerprints.  Texts without words are copies of each other.  Ids are treated as
-    in `near_groups`.
-    """
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = utf8(batch["text"])
-            raw, at = data.tobytes(), at.tolist()
-            node, wide, size = [], [], []
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                hashes = shingle_hashes(raw[a:b], COPY_SHINGLE)
-                shingles = np.unique(hashes)
-                node.append(_node(shingles))
-                # The set's own fingerprint: one name has one.
-                wide.append(wide_fingerprint(shingles))
-                size.append(len(shingles))
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(node, pa.int64()), pa.array(wide, pa.binary()), pa.array(size, pa.int64())],
-                ["doc_id", "node", "wide", "size"],
-            )
-
-    texts = pick(docs, doc_id="bigint", text="string")
-    rows = settled(texts.mapInArrow(hashed, "doc_id bigint, node bigint, wide binary, size bigint"), "fingerprints")
-    nodes = settled(
-        rows.groupBy("node").agg(
-            F.first("wide").alias("wide"), F.first("size").alias("size"), F.min("doc_id").alias("least_id")
-        ),
-        "fingerprints",
-    )
-    roots = components(_alike_links(texts, nodes, tiles, tile_rows)).withColumnRenamed("node", "linked")
-    grouped = nodes.join(roots, nodes["node"] == roots["linked"], "left").select(
-        "node", "least_id", F.coalesce("root", "node").alias("root")
-    )
-    least = grouped.groupBy("root").agg(F.min("least_id").alias("group_id"))
-    named = grouped.join(least, "root").select("node", "group_id")
-    return rows.select("doc_id", "node").join(named, "node", "left").select("doc_id", "group_id")
-
-
-def _alike_links(texts: DataFrame, nodes: DataFrame, tiles: int, tile_rows: int) -> DataFrame:
-    """Checked links (a, b) that connect all near copies among the nodes."""
-    active, times = nodes.select("node", "wide", "size", F.col("node").alias("comp")), 1
-    sets = good = None
-    while True:
-        found = settled(_wide_links(active, tiles, tile_rows, times), "candidates")
-        links = found.select("a", "b")
-        if sets is None:
-            # Whatever a later round looks at has a candidate in the first.
-            linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-            sets = settled(_shingle_sets(texts, nodes.join(linked, "node").select("node", "least_id")), "shingles")
-        checked = settled(_checked(links.distinct(), sets), "checked")
-        alike = checked.where("alike").select("a", "b")
-        good = alike if good is None else good.unionByName(alike)
-        if not found.where("more").head(1):
-            return good
-        roots = settled(components(good), "roots")
-        name = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
-        apart = (
-            checked.where("not alike").join(name("a"), "a", "left").join(name("b"), "b", "left")
-            .where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
-        )
-        whole = settled(components(links), "candidates")
-        open_ = whole.join(apart.select(F.col("a").alias("node")), "node", "left_semi").select("root")
-        # The root of a component is not among its nodes.
-        open_ = open_.union(apart.join(whole, apart["a"] == whole["node"], "left_anti").select(F.col("a").alias("root")))
-        open_ = open_.distinct()
-        members = whole.join(open_, "root", "left_semi").select("node").union(open_.select("root")).distinct()
-        active = (
-            nodes.join(members, "node").join(roots, "node", "left")
-            .select("node", "wide", "size", F.coalesce("root", "node").alias("comp"))
-        )
-        active = settled(active, "active")
-        if not active.head(1):
-            return good
-        times *= COPY_MORE
-
-
-def _shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node`` and ``shingles`` (sorted, eight bytes each) of the wanted nodes."""
-
-    def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = utf8(batch["text"])
-            raw, at = data.tobytes(), at.tolist()
-            sets = [np.unique(shingle_hashes(raw[a:b], COPY_SHINGLE)) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["node", "shingles"],
-            )
-
-    ids = wanted.select(F.col("least_id").alias("doc_id")).where("doc_id is not null").distinct()
-    # A node whose rows all lack an id is among the rows without one.
-    some = texts.join(ids, "doc_id", "left_semi").unionByName(texts.where("doc_id is null")).select("text")
-    sets = some.mapInArrow(collected, "node bigint, shingles binary").join(wanted.select("node"), "node", "left_semi")
-    return sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
-
-
-def _checked(links: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links with ``alike``: whether the shingles of both ends are.
-
-    A node's shingles are repeated for every ``COPY_CHECKS`` of its links, so that no task
-    gets all links of a node.
-    """
-    part, whole = COPY_ALIKE
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                alike.append(whole * both >= part * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(alike, pa.bool_())], ["a", "b", "alike"])
-
-    out = links
-    for end, name in (("a", "x"), ("b", "y")):
-        shares = links.groupBy(end).agg(F.ceil(F.count("*") / COPY_CHECKS).cast("int").alias("_n"))
-        mine = sets.join(shares, sets["node"] == shares[end]).select(
-            end, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_salt"), F.col("shingles").alias(name)
-        )
-        dealt = out.join(shares, end).withColumn("_salt", F.pmod(F.xxhash64("a", "b"), F.col("_n")).cast("int"))
-        out = dealt.drop("_n").join(mine, [end, "_salt"]).drop("_salt")
-    return out.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint, alike boolean")
-
-
-def _wide_links(nodes: DataFrame, tiles: int, tile_rows: int, times: int) -> DataFrame:
-    """Candidates (a, b) among the nodes, and whether their tiles have ``more`` of them."""
-    n = max(1, min(tiles, -(-nodes.count() // tile_rows)))
-    # Tiles in every pair; tile i with itself has no second side.
-    pairs = [[(min(i, j) * n + max(i, j), int(j < i)) for j in range(n)] for i in range(n)]
-    # Names, sizes and components before the fingerprints.
-    width = 8 * COPY_WORDS
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, size, comp = (batch[c].to_numpy(zero_copy_only=False) for c in ("node", "size", "comp"))
-            wide = np.array(batch["wide"].to_pylist(), f"V{width}")
-            tile, out = (ids % n).astype(np.int64), []
-            for i in np.unique(tile):
-                mine = tile == i
-                blob = b"".join(x[mine].tobytes() for x in (ids, size, comp, wide))
-                out += [(pair, side, blob) for pair, side in pairs[i]]
-            pair, side, blob = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pair, pa.int32()), pa.array(side, pa.int32()), pa.array(blob, pa.binary())],
-                ["pair", "side", "blob"],
-            )
-
-    def compare(group: pa.Table) -> pa.Table:
-        held: tuple[list, list] = ([], [])
-        for side, blob in zip(group["side"].to_pylist(), group["blob"].to_pylist(), strict=True):
-            rows = len(blob) // (24 + width)
-            plain = np.frombuffer(blob, np.int64, 3 * rows).reshape(3, rows)
-            held[side].append((*plain, np.frombuffer(blob, np.uint64, rows * COPY_WORDS, rows * 24).reshape(rows, COPY_WORDS)))
-        pair = group["pair"][0].as_py()
-        own = pair // n == pair % n
-        names = a = b = np.zeros(0, np.int64)
-        more = False
-        if held[0] and (own or held[1]):
-            sides = [[np.concatenate(x) for x in zip(*side, strict=True)] for side in held if side]
-            ids, sizes, comps, wide = ([side[i] for side in sides] for i in range(4))
-            a, b, more = wide_candidates(wide, sizes, comps, times)
-            names = np.concatenate(ids)
-        return pa.table({"a": names[a], "b": names[b], "more": np.full(len(a), more)})
-
-    return nodes.mapInArrow(deal, "pair int, side int, blob binary").groupBy("pair").applyInArrow(
-        compare, "a bigint, b bigint, more boolean"
-    )
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group of near copies (see
-    `copy_groups`), and rows without an id."""
-    groups = copy_groups(docs)
-    dropped = groups.where("doc_id > group_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their group (see `near_groups`), and
+    rows without an id.  Only the ids of the rows that go are joined."""
+    groups = near_groups(docs, radius, shingle)
+    dropped = groups.where("doc_id > component_id").select(F.col("doc_id").alias("_dropped_id")).distinct()
+    return docs.join(dropped, docs["doc_id"] == F.col("_dropped_id"), "left_anti")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagetables.llm.queries import CHECKS, QUERIES
@@ -83,6 +84,15 @@ def test_awkward_documents(spark, tables):
         docs.collect()
 
 
+def test_clashing_names_in_every_stage(spark, tables, tmp_path):
+    path, *_ = tables
+    docs = awkward(spark).withColumn("target", F.lit("x")).withColumn("quality", F.lit("x"))
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, path).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+    assert {"size", "target", "taken", "quality", "root"} <= set(docs.columns)
+
+
 def test_every_operator_is_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert CHECKS.keys() <= QUERIES.keys()
