@@ -14,6 +14,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..config import work_folder
 from ..functions.urls import resource_key
 from ..operators.documents import crawl_pages, dead_letters
 from ..operators.routing import agent_page_requests, route_requests
@@ -136,10 +137,13 @@ def _found_and_missing(urls: DataFrame, responses: DataFrame) -> DataFrame:
     """
     key = F.coalesce(resource_key("url"), F.concat(F.lit("#"), "url"))
     wanted = urls.filter(F.col("url").isNotNull() & (F.col("url") != "")).select("url", key.alias("key"))
-    wanted = wanted.groupBy("key").agg(F.min("url").alias("_url"))
+    spark, folder = urls.sparkSession, work_folder(urls.sparkSession, "queue")
+    # The queue is read several times, and its URLs may come from sitemaps.
+    wanted.groupBy("key").agg(F.min("url").alias("_url")).write.parquet(folder)
+    wanted = spark.read.schema("key string, _url string").parquet(folder)
     stored = "place" in responses.columns
     keyed = responses if stored else responses.withColumn("key", key)
-    short = [row["key"] for row in wanted.select("key").limit(_SHORT_QUEUE + 1).collect()]
+    short = [row["key"] for row in wanted.select("key").limit(_SHORT_QUEUE + 1).collect()] if stored else []
     if stored and len(short) <= _SHORT_QUEUE:
         keyed = keyed.filter(F.col("place").isin([f"{key}#{salt}" for key in short for salt in range(SALTS)]))
     missing = wanted.join(keyed.select("key"), "key", "left_anti").select(
