@@ -9,6 +9,9 @@ from .exprs import let
 # The parameters of Punycode.
 _BASE, _LEAST, _MOST, _SKEW, _DAMP, _FIRST_BIAS = 36, 1, 26, 38, 700, 72
 _DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
+_FOUR_NUMBERS = r"\A(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?!\z)|\z)){4}\z"
+# A colon too many, or a gap where there are eight groups.
+_BROKEN_ADDRESS = r"\A:(?!:)|[^:]:\z|:::|::.*::|\A(?=.*::)(?:[^:]*[0-9a-f]+:*){8}"
 #: Longest name outside ASCII, in code points: as long as a name may be.
 _LONGEST = 253
 # Wide forms of ASCII letters, digits and signs become these, and other full stops ".".
@@ -23,101 +26,70 @@ _UNMAPPED = (
 )
 
 
-def _group_values(groups: Column) -> Column:
-    return F.transform(groups, lambda g: F.conv(g, 16, 10).cast("int"))
-
-
 def ipv6(inside: Column) -> Column:
     """Shortest text of an address without its brackets, NULL if it is none."""
+    # The last two groups may be written as four decimal numbers.
+    decimal = F.regexp_extract(inside, r"(?:\A|:)([0-9.]*\.[0-9.]*)\z", 1)
+
+    def hexadecimal(four: Column) -> Column:
+        number = F.split(four, r"\.")
+        high, low = (F.get(number, i).cast("int") * 256 + F.get(number, i + 1).cast("int") for i in (0, 2))
+        return F.when(four == "", inside).when(
+            F.rlike(four, F.lit(_FOUR_NUMBERS)),
+            F.concat(F.substr(inside, F.lit(1), F.length(inside) - F.length(four)), F.format_string("%x:%x", high, low)),
+        )
 
-    def with_groups(t: Column) -> Column:
-        # The last two groups may be written as four decimal numbers.
-        decimal = F.regexp_extract(t, r"(?:\A|:)([0-9]{1,3}(?:\.[0-9]{1,3}){3})\z", 1)
-        numbers = F.transform(F.split(decimal, r"\."), lambda n: n.try_cast("int"))
+    def filled(t: Column) -> Column:
+        zeros = F.repeat(F.lit("0:"), 8 - F.regexp_count(t, F.lit("[0-9a-f]+")))
+        whole = F.btrim(F.replace(t, F.lit("::"), F.concat(F.lit(":"), zeros)), F.lit(":"))
+        return F.when(~F.rlike(t, F.lit(_BROKEN_ADDRESS)), F.regexp_replace(whole, r"\b0+(?=[0-9a-f])", ""))
 
-        def hexadecimal(n: Column) -> Column:
-            pair = [F.lower(F.hex(F.get(n, i) * 256 + F.get(n, i + 1))) for i in (0, 2)]
-            return F.when(
-                F.forall(n, lambda one: one <= 255) & ~F.rlike(decimal, F.lit(r"(?:\A|\.)0[0-9]")),
-                F.concat(F.substr(t, F.lit(1), F.length(t) - F.length(decimal)), pair[0], F.lit(":"), pair[1]),
-            )
+    def written(t: Column) -> Column:
+        # The longest run of zeros, the first of equal ones, becomes "::".
+        run = F.array_max(F.regexp_extract_all(t, F.lit(r"\b0(?::0)+\b"), F.lit(0)))
+        ends = F.split(F.concat(F.lit(":"), t, F.lit(":")), F.concat(F.lit(":"), run, F.lit(":")), 2)
+        short = F.concat(F.ltrim(F.get(ends, 0), F.lit(":")), F.lit("::"), F.rtrim(F.get(ends, 1), F.lit(":")))
+        return F.when(F.rlike(t, F.lit(r"\A(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\z")), F.coalesce(short, t))
 
-        return F.when(decimal == "", t).otherwise(let(numbers, hexadecimal))
-
-    def parts(t: Column) -> Column:
-        def some(text: Column) -> Column:
-            return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
-
-        gap = F.instr(t, "::")
-        left = F.when(gap > 0, F.substr(t, F.lit(1), gap - 1)).otherwise(t)
-        right = F.when(gap > 0, F.substr(t, gap + 2)).otherwise("")
-        return F.struct(some(left).alias("left"), some(right).alias("right"), (gap > 0).alias("gap"))
-
-    def filled(p: Column) -> Column:
-        count = F.size(p.left) + F.size(p.right)
-        groups = F.concat(p.left, p.right)
-        valid = F.forall(groups, lambda g: F.rlike(g, F.lit(r"\A[0-9a-f]{1,4}\z"))) & F.when(p.gap, count <= 7).otherwise(count == 8)
-        zeros = F.array_repeat(F.lit(0), F.greatest(8 - count, F.lit(0)))
-        return F.when(valid, F.concat(_group_values(p.left), zeros, _group_values(p.right)))
-
-    def written(values: Column) -> Column:
-        shape = F.array_join(F.transform(values, lambda v: F.when(v == 0, "0").otherwise("x")), "")
-        texts = F.transform(values, lambda v: F.lower(F.hex(v)))
-        out = F.array_join(texts, ":")
-        for length in range(2, 9):  # the longest run of zeros, the first of equal ones
-            start = F.instr(shape, "0" * length)
-            cut = F.concat(
-                F.array_join(F.slice(texts, F.lit(1), start - 1), ":"),
-                F.lit("::"),
-                F.array_join(F.slice(texts, start + length, F.lit(8)), ":"),
-            )
-            out = F.when(start > 0, cut).otherwise(out)
-        return out
+    return let(let(let(decimal, hexadecimal), filled), written)
 
-    return let(
-        let(let(with_groups(inside), parts), filled), lambda values: F.when(values.isNotNull(), written(values))
-    )
+
+def _div(a: Column, b: Column | int) -> Column:
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b).cast("bigint"))
 
 
 def _varint(delta: Column, bias: Column) -> Column:
-    """A delta as Punycode digits; seven are enough for any."""
+    """A delta as Punycode digits; eight are enough for any."""
 
     def step(state: Column, i: Column) -> Column:
-        threshold = F.least(F.greatest(i * _BASE - bias, F.lit(_LEAST)), F.lit(_MOST))
-
         def write(t: Column) -> Column:
-            last = state.q < t
-            digit = F.when(last, state.q).otherwise(t + (state.q - t) % (_BASE - t))
-            letter = F.substr(F.lit(_DIGITS), digit.cast("int") + 1, F.lit(1))
+            last, rest = state.q < t, state.q - t
+            digit = F.when(last, state.q).otherwise(t + rest % (_BASE - t))
             return F.struct(
-                F.when(last, state.q).otherwise(F.floor((state.q - t) / (_BASE - t))).cast("bigint").alias("q"),
-                (state.done | last).alias("done"),
-                F.when(state.done, state.out).otherwise(F.concat(state.out, letter)).alias("out"),
+                F.when(last, -1).otherwise(_div(rest, _BASE - t)).alias("q"),
+                F.when(state.q < 0, state.out)
+                .otherwise(F.concat(state.out, F.substr(F.lit(_DIGITS), digit.cast("int") + 1, F.lit(1))))
+                .alias("out"),
             )
 
-        return let(threshold, write)
+        return let(F.least(F.greatest(i * _BASE - bias, F.lit(_LEAST)), F.lit(_MOST)), write)
 
-    start = F.struct(delta.cast("bigint").alias("q"), F.lit(False).alias("done"), F.lit("").alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step, lambda state: state.out)
+    start = F.struct(delta.alias("q"), F.lit("").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step).out
 
 
 def _next_bias(delta: Column, points: Column, first: Column) -> Column:
     def step(state: Column, _: Column) -> Column:
-        high = state.delta > (_BASE - _LEAST) * _MOST // 2
+        high = state.d > (_BASE - _LEAST) * _MOST // 2
         return F.struct(
-            F.when(high, F.floor(state.delta / (_BASE - _LEAST))).otherwise(state.delta).cast("bigint").alias("delta"),
-            F.when(high, state.k + _BASE).otherwise(state.k).alias("k"),
+            F.when(high, _div(state.d, _BASE - _LEAST)).otherwise(state.d).alias("d"),
+            (state.k + F.when(high, _BASE).otherwise(0)).alias("k"),
         )
 
-    halved = F.floor(F.when(first, delta / _DAMP).otherwise(delta / 2)).cast("bigint")
-    return let(
-        halved,
-        lambda d: F.aggregate(
-            F.sequence(F.lit(1), F.lit(7)),
-            F.struct((d + F.floor(d / points)).cast("bigint").alias("delta"), F.lit(0).cast("bigint").alias("k")),
-            step,
-            lambda s: (s.k + F.floor((_BASE - _LEAST + 1) * s.delta / (s.delta + _SKEW))).cast("bigint"),
-        ),
+    halved = F.when(first, _div(delta, _DAMP)).otherwise(_div(delta, 2))
+    start = let(halved, lambda d: F.struct((d + _div(d, points)).alias("d"), F.lit(0).cast("bigint").alias("k")))
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(7)), start, step, lambda s: s.k + _div(s.d * (_BASE - _LEAST + 1), s.d + _SKEW)
     )
 
 
@@ -125,45 +97,35 @@ def punycode(label: Column) -> Column:
     """Punycode of a label: its ASCII characters, then where the others go, lowest first."""
 
     def encode(points: Column) -> Column:
-        basic = F.filter(points, lambda p: p.cp < 128)
+        basic = F.regexp_replace(label, r"[^\x00-\x7F]+", "")
         others = F.array_sort(F.filter(points, lambda p: p.cp >= 128))
 
         def step(state: Column, p: Column) -> Column:
             # How many characters that are there already stand before this one.
-            earlier = F.size(
-                F.filter(points, lambda q: (q.at < p.at) & ((q.cp < p.cp) | (q.cp == p.cp)))
-            ).cast("bigint")
+            earlier = F.size(F.filter(points, lambda q: (q.at < p.at) & (q.cp <= p.cp))).cast("bigint")
 
             def add(x: Column) -> Column:
                 return F.struct(
-                    p.cp.cast("bigint").alias("n"),
-                    (x.earlier + 1).alias("i"),
+                    p.cp.alias("n"),
+                    (x.i + 1).alias("i"),
                     (state.h + 1).alias("h"),
-                    _next_bias(x.delta, state.h + 1, state.first).alias("bias"),
-                    F.lit(False).alias("first"),
+                    _next_bias(x.delta, state.h + 1, state.n == 128).alias("bias"),
                     F.concat(state.out, _varint(x.delta, state.bias)).alias("out"),
                 )
 
             delta = (p.cp - state.n) * (state.h + 1) + earlier - state.i
-            return let(F.struct(earlier.alias("earlier"), delta.cast("bigint").alias("delta")), add)
+            return let(F.struct(earlier.alias("i"), delta.alias("delta")), add)
 
         start = F.struct(
             F.lit(128).cast("bigint").alias("n"),
             F.lit(0).cast("bigint").alias("i"),
-            F.size(basic).cast("bigint").alias("h"),
+            F.length(basic).cast("bigint").alias("h"),
             F.lit(_FIRST_BIAS).cast("bigint").alias("bias"),
-            F.lit(True).alias("first"),
-            F.lit("").alias("out"),
-        )
-        plain = F.array_join(F.transform(basic, lambda p: p.ch), "")
-        return F.concat(
-            F.when(plain == "", "").otherwise(F.concat(plain, F.lit("-"))),
-            F.aggregate(others, start, step, lambda state: state.out),
+            F.when(basic == "", "").otherwise(F.concat(basic, F.lit("-"))).alias("out"),
         )
+        return F.aggregate(others, start, step).out
 
-    letters = F.transform(
-        F.split(label, ""), lambda ch, i: F.struct(F.ascii(ch).alias("cp"), i.alias("at"), ch.alias("ch"))
-    )
+    letters = F.transform(F.split(label, ""), lambda ch, i: F.struct(F.ascii(ch).cast("bigint").alias("cp"), i.alias("at")))
     return let(letters, encode)
 
 
