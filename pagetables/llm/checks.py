@@ -65,23 +65,34 @@ CHECKS: dict[str, str] = {
         WITH templates AS (
             SELECT license, {_LICENSE_WORDS} AS w FROM (VALUES {_TEMPLATE_ROWS}) AS v(license, text)
         ), wanted AS (
-            SELECT DISTINCT license, len(w) AS length, g FROM ({_shingles("templates", "license, w")})
+            SELECT license, len(w) AS length, g, min(i) - 1 AS place FROM ({_shingles("templates", "license, w")}) GROUP BY ALL
         ), sizes AS (
             SELECT license, count(*) AS size FROM wanted GROUP BY license
         ), d AS (
             SELECT row_number() OVER () AS rid, doc_id, {_LICENSE_WORDS} AS w FROM documents
         ), hits AS (
-            SELECT rid, license, length, i, g FROM ({_shingles("d", "rid")}) JOIN wanted USING (g)
+            SELECT rid, license, length, i, g, place FROM ({_shingles("d", "rid")}) JOIN wanted USING (g)
+        ), stretches AS (
+            SELECT a.rid, a.license, a.length, a.place, a.i AS first, max(b.i) + {SHINGLE} AS stop, count(DISTINCT b.g) AS n
+            FROM hits a JOIN hits b ON a.rid = b.rid AND a.license = b.license AND b.i BETWEEN a.i AND a.i + a.length - 1
+            GROUP BY ALL
         ), found AS (
-            SELECT DISTINCT rid, license FROM (
-                SELECT a.rid, a.license, a.i, count(DISTINCT b.g) AS n
-                FROM hits a JOIN hits b ON a.rid = b.rid AND a.license = b.license AND b.i BETWEEN a.i AND a.i + a.length - 1
-                GROUP BY ALL) JOIN sizes USING (license)
-            WHERE n >= {CONTAINED} * size
+            SELECT *, n / size AS share FROM stretches JOIN sizes USING (license) WHERE n >= {CONTAINED} * size
+        ), early AS (
+            SELECT * FROM found WHERE place <= greatest(1, length - {SHINGLE} + 1) - {CONTAINED} * size + 0.000001
+        ), unbeaten AS (
+            SELECT DISTINCT rid, license FROM early AS f WHERE NOT EXISTS (
+                SELECT 1 FROM early AS o WHERE o.rid = f.rid AND o.license <> f.license
+                AND 2 * (least(o.stop, f.stop) - greatest(o.first, f.first)) > least(o.stop - o.first, f.stop - f.first) AND (o.share > f.share
+                     OR o.share = f.share AND (o.size > f.size OR o.size = f.size AND o.license < f.license)))
         ), named AS (
-            SELECT rid, count(*) AS n, string_agg(license, ',' ORDER BY license) AS names FROM found GROUP BY rid
+            SELECT rid, count(*) AS n, string_agg(license, ',' ORDER BY license) AS names
+            FROM (SELECT DISTINCT rid, license FROM found) GROUP BY rid
+        ), bests AS (
+            SELECT rid, string_agg(license, ',' ORDER BY license) AS best FROM unbeaten GROUP BY rid
         )
-        SELECT doc_id, coalesce(n, 0) AS n_licenses, coalesce(names, '') AS licenses FROM d LEFT JOIN named USING (rid)
+        SELECT doc_id, coalesce(n, 0) AS n_licenses, coalesce(names, '') AS licenses, coalesce(best, '') AS best
+        FROM d LEFT JOIN named USING (rid) LEFT JOIN bests USING (rid)
     """,
     "op13_prefix_trie": r"""
         WITH said AS (
