@@ -4,9 +4,13 @@ A sketch counts the values of a measure in buckets that grow by ``GROWTH``; sket
 adding counts, so they are built with partial aggregation and a hot source costs no more
 than its buckets.  Quantiles read from it are within one bucket of the exact ones.  The
 fences of a group are its quartiles and three times its spread, which is the distance of the
-quartiles or that of the median from the quantile ``TAIL`` beyond it; a small floor takes
-the place of a spread near zero.  A document outside the fences, or failing the base rule,
-is not kept.
+quartiles or that of the median from the quantile ``TAIL`` beyond it.
+
+Most groups have no symbols or repeats in most documents, so these distances are zero.  A
+share can't be told apart finer than by one occurrence in a document, so the spread is at
+least one occurrence in a small document of the group: its sizes, in words and lines, have
+sketches too, and their quantile ``TAIL`` is such a size.  A document outside the fences, or
+failing the base rule, is not kept.
 """
 
 from __future__ import annotations
@@ -28,13 +32,14 @@ GROWTH = 1.02
 REACH = 3.0
 #: Share of the documents beyond the outer quantile, on each side.
 TAIL = 0.15
-#: Least distance of the lower and upper fence from the quartiles, by measure: a number and a
-#: multiple of the group's median; none: no fence.
-FLOOR: dict[str, tuple[tuple[float, float] | None, tuple[float, float] | None]] = {
-    "word_length": ((0.0, 0.4), (0.0, 1.0)),
-    "symbol_share": (None, (0.1, 0.0)),
-    "dup_line_share": (None, (0.2, 0.0)),
-    "repeat_share": (None, (0.2, 0.0)),
+#: Least distance of the word length's lower and upper fence from the quartiles, in medians.
+WORD_LENGTH = (0.4, 1.0)
+#: The other measures have an upper fence: the size whose share they are, and of how much of it
+#: one occurrence takes (a repeat is two windows of three words).
+OCCURRENCE: dict[str, tuple[str, int]] = {
+    "symbol_share": ("words", 1),
+    "dup_line_share": ("lines", 1),
+    "repeat_share": ("words", 6),
 }
 #: The base rule.
 LEAST_WORDS = 50
@@ -104,8 +109,10 @@ def _shares() -> dict[str, Column]:
 
 def sketches(rows: DataFrame) -> DataFrame:
     """Counts by language, source, measure and bucket; the sum of two such tables is their merger."""
+    sizes = {"words": F.col("n_words").cast("double"), "lines": F.col("n_lines").cast("double")}
+    values = {**_shares(), **sizes}
     each = F.explode(
-        F.array(*(F.struct(F.lit(name).alias("measure"), value.alias("value")) for name, value in _shares().items()))
+        F.array(*(F.struct(F.lit(name).alias("measure"), value.alias("value")) for name, value in values.items()))
     )
     bucket = F.when(F.col("m.value") > 0, F.ceil(F.log(F.col("m.value")) / math.log(GROWTH)).cast("int"))
     return (
@@ -132,18 +139,27 @@ def fences(sketch: DataFrame) -> DataFrame:
         *(at(q).alias(name) for name, q in (("least", TAIL), ("low", 0.25), ("mid", 0.5), ("high", 0.75), ("most", 1 - TAIL)))
     )
     between = F.col("high") - F.col("low")
-    limits = []
-    for name, (below, above) in FLOOR.items():
-        mine = F.col("measure") == name
-        if below is not None:
-            spread = REACH * F.greatest(between, F.col("mid") - F.col("least"))
-            far = F.greatest(spread, F.lit(below[0]) + below[1] * F.col("mid"))
-            limits.append(F.max(F.when(mine, F.col("low") - far)).alias(f"{name}_from"))
-        if above is not None:
-            spread = REACH * F.greatest(between, F.col("most") - F.col("mid"))
-            far = F.greatest(spread, F.lit(above[0]) + above[1] * F.col("mid"))
-            limits.append(F.max(F.when(mine, F.col("high") + far)).alias(f"{name}_to"))
-    return quantiles.groupBy("lang", "source").agg(*limits)
+    below = F.greatest(REACH * F.greatest(between, F.col("mid") - F.col("least")), WORD_LENGTH[0] * F.col("mid"))
+    spread = F.greatest(between, F.col("most") - F.col("mid"))
+    of = lambda name, value: F.max(F.when(F.col("measure") == name, value))
+    groups = quantiles.groupBy("lang", "source").agg(
+        of("word_length", F.col("low") - below).alias("word_length_from"),
+        of("word_length", F.col("high") + F.greatest(REACH * spread, WORD_LENGTH[1] * F.col("mid"))).alias("word_length_to"),
+        *(of(size, F.col("least")).alias(f"small_{size}") for size in ("words", "lines")),
+        *(of(name, F.col("high")).alias(f"{name}_high") for name in OCCURRENCE),
+        *(of(name, spread).alias(f"{name}_spread") for name in OCCURRENCE),
+    )
+    return groups.select(
+        "lang",
+        "source",
+        "word_length_from",
+        "word_length_to",
+        *(
+            (F.col(f"{name}_high") + REACH * F.greatest(F.col(f"{name}_spread"), takes / F.col(f"small_{size}")))
+            .alias(f"{name}_to")
+            for name, (size, takes) in OCCURRENCE.items()
+        ),
+    )
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -159,12 +175,10 @@ def judged(docs: DataFrame) -> DataFrame:
         limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left"
     )
     shares, beyond = _shares(), []
-    for name, (below, above) in FLOOR.items():
-        out = F.lit(False)
-        if below is not None:
-            out = out | (shares[name] < F.col(f"{name}_from"))
-        if above is not None:
-            out = out | (shares[name] > F.col(f"{name}_to"))
+    for name in shares:
+        out = shares[name] > F.col(f"{name}_to")
+        if name == "word_length":
+            out = out | (shares[name] < F.col("word_length_from"))
         beyond.append(F.when(out, F.lit(name)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 100 * MOST_REPEATED * F.col("n_words"))
     outside = F.array_compact(F.array(*beyond))

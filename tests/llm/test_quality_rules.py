@@ -101,3 +101,40 @@ def test_fences_move_with_the_group_and_repeated_lines_are_rejected(spark):
 def test_awkward_rows(spark):
     assert len(judged(awkward(spark)).collect()) == 12
     assert judged(empty(spark)).collect() == []
+
+
+def quantile(values, q):
+    values = sorted(values)
+    return values[max(0, -(-len(values) * q // 1).__int__() - 1)]
+
+
+def test_fences_and_verdicts_equal_exact_quantiles(spark):
+    """Plain quartiles and sizes of each group give the fences within the sketch's precision, and the same verdicts."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(360):
+        lang, size = (("en", 400), ("de", 90), (None, 160))[i % 3]
+        text = prose(rng, size + rng.randrange(size))
+        if i % 40 == 7:
+            text += " $" * (2 + i // 12)
+        if i % 40 == 18:
+            text += "\n" + "\n".join(["a b"] * rng.randrange(2, 12))
+        rows.append((i, "\n".join(text.split(". ")), lang, "s", 1))
+    frame = spark.createDataFrame(rows, DOCS)
+    limit = {r["lang"]: r for r in fences(sketches(document_measures(frame))).collect()}
+    found = {r["doc_id"]: r for r in judged(frame).collect()}
+    checked = 0
+    for lang in ("en", "de", None):
+        mine = [(i, plain(t), sum(bool(x.split()) for x in t.split("\n"))) for i, t, g, *_ in rows if g == lang]
+        small = {"words": quantile([p[0] for _, p, _ in mine], 0.15), "lines": quantile([n for *_, n in mine], 0.15)}
+        for name, at, size, takes in (("symbol_share", 2, "words", 1), ("dup_line_share", 3, "lines", 1), ("repeat_share", 4, "words", 6)):
+            shares = {i: p[at] / (n if size == "lines" else p[0]) for i, p, n in mine}
+            low, mid, high, most = (quantile(shares.values(), q) for q in (0.25, 0.5, 0.75, 0.85))
+            to = high + 3 * max(high - low, most - mid, takes / small[size])
+            assert abs(limit[lang][f"{name}_to"] - to) < 0.08 * to
+            for i, share in shares.items():
+                if abs(share - to) > 0.08 * to:
+                    assert (name in found[i]["outside"]) == (share > to)
+                    checked += share > to
+    assert checked >= 5
+    assert limit["de"]["symbol_share_to"] > 2 * limit["en"]["symbol_share_to"]
