@@ -7,12 +7,17 @@ within the Hoeffding bound, as do those of their successors.  What remains is a
 automaton of the format.
 
 Labels are the base rules' own matches in the corpus, ``SAMPLE`` of each kind at most, and
-generated examples of public formats, so that an automaton exists without any match.
+generated examples of public formats, so that an automaton exists without any match.  One of
+these, *opaque*, has no fixed beginning: 20 to 48 random letters of both cases and digits, after
+a short word or none.  Its automaton finds credentials whose format nobody listed.
 
 Candidates are the parts, with a digit, of runs of token characters.  They begin at the
 run's beginning or after a sign and end before a sign or at the run's end.  Every automaton
 scores them: the mean log likelihood of a character in the format against that in running
-text, where the class of a character depends on the one before.  A candidate above ``MARGIN``
+text, where a character depends on the one before: half by how often the corpus has the two
+characters in a row, half by their classes, but for a share ``ANY`` that is any character.
+So words and names with digits are text, also where no document has their letters in a row.
+A candidate above ``MARGIN``
 is a span of that format.  Of those that overlap, the choice with the greatest sum of what
 they have above the margin is taken, in one pass over the run.  One inside a base span is
 left out; one that contains a base span, or reaches beyond it, is a span beside it.
@@ -53,6 +58,8 @@ EXAMPLES = 300
 ALPHA = 0.05
 #: Nats by which a character must be likelier in the format than in words.
 MARGIN = 0.5
+#: Share of the characters in running text that may be any: names with digits are text as well.
+ANY = 0.1
 #: Characters of a labelled match that are learnt from; a longer one has no end there.
 LONGEST = 256
 #: Characters of a candidate at least, and the signs at which one can begin and end.
@@ -76,11 +83,18 @@ def _public_formats() -> dict[str, list[str]]:
         "forge": ["gh" + rng.choice("pousr") + "_" + some(mixed, 36) for _ in range(EXAMPLES)],
         "chat": ["xox" + rng.choice("bap") + "-" + some(_DIGITS, 12) + "-" + some(mixed, 24) for _ in range(EXAMPLES)],
         "cloud": ["AIza" + some(mixed + "-_", 35) for _ in range(EXAMPLES)],
+        "opaque": [_opening(rng) + some(mixed, rng.randrange(20, 49)) for _ in range(EXAMPLES)],
         "pay": ["sk_live_" + some(mixed, 24) for _ in range(EXAMPLES)],
         "signed": ["eyJ" + some(mixed, 33) + ".eyJ" + some(mixed, 60) + "." + some(mixed + "-_", 43) for _ in range(EXAMPLES)],
     }
 
 
+def _opening(rng: random.Random) -> str:
+    """One or two short words, each with a sign after it, or nothing."""
+    words = ("".join(rng.choices(_LETTERS, k=rng.randrange(2, 7))) + rng.choice("_-") for _ in range(rng.randrange(3)))
+    return "".join(words)
+
+
 #: Fixed beginnings that stay letter by letter; any other character counts as its class.
 _LITERAL = ("AKIA", "gh", "xox", "AIza", "sk_live_", "eyJ")
 
@@ -103,17 +117,24 @@ def _classes(text: str) -> list[str]:
         elif c.isupper():
             out.append("Z")
         else:
-            out.append("_" if c not in "-." else c)
+            out.append("_" if c not in "-./" else c)
     return out
 
 
 #: How many characters each class stands for: a class's probability is shared among them.
-_SIZE = {"9": 10, "f": 6, "z": 20, "Z": 26, "_": 4}
-#: The same classes, then the two signs that stand alone, then all else, by byte.
-_CLASS_SIZE = np.array([10, 6, 20, 26, 4, 1, 1, 1])
-_CLASS_OF = np.full(256, 7, np.uint8)
-for _i, _some in enumerate((_DIGITS, "abcdef", "ghijklmnopqrstuvwxyz", _LETTERS.upper(), "_+/=", "-", ".")):
+_SIZE = {"9": 10, "f": 6, "z": 20, "Z": 26, "_": 3}
+#: The same classes, then the three signs that stand alone, then all else, by byte.
+_CLASS_SIZE = np.array([10, 6, 20, 26, 3, 1, 1, 1, 1])
+_OTHER = len(_CLASS_SIZE) - 1
+_CLASS_OF = np.full(256, _OTHER, np.uint8)
+for _i, _some in enumerate((_DIGITS, "abcdef", "ghijklmnopqrstuvwxyz", _LETTERS.upper(), "_+=", "-", ".", "/")):
     _CLASS_OF[[ord(_c) for _c in _some]] = _i
+#: Code of each byte: token characters from 1, all else 0; and the class of each code.
+_TOKEN = np.flatnonzero(_CLASS_OF < _OTHER)
+_CODES = len(_TOKEN) + 1
+_CODE_OF = np.zeros(256, np.int64)
+_CODE_OF[_TOKEN] = np.arange(1, _CODES)
+_CODE_CLASS = np.concatenate(([_OTHER], _CLASS_OF[_TOKEN])).astype(np.int64)
 
 
 @dataclass
@@ -241,7 +262,7 @@ class Automaton:
 @dataclass
 class SecretModel:
     automata: dict[str, Automaton]
-    #: Log probability of a character, by its class and the class before it.
+    #: Log probability of a character, by the code before it and its own.
     text: np.ndarray
     margin: float = MARGIN
 
@@ -252,8 +273,8 @@ class SecretModel:
         score, kind = max(((s, k) for s, k in scored if s is not None), default=(None, None))
         if score is None:
             return None
-        classes = _CLASS_OF[np.frombuffer(f" {candidate} ".encode(), np.uint8)]
-        plain = float(self.text[classes[:-1], classes[1:]].mean())
+        codes = _CODE_OF[np.frombuffer(f" {candidate} ".encode(), np.uint8)]
+        plain = float(self.text[codes[:-1], codes[1:]].mean())
         return (kind, score - plain) if score - plain > self.margin else None
 
     def parts(self, run: str) -> list[tuple[int, str, int]]:
@@ -265,10 +286,10 @@ class SecretModel:
         """
         n, kinds = len(run), list(self.automata)
         tables = [self.automata[k] for k in kinds]
-        classes = _CLASS_OF[np.frombuffer(run.encode(), np.uint8)]
-        first = (self.text[7, classes] + self.margin).tolist()
-        inner = [0.0, *(self.text[classes[:-1], classes[1:]] + self.margin).tolist()]
-        last = (self.text[classes, 7] + self.margin).tolist()
+        codes = _CODE_OF[np.frombuffer(run.encode(), np.uint8)]
+        first = (self.text[0, codes] + self.margin).tolist()
+        inner = [0.0, *(self.text[codes[:-1], codes[1:]] + self.margin).tolist()]
+        last = (self.text[codes, 0] + self.margin).tolist()
         read = _classes(run)
         best, back = [0.0] * (n + 1), [None] * (n + 1)
         #: Readings as (automaton, start, state, value, has a digit), by where they go on.
@@ -349,27 +370,39 @@ def all_spans(text: str, model: SecretModel) -> tuple[list[tuple[int, str, int]]
     return named, sorted(named + more, key=lambda s: (s[0], rank.get(s[1], len(KINDS)), s[1], s[2]))
 
 
+def _pairs(data: np.ndarray) -> np.ndarray:
+    """How often each two codes stand in a row."""
+    codes = _CODE_OF[data]
+    return np.bincount(codes[:-1] * _CODES + codes[1:], minlength=_CODES**2)
+
+
 def _text_model(pairs: np.ndarray) -> np.ndarray:
-    """Log probabilities from counts of neighbouring classes."""
-    share = (pairs + 1) / (pairs + 1).sum(axis=1, keepdims=True)
-    return np.log(share) - np.log(_CLASS_SIZE)
+    """Log probabilities from counts of neighbouring codes."""
+    by_class = np.zeros((len(_CLASS_SIZE), len(_CLASS_SIZE)))
+    np.add.at(by_class, (_CODE_CLASS[:, None], _CODE_CLASS[None, :]), pairs)
+    share = (by_class + 1) / (by_class + 1).sum(axis=1, keepdims=True) / _CLASS_SIZE
+    classes = share[_CODE_CLASS[:, None], _CODE_CLASS[None, :]]
+    seen = (pairs + classes) / (pairs.sum(axis=1, keepdims=True) + 1)
+    return np.log((1 - ANY) / 2 * (seen + classes) + ANY / _CODES)
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, margin: float = MARGIN) -> SecretModel:
     """Automata of all formats from the corpus's labelled matches and the public examples.
 
-    Neighbouring classes of characters are counted over all texts; of each kind's different matches those
+    Neighbouring characters are counted over all texts but for the labelled matches in them; of each kind's different matches those
     with the least hash are learnt from, ``sample`` at most.
     """
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros(64, np.int64)
+        pairs = np.zeros(_CODES**2, np.int64)
         for batch in batches:
-            classes = _CLASS_OF[utf8(batch["text"])[0]]
-            pairs += np.bincount(classes[:-1] * 8 + classes[1:], minlength=64)
+            pairs += _pairs(utf8(batch["text"])[0])
             out = []
             for text in batch["text"].to_pylist():
+                done = 0
                 for a, kind, b in base_spans(text or ""):
+                    pairs -= _pairs(np.frombuffer(text[max(a, done) : b].encode(), np.uint8))
+                    done = max(done, b)
                     value = _ASSIGN.match(text, a, b)[1] if kind == 0 else text[a:b]
                     out.append((KINDS[kind], value[: LONGEST + 1], 1))
             yield _labels(out)
@@ -381,11 +414,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE, margin: float = MARGIN) -> Secr
     for kind in KINDS:
         rows = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
         formats[kind] = [r["value"] for r in rows] + formats.get(kind, [])
-    pairs = np.zeros(64)
-    for r in found.where("kind = 'pair'").collect():  # 64 at most
+    pairs = np.zeros(_CODES**2)
+    for r in found.where("kind = 'pair'").collect():  # 4,761 at most
         pairs[int(r["value"])] = r["n"]
     automata = {k: Automaton(v) for k, v in formats.items() if v}
-    return SecretModel(automata, _text_model(pairs.reshape(8, 8)), margin)
+    return SecretModel(automata, _text_model(pairs.reshape(_CODES, _CODES)), margin)
 
 
 def _labels(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:

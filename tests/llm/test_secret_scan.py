@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from pagetables.llm.secret_scan import LONGEST, Automaton, all_spans, base_spans, find_secrets, learn, redact, redacted, symbols
+from pagetables.llm.secret_scan import _CODE_OF, LONGEST, Automaton, all_spans, base_spans, find_secrets, learn, redact, redacted, symbols
 from tests.llm.data import DOCS, awkward, empty, prose
 
 
@@ -86,6 +86,60 @@ def test_secrets_are_found_inside_runs(spark):
     assert [c for c in clean if model.parts(c)] == []
 
 
+def a_model(spark, rng):
+    texts = some_texts() + [prose(rng, 300) for _ in range(200)]
+    return learn(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS))
+
+
+def test_formats_that_nobody_listed(spark):
+    rng = random.Random(12)
+    model = a_model(spark, rng)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    mixed = lambda n: "".join(rng.choices(letters, k=n))
+    for make in (lambda: "sk_test_" + mixed(24), lambda: "npm_" + mixed(36), lambda: "glpat-" + mixed(20), lambda: mixed(32)):
+        texts = [(secret, f"we use {secret} here") for secret in (make() for _ in range(100))]
+        found = sum(secret[8:18] not in redacted(text, all_spans(text, model)[1]) for secret, text in texts)
+        assert found >= 80
+    names = "Utf8StringBuilderFactory2 550e8400-e29b-41d4-a716-446655440000 usr/lib/x86_64-linux-gnu/libc.so.6 IMG_20240612_183355.jpeg"
+    names += " www.example.com/articles/2024/06/how-to-cook-rice-5-ways MacBookPro16-inch2021 ISBN978-3-16-148410-0 iPhone15ProMax256GB"
+    assert [n for n in names.split() if model.parts(n)] == []
+
+
+def test_parts_have_the_greatest_sum(spark):
+    rng = random.Random(13)
+    model = a_model(spark, rng)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    mixed = lambda n: "".join(rng.choices(letters, k=n))
+
+    def worth(part, kind):
+        """What the part has above text and margin."""
+        codes = [0, *(int(_CODE_OF[ord(c)]) for c in part), 0]
+        text = sum(model.text[a, b] + model.margin for a, b in zip(codes, codes[1:]))
+        score = model.automata[kind].score(symbols(part))
+        return None if score is None else score * (len(part) + 1) - text
+
+    hit = 0
+    for _ in range(60):
+        words = (rng.choice((lambda: "ghp_" + mixed(36), lambda: mixed(rng.randrange(4, 30)), lambda: "word7", lambda: "AIza" + mixed(35)))() for _ in range(rng.randrange(1, 5)))
+        run = "".join(w + rng.choice("=/.-") for w in words)[: rng.randrange(16, 130)]
+        best = [0.0] * (len(run) + 1)
+        for end in range(1, len(run) + 1):
+            best[end] = best[end - 1]
+            for start in range(end - 15):
+                part = run[start:end]
+                if (start and run[start - 1] not in "=/.-") or (end < len(run) and run[end] not in "=/.-") or not re.search("[0-9]", part):
+                    continue
+                for kind in model.automata:
+                    value = worth(part, kind)
+                    if value is not None and value > 0:
+                        best[end] = max(best[end], best[start] + value)
+        parts = model.parts(run)
+        assert sum(worth(run[a:b], kind) for a, kind, b in parts) == pytest.approx(best[-1])
+        assert all(x[2] <= y[0] for x, y in zip(parts, parts[1:]))
+        hit += len(parts)
+    assert hit > 40
+
+
 def test_a_long_label_teaches_no_end():
     long = Automaton(["a1" * LONGEST] * 50)
     whole = Automaton(["a1" * (LONGEST // 2)] * 50)
