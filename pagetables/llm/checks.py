@@ -8,6 +8,7 @@ seeded hash; 11 and 12, which run tokenizers; and the pipeline.  Their tests com
 from __future__ import annotations
 
 from pagetables.llm.license_scan import CONTAINED, SHINGLE, TEMPLATES
+from pagetables.llm.warc import FIRST_SECOND, SECONDS
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORDS = (
@@ -24,18 +25,28 @@ def _shingles(source: str, keys: str) -> str:
 
 
 CHECKS: dict[str, str] = {
-    "op5_warc_histories": """
+    "op5_warc_histories": rf"""
         WITH p AS (
-            SELECT page_id, coalesce(html, '') AS payload FROM pages
+            SELECT page_id, coalesce(html, '') AS payload,
+                   regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '') AS host,
+                   regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
+                   regexp_extract(url, '^[^?#]*(\?[^#]+)', 1) AS query
+            FROM pages
         ), d AS (
             SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
-                   sha256(payload) AS payload_digest FROM p
+                   sha256(payload) AS payload_digest,
+                   array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || path || query AS url_key,
+                   strftime(epoch_ms(1000 * ({FIRST_SECOND} + page_id % {SECONDS})), '%Y-%m-%dT%H:%M:%SZ') AS captured_at
+            FROM p
         ), f AS (
             SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d
         )
         SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+               CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to,
+               url_key, captured_at,
+               row_number() OVER (ORDER BY url_key || ' ' || captured_at || ' ' || lpad(CAST(page_id AS VARCHAR), 20, '0')) - 1
+                   AS position
         FROM f
     """,
     "op6_decontamination": f"""

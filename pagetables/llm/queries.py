@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetables.llm.checks import CHECKS
-from pagetables.llm.common import load
+from pagetables.llm.common import load, settled
 from pagetables.llm.decontaminate import contamination
 from pagetables.llm.html_wrappers import page_texts
 from pagetables.llm.license_scan import license_scan
@@ -21,7 +21,7 @@ from pagetables.llm.simhash_groups import near_groups
 from pagetables.llm.suffix_dedup import remove_repeats
 from pagetables.llm.token_alignment import alignment
 from pagetables.llm.token_counts import token_counts
-from pagetables.llm.warc import capture_histories
+from pagetables.llm.warc import capture_histories, in_order
 
 __all__ = ["CHECKS", "QUERIES"]
 
@@ -45,9 +45,9 @@ def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture_histories(load(spark, sf_dir, "pages")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
-    )
+    result = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+    found = capture_histories(load(spark, sf_dir, "pages")).select(*result, "range_no", "place")
+    return in_order(settled(found, "captures")).select(*result, "position")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

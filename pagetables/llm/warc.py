@@ -21,6 +21,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagetables.config import work_folder
@@ -263,3 +264,16 @@ def capture_histories(pages: DataFrame, range_rows: int = RANGE_ROWS) -> DataFra
     keys = [sort_key(url_key(r["url"]), captured_at(r["page_id"]), r["page_id"]) for r in picked]
     bounds = _bounds(keys, ranges)
     return read_captures(spark, path, bounds).drop("sort_key")
+
+
+def in_order(captures: DataFrame) -> DataFrame:
+    """The captures with ``position``: the place of each among all of them, from 0.
+
+    Ranges follow one another, so a range's places begin after the rows of those before it.
+    The captures are read twice.  No rows give no rows.
+    """
+    ranges = captures.groupBy("range_no").agg(F.count("*").alias("rows"))
+    # One row for each range of RANGE_ROWS pages.
+    before = F.sum("rows").over(W.orderBy("range_no").rowsBetween(W.unboundedPreceding, -1))
+    begin = ranges.select("range_no", F.coalesce(before, F.lit(0)).alias("_begin"))
+    return captures.join(begin, "range_no").withColumn("position", F.col("_begin") + F.col("place")).drop("_begin")

@@ -3,7 +3,7 @@ import hashlib
 import random
 from pathlib import Path
 
-from pagetables.llm.warc import LoserTree, capture_histories, parse_archive, sort_key, url_key, write_archives
+from pagetables.llm.warc import LoserTree, capture_histories, in_order, parse_archive, sort_key, url_key, write_archives
 
 PAGES = "page_id bigint, url string, html string, kind string, offset string"
 
@@ -42,8 +42,18 @@ def test_round_trip(spark):
     assert keys == sorted(keys) and len({r["range_no"] for r in found}) > 3
 
 
+def test_positions_follow_the_keys(spark):
+    rows = some_pages()
+    found = in_order(capture_histories(spark.createDataFrame(rows, PAGES), range_rows=20)).collect()
+    assert sorted(r["position"] for r in found) == list(range(len(rows)))
+    ordered = sorted(found, key=lambda r: r["position"])
+    keys = [sort_key(r["url_key"], r["captured_at"], r["page_id"]) for r in ordered]
+    assert keys == sorted(keys) and len({r["range_no"] for r in found}) > 3
+
+
 def test_empty_table(spark):
     assert capture_histories(spark.createDataFrame([], PAGES)).collect() == []
+    assert in_order(capture_histories(spark.createDataFrame([], PAGES))).collect() == []
 
 
 def test_archives_are_plain_warc(spark, tmp_path):
