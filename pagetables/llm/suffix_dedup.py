@@ -381,7 +381,8 @@ def remove_repeats(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     Other columns are ignored.  ``part_bytes`` sizes the parts, not the results.
     """
     docs = pick(docs, doc_id="bigint", text="string")
-    parts = parts_for(docs, "text", part_bytes)
+    # Part numbers have 24 bits: beyond that many parts (134 TB) the parts grow instead.
+    parts = min(parts_for(docs, "text", part_bytes), _NOWHERE)
     docs = docs.withColumn("part", part_of("doc_id", parts))
     by_part = docs.groupBy("part")
     keys = docs.select("part", "text").mapInArrow(_find_keys(parts), ROWS)
