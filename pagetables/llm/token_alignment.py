@@ -1,7 +1,8 @@
 """Alignment of two tokenizers by the bytes of their tokens, with corpus-wide pair counts.
 
-One pass encodes every text with both tokenizers and keeps the ids.  Where tokens of both
-end at the same byte they are linked.  The distinct pairs of linked ids get a minimal
+One pass encodes every text with both tokenizers and keeps the ids.  Texts are cut where no
+token of either reaches over (`cuts_at_spaces`); different stretches are encoded once and
+remembered for a while.  Where tokens of both end at the same byte they are linked.  The distinct pairs of linked ids get a minimal
 perfect hash for each shard of the pairs; partial counts become dense vectors indexed by it,
 which are summed in a tree.  A second pass aligns the documents again and looks up the
 counts of their links; the key in a slot is compared, so no pair takes another one's count.
@@ -16,11 +17,14 @@ have no tokens: zeros and an empty digest.  Rows are kept as they are, repeated
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import os
+import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,10 @@ from pagetables.llm.common import pick, settled
 from pagetables.llm.perfect_hash import PerfectHash, verified
 from pagetables.llm.token_counts import REMEMBERED, PreTokens, byte_letters, newer_characters
 
+#: A space after a sign that is no white space; the last character of a text is not cut off.
+CUT = re.compile(r" (?<=\S )(?!\Z)")
+#: Characters of remembered stretches; the memory is emptied beyond this.
+LETTERS = 16 * REMEMBERED
 #: Characters of texts, and tokens of documents, that a task handles together.
 SLAB, TOKENS = 1 << 20, 1 << 20
 #: Distinct pairs that a task gathers before it hands on their counts.
@@ -47,33 +55,161 @@ DIGEST = (
 INDEX = "shard bigint, sizes array<bigint>, bits binary, keys binary"
 
 
+#: The ids of some texts in one line, and how many each text has.
+Ids = tuple[np.ndarray, np.ndarray]
+
+
+@dataclass
+class Stretches:
+    """Stretches of texts with the ids of A and B, each in one line.
+
+    The ids of stretch i begin at entry i of ``starts``; one more entry is the end.  ``whole``
+    tells whether both tokenizers give a stretch back.  ``words`` are pre-tokens of A.
+    """
+
+    ids: list[np.ndarray]
+    starts: list[np.ndarray]
+    whole: np.ndarray
+    places: dict[str, int]
+    words: dict[str, bytes]
+    letters: int = 0
+
+    @classmethod
+    def none(cls, both: Tokenizers) -> Stretches:
+        ids, starts = [np.zeros(0, kind) for kind in both.types], [np.zeros(1, np.int64) for _ in both.types]
+        return cls(ids, starts, np.zeros(0, bool), {}, {})
+
+    def full(self) -> bool:
+        return max(len(self.places), len(self.words)) > REMEMBERED or self.letters > LETTERS
+
+    def add(self, new: list[str], found: tuple[Ids, Ids], whole: np.ndarray) -> None:
+        for side, (ids, counts) in enumerate(found):
+            self.ids[side] = np.concatenate((self.ids[side], ids))
+            self.starts[side] = np.concatenate((self.starts[side], np.cumsum(counts) + self.starts[side][-1]))
+        self.whole = np.concatenate((self.whole, whole))
+        self.places.update(zip(new, range(len(self.places), len(self.whole)), strict=True))
+        self.letters += sum(map(len, new))
+
+    def joined(self, side: int, at: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The ids of texts as bytes; a text is the next ``counts`` of the stretches ``at``."""
+        begin, sizes = self.starts[side][at], self.starts[side][at + 1] - self.starts[side][at]
+        ends = np.cumsum(sizes)
+        ids = self.ids[side][np.arange(ends[-1]) + np.repeat(begin - ends + sizes, sizes)]
+        return _sliced(ids.tobytes(), ends[np.cumsum(counts) - 1] * ids.itemsize)
+
+
+def _sliced(line: bytes, ends: np.ndarray) -> list[bytes]:
+    cuts = [0, *ends.tolist()]
+    return [line[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 @dataclass(frozen=True)
 class Tokenizers:
-    """Both tokenizers with the bytes of every id: A byte-level, B of pieces."""
+    """Both tokenizers with the bytes of every id: A byte-level, B of pieces.
+
+    ``words`` finds the pre-tokens of A; it is None where texts cannot be cut.
+    """
 
     a: object
     b: object
-    words: PreTokens
-    known: dict[str, bytes]
-    bytes_a: list[bytes]
-    bytes_b: list[bytes]
+    words: PreTokens | None
+    entries: tuple[list[bytes], list[bytes]]
+    lengths: tuple[np.ndarray, np.ndarray]
 
-    def encode_a(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts as bytes: every pre-token is encoded once and remembered."""
-        words = [self.words.pattern(text).findall(text) for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new, kind = list(set().union(*words).difference(self.known)), id_type(len(self.bytes_a))
-        for word, one in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(one.ids, kind).tobytes()
-        return [b"".join(map(self.known.__getitem__, some)) for some in words]
+    @property
+    def types(self) -> tuple[str, str]:
+        return tuple(id_type(len(some)) for some in self.entries)
+
+    def _line(self, side: int, found: list[list[int]]) -> Ids:
+        ids = np.fromiter(chain.from_iterable(found), self.types[side])
+        return ids, np.fromiter(map(len, found), np.int64, len(found))
 
-    def lengths(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.array([len(one) for one in some], np.int64) for some in (self.bytes_a, self.bytes_b))
+    def _of_words(self, texts: list[str], known: dict[str, bytes]) -> Ids:
+        """Ids of A: the pre-tokens of all texts go through its model once and are remembered."""
+        words = [self.words.pattern(text).findall(text) for text in texts]
+        model, letters, kind = self.a.model, byte_letters(), np.dtype(self.types[0])
+        for word in set().union(*words).difference(known):
+            shown = word.encode().decode("latin-1").translate(letters)
+            known[word] = np.array([token.id for token in model.tokenize(shown)], kind).tobytes()
+        blobs = [b"".join(map(known.__getitem__, some)) for some in words]
+        counts = np.fromiter(map(len, blobs), np.int64, len(blobs)) // kind.itemsize
+        return np.frombuffer(b"".join(blobs), kind), counts
+
+    def found(self, texts: list[str], known: dict[str, bytes] | None) -> tuple[Ids, Ids]:
+        """Ids by A with a space before each text, and by B, which adds the space.
+
+        Without ``known``, A takes every text in one.
+        """
+        spaced = [" " + text for text in texts]
+        if known is None:
+            a = self._line(0, [one.ids for one in self.a.encode_batch_fast(spaced, add_special_tokens=False)])
+        else:
+            a = self._of_words(spaced, known)
+        return a, self._line(1, self.b.encode(texts, num_threads=1))
+
+    def given_back(self, texts: list[str], found: tuple[Ids, Ids]) -> np.ndarray:
+        """Whether the tokens of both are a space and the text, byte for byte."""
+        wanted, whole = [b" " + text.encode() for text in texts], np.ones(len(texts), bool)
+        for (ids, counts), entries, lengths in zip(found, self.entries, self.lengths, strict=True):
+            ends = np.concatenate(([0], np.cumsum(lengths[ids])))[np.cumsum(counts)]
+            made = _sliced(b"".join(map(entries.__getitem__, ids.tolist())), ends)
+            whole &= np.fromiter(map(bytes.__eq__, made, wanted), bool, len(wanted))
+        return whole
+
+    def encode(self, texts: list[str], known: Stretches) -> tuple[list[bytes], list[bytes]]:
+        """Ids of texts as bytes, none where a text is empty or not given back.
+
+        The tokens of a text whose stretches are all given back are those of its stretches.
+        Any other text is encoded again without cuts.
+        """
+        if not texts:
+            return [], []
+        parts = [CUT.split(text) if self.words else [text] for text in texts]
+        new = list(set().union(*parts).difference(known.places))
+        found = self.found(new, known.words if self.words else None)
+        known.add(new, found, self.given_back(new, found))
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = np.fromiter(map(known.places.__getitem__, chain.from_iterable(parts)), np.int64, counts.sum())
+        a, b = known.joined(0, at, counts), known.joined(1, at, counts)
+        whole = np.logical_and.reduceat(known.whole[at], np.cumsum(counts) - counts)
+        for row in np.flatnonzero(~whole).tolist():
+            a[row] = b[row] = b""
+            if counts[row] > 1:
+                one = self.found([texts[row]], None)
+                if self.given_back([texts[row]], one)[0]:
+                    a[row], b[row] = (ids.tobytes() for ids, _ in one)
+        return a, b
+
+
+def cuts_at_spaces(json_file: bytes, model_file: bytes) -> bool:
+    """Whether texts may be cut (`CUT`) without changing a token; the files are read on the driver.
+
+    A then cuts there itself: only a pre-token of white space alone has white space that is
+    not its beginning.  B has no piece with a space after another sign, so no merge
+    reaches over; it takes texts as they are and marks spaces.
+    """
+    from sentencepiece import sentencepiece_model_pb2
+
+    a, b = json.loads(json_file), sentencepiece_model_pb2.ModelProto.FromString(model_file)
+    cut, rules = a.get("pre_tokenizer") or {}, b.normalizer_spec
+    return (
+        not a.get("normalizer")
+        and cut.get("type") == "ByteLevel"
+        and not cut.get("add_prefix_space")
+        and cut.get("use_regex", True)
+        and a["model"].get("type") == "BPE"
+        and not a["model"].get("dropout")
+        and all(token["special"] for token in a.get("added_tokens") or [])
+        and b.trainer_spec.model_type == b.trainer_spec.BPE
+        and not rules.precompiled_charsmap
+        and rules.escape_whitespaces
+        and not any("▁" in one.piece.lstrip("▁") for one in b.pieces)
+    )
 
 
 @lru_cache(1)
-def open_tokenizers(json_file: bytes, model_file: bytes, newer: str) -> Tokenizers:
+def open_tokenizers(json_file: bytes, model_file: bytes, newer: str | None) -> Tokenizers:
+    """``newer`` is that of `newer_characters`; None where texts cannot be cut."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import sentencepiece
     from tokenizers import Tokenizer
@@ -89,7 +225,8 @@ def open_tokenizers(json_file: bytes, model_file: bytes, newer: str) -> Tokenize
         bytes([int(piece[3:5], 16)]) if b.is_byte(at) else piece.replace("▁", " ").encode()
         for at, piece in enumerate(pieces)
     ]
-    return Tokenizers(a, b, PreTokens(newer), {}, bytes_a, bytes_b)
+    lengths = tuple(np.array([len(one) for one in some], np.int64) for some in (bytes_a, bytes_b))
+    return Tokenizers(a, b, None if newer is None else PreTokens(newer), (bytes_a, bytes_b), lengths)
 
 
 def id_type(size: int) -> str:
@@ -113,22 +250,15 @@ def token_table(docs: DataFrame, files) -> DataFrame:
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = open_tokenizers(*files.value)
-        type_a, type_b = id_type(len(both.bytes_a)), id_type(len(both.bytes_b))
+        known = Stretches.none(both)
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = [text or "" for text in batch.column("text").to_pylist()]
             for part in _slabs(np.array([len(text) for text in texts], np.int64), SLAB):
-                some, a, b = texts[part], [], []
-                found = both.encode_a([" " + text for text in some]), both.b.encode(some, num_threads=1)
-                for text, blob, ids in zip(some, *found, strict=True):
-                    whole = (" " + text).encode()
-                    kept = (
-                        text
-                        and b"".join(map(both.bytes_b.__getitem__, ids)) == whole
-                        and b"".join(map(both.bytes_a.__getitem__, np.frombuffer(blob, type_a).tolist())) == whole
-                    )
-                    a.append(blob if kept else b"")
-                    b.append(np.array(ids, type_b).tobytes() if kept else b"")
+                some = texts[part]
+                if known.full():
+                    known = Stretches.none(both)
+                a, b = both.encode(some, known)
                 ids = batch.column("doc_id").slice(part.start, len(some))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(rid, rid + len(some))), ids, pa.array(a, pa.binary()), pa.array(b, pa.binary())],
@@ -161,8 +291,9 @@ class Links:
             for blobs, kind in ((blobs_a, type_a), (blobs_b, type_b))
         )
         ends_a, ends_b = np.cumsum(lengths[0][a]), np.cumsum(lengths[1][b])
-        _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        return cls(a, b, n_a, n_b, at_a, at_b)
+        near = np.searchsorted(ends_b, ends_a)  # both lines have the same bytes, so none is beyond the end
+        at_a = np.flatnonzero(ends_b[near] == ends_a)
+        return cls(a, b, n_a, n_b, at_a, near[at_a])
 
     @property
     def keys(self) -> np.ndarray:
@@ -173,28 +304,27 @@ class Links:
         """The document of each link."""
         return np.searchsorted(np.cumsum(self.n_a), self.at_a, side="right")
 
-    def digests(self, words: list[str]) -> list[str]:
-        """SHA-256 of each document's groups; ``words`` has what an id and its separator are."""
-        group_a = np.searchsorted(self.at_a, np.arange(len(self.a)))
-        group_b = np.searchsorted(self.at_b, np.arange(len(self.b)))
+    def digests(self, words: tuple[np.ndarray, np.ndarray]) -> list[str]:
+        """SHA-256 of each document's groups; ``words`` is that of `separators`."""
+        last_a, last_b = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
+        last_a[self.at_a] = last_b[self.at_b] = 1
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
         codes = np.empty(len(self.a) + len(self.b), np.int64)
         ended_b = np.concatenate(([0], self.at_b + 1))
-        last_a, last_b = self.at_a[group_a] == np.arange(len(self.a)), self.at_b[group_b] == np.arange(len(self.b))
         codes[np.arange(len(self.a)) + ended_b[group_a]] = 2 * self.a.astype(np.int64) + last_a
         codes[np.arange(len(self.b)) + self.at_a[group_b] + 1] = -1 - (2 * self.b.astype(np.int64) + last_b)
-        written = list(map(words.__getitem__, codes.tolist()))
-        found, begin = [], 0
-        for end in np.cumsum(self.n_a + self.n_b).tolist():
-            groups = "".join(written[begin:end])[:-1]
-            found.append(hashlib.sha256(groups.encode()).hexdigest() if end > begin else "")
-            begin = end
-        return found
+        signs, sizes = words
+        padded = signs[codes].view(np.uint8)
+        written = padded[padded > 0].tobytes()
+        ends = np.concatenate(([0], np.cumsum(sizes[codes])))[np.cumsum(self.n_a + self.n_b)]
+        return [hashlib.sha256(groups[:-1]).hexdigest() if groups else "" for groups in _sliced(written, ends)]
 
 
-def separators(size_a: int, size_b: int) -> list[str]:
-    """Entry 2 i + last for id i of A, and from the end backwards the same for B."""
+def separators(size_a: int, size_b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entry 2 i + last for id i of A, and from the end backwards the same for B; their lengths."""
     first = [f"{at}{sign}" for at in range(size_a) for sign in ",|"]
-    return first + [f"{at}{sign}" for at in range(size_b) for sign in ",;"][::-1]
+    every = np.array(first + [f"{at}{sign}" for at in range(size_b) for sign in ",;"][::-1], "S")
+    return every, np.char.str_len(every)
 
 
 def _batches(batches: Iterable[pa.RecordBatch], lengths) -> Iterator[tuple[pa.RecordBatch, Links]]:
@@ -208,7 +338,7 @@ def partial_counts(tokens: DataFrame, files) -> DataFrame:
     """(task, key, n): links of each id pair, counted within a task first."""
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = open_tokenizers(*files.value).lengths()
+        lengths = open_tokenizers(*files.value).lengths
         task = TaskContext.get().partitionId()
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -336,7 +466,7 @@ def _digested(tokens: DataFrame, files, index, best, parts: int) -> DataFrame:
 
     def digested(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = open_tokenizers(*files.value)
-        lengths, words = both.lengths(), separators(len(both.bytes_a), len(both.bytes_b))
+        lengths, words = both.lengths, separators(*map(len, both.entries))
         shards = {row["shard"]: Shard.of(row) for row in index.value} if index else {}
         for batch, links in _batches(batches, lengths):
             rows, n = links.rows, len(links.n_a)
@@ -371,7 +501,7 @@ def _looked_up(tokens: DataFrame, files, index: DataFrame, best, parts: int, sal
     """(rid, n_best, count_sum) with the index left in its shards."""
 
     def emitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = open_tokenizers(*files.value).lengths()
+        lengths = open_tokenizers(*files.value).lengths
         for batch, links in _batches(batches, lengths):
             rows, keys = links.rows, links.keys
             order = np.lexsort((keys, rows))
@@ -413,13 +543,14 @@ def alignment(docs: DataFrame, json_path: str, model_path: str, broadcast_pairs:
     """
     spark = docs.sparkSession
     with open(json_path, "rb") as json_file, open(model_path, "rb") as model_file:
-        content = json_file.read(), model_file.read(), newer_characters()
+        content = json_file.read(), model_file.read()
+    content = *content, newer_characters() if cuts_at_spaces(*content) else None
     both = open_tokenizers(*content)
     files = spark.sparkContext.broadcast(content)
     tokens = settled(token_table(docs, files), "tokens")
     index, pairs, links = pair_index(tokens, files)
     parts = max(1, math.ceil(pairs / SHARD)) | 1
-    highest = np.zeros(len(both.bytes_b), np.int64)
+    highest = np.zeros(len(both.entries[1]), np.int64)
     for row in pair_table(index).groupBy("b_id").agg(F.max("n").alias("n")).collect():
         highest[row["b_id"]] = row["n"]
     best = spark.sparkContext.broadcast(highest)

@@ -1,6 +1,9 @@
 import hashlib
+import io
 import random
+import sys
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +14,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from pagetables.llm.perfect_hash import PerfectHash, verified
-from pagetables.llm.token_alignment import alignment
+from pagetables.llm.token_alignment import Stretches, alignment, cuts_at_spaces, open_tokenizers
+from pagetables.llm.token_counts import newer_characters
 from tests.llm.data import DOCS, awkward, empty, prose
 
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -103,6 +107,69 @@ def test_awkward_and_empty(spark):
     assert DOCS
 
 
+def contents(paths):
+    return tuple(open(path, "rb").read() for path in paths)
+
+
+class Recorder:
+    """Stands for B and keeps what it was asked."""
+
+    def __init__(self, inner):
+        self.inner, self.asked = inner, []
+
+    def encode(self, texts, **options):
+        self.asked += texts
+        return self.inner.encode(texts, **options)
+
+
+def test_each_stretch_is_encoded_once():
+    both = open_tokenizers(*contents(PATHS), newer_characters())
+    recorder = Recorder(both.b)
+    known = Stretches.none(both)
+    for _ in range(2):
+        replace(both, b=recorder).encode(["amber birch cedar. " * 50, "", "  birch  amber\namber", "amber"], known)
+    assert len(recorder.asked) == len(set(recorder.asked)) and sum(map(len, recorder.asked)) < 100
+
+
+def test_cut_texts_have_the_tokens_of_whole_texts():
+    assert cuts_at_spaces(*contents(PATHS))
+    both = open_tokenizers(*contents(PATHS), newer_characters())
+    rng = random.Random(9)
+    signs = [*map(chr, (*range(0x21), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F))]
+    signs += [*"\u205f\u2060\u3000\ufeff\u0301▁é漢՘'!1½aB", "\U0001f600", *[" "] * 20, "'s", "the", "<s>", "<|endoftext|>"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(16))) for _ in range(3000)]
+    texts += [f"a{one}  b{one} c {one} {one}d1{one} 's{one}\n {one} x " for one in signs]
+    uncut = replace(both, words=None)
+    assert both.encode(texts, Stretches.none(both)) == uncut.encode(texts, Stretches.none(uncut))
+
+
+@pytest.mark.parametrize("options", [
+    {"normalization_rule_name": "identity", "split_by_whitespace": False}, {"normalization_rule_name": "nmt_nfkc"},
+])
+def test_other_models_take_whole_texts(spark, options, tmp_path, monkeypatch):
+    model, rng = io.BytesIO(), random.Random(4)
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter(["the amber of the birch " + prose(rng, 6) for _ in range(200)]), model_writer=model,
+        model_type="bpe", vocab_size=400, byte_fallback=True, minloglevel=2, remove_extra_whitespaces=False, **options,
+    )
+    (tmp_path / "other.model").write_bytes(model.getvalue())
+    paths = PATHS[0], str(tmp_path / "other.model")
+    assert not cuts_at_spaces(*contents(paths))
+    monkeypatch.setattr(sys.modules[__name__], "PATHS", paths)
+    rows = [*some_rows(), (500, "the amber of the birch the amber")]
+    got = [tuple(row) for row in alignment(spark.createDataFrame(rows, "doc_id bigint, text string"), *paths).collect()]
+    assert sorted(got, key=key) == sorted(plain(rows), key=key)
+
+
+def test_emptied_memory(spark, monkeypatch):
+    monkeypatch.setattr("pagetables.llm.token_alignment.REMEMBERED", 5)
+    monkeypatch.setattr("pagetables.llm.token_alignment.SLAB", 100)
+    rows = some_rows()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = [tuple(row) for row in alignment(docs, *PATHS).collect()]
+    assert sorted(got, key=key) == sorted(plain(rows), key=key)
+
+
 @given(st.sets(st.integers(0, 2**62), max_size=400), st.sets(st.integers(0, 2**62), max_size=50))
 def test_perfect_hash(keys, others):
     array = np.array(sorted(keys), np.int64)
